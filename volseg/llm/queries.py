@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from volseg.llm import components, percentiles, sentences
+from volseg.llm import components, mixing, packing, percentiles, sentences, tokens
 from volseg.storage import Scratch, table
 
 
@@ -81,10 +81,45 @@ WITH RECURSIVE raw AS (SELECT oid AS a, nid AS b FROM matching_faces UNION ALL S
 SELECT id AS seg_id, min(src) AS group_id FROM reach GROUP BY id"""
 
 
+def _bins(spark: SparkSession, sf_dir: str) -> list[tuple[str, int]]:
+    """The kinds of containers, a list that does not grow with the data."""
+    return [(r.bin_code, r.capacity_tokens) for r in table(spark, sf_dir, "pack_bins").orderBy("capacity_tokens").collect()]
+
+
+def p6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text in containers of every capacity, measured in tokens."""
+    scratch = Scratch(spark, "p6")
+    counts = scratch.save(tokens.token_counts(table(spark, sf_dir, "documents"), ["doc_id"]))
+    return packing.pack_documents(counts, _bins(spark, sf_dir), scratch)
+
+
+def p6_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How full the containers of each capacity are."""
+    return packing.fill_report(p6_packing(spark, sf_dir), _bins(spark, sf_dir))
+
+
+def _targets(spark: SparkSession, sf_dir: str) -> list[mixing.Target]:
+    """The wanted shares, a list that does not grow with the data."""
+    rows = table(spark, sf_dir, "mix_targets").select(mixing.canonical(F.col("source")).alias("source"), "target_share", "max_repeats").orderBy("source").collect()
+    return [mixing.Target(r.source, r.target_share, r.max_repeats) for r in rows]
+
+
+def p7_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The largest mixture in which every source keeps its share of the tokens."""
+    scratch = Scratch(spark, "p7")
+    counts = scratch.save(tokens.token_counts(table(spark, sf_dir, "documents"), ["doc_id", "source"]))
+    return mixing.mix(counts, _targets(spark, sf_dir), scratch)
+
+
+def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shares reached by the mixture."""
+    return mixing.shares_report(Scratch(spark, "p7s").save(p7_mixture(spark, sf_dir)), _targets(spark, sf_dir))
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The sentence units of every text."""
     return sentences.sentence_units(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_percentiles, p1_day_summaries, p1_span_percentiles, p4_found, p8_found)}
+QUERIES = {f.__name__: f for f in (p1_percentiles, p1_day_summaries, p1_span_percentiles, p4_found, p6_packing, p6_fill, p7_mixture, p7_shares, p8_found)}
 SQL = {"p1_percentiles": P1_PERCENTILES_SQL, "p4_found": P4_FOUND_SQL}
