@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from volseg.plans import tables
+from volseg.plans import tables, volume
 
-MODULES = (tables,)
+MODULES = (volume, tables)
 
 
 def queries() -> dict:
