@@ -51,13 +51,15 @@ def percentiles(ranks: DataFrame, group: list[str], wanted: list[float]) -> Data
     def holds(rank: Column) -> Column:
         return (rank >= F.col("start")) & (rank < end)
 
-    hits = []
+    hits, any_hit = [], F.lit(False)
     for p in wanted:
         low, at = _position(p)
         high = F.least(low + 1, F.col("total") - 1)
         fraction = at - F.floor(at)
+        any_hit = any_hit | holds(low) | holds(high)
         hits.append(F.when(holds(low) | holds(high), F.struct(F.lit(float(p)).alias("percentile"), fraction.alias("f"), holds(low).alias("is_low"), holds(high).alias("is_high"))))
-    rows = ranks.withColumn("_hit", F.array_compact(F.array(*hits))).where(F.size("_hit") > 0)
+    # few values are hit: the arrays are built for those only
+    rows = ranks.where(any_hit).withColumn("_hit", F.array_compact(F.array(*hits)))
     rows = rows.select(*group, "v", "total", F.explode("_hit").alias("h"))
     found = rows.groupBy(*group, F.col("h.percentile").alias("percentile")).agg(
         F.max("total").alias("n_values"), F.max("h.f").alias("f"),
