@@ -35,9 +35,8 @@ def ranked(counts: DataFrame, group: list[str], scratch: Scratch) -> DataFrame:
     return running_totals(counts, group, ["v"], "n", scratch)
 
 
-def _position(p: float) -> tuple[Column, Column]:
-    at = F.lit(p / 100.0) * (F.col("total") - 1)
-    return F.floor(at).cast("bigint"), at
+def _position(p: Column) -> Column:
+    return p / F.lit(100.0) * (F.col("total") - 1)
 
 
 def percentiles(ranks: DataFrame, group: list[str], wanted: list[float]) -> DataFrame:
@@ -46,24 +45,23 @@ def percentiles(ranks: DataFrame, group: list[str], wanted: list[float]) -> Data
     At p the position is p/100 * (n - 1); between two order statistics the value is lo + (hi - lo) * fraction.
     Groups without a finite value have no rows.
     """
-    end = F.col("start") + F.col("n")
 
     def holds(rank: Column) -> Column:
-        return (rank >= F.col("start")) & (rank < end)
-
-    hits, any_hit = [], F.lit(False)
-    for p in wanted:
-        low, at = _position(p)
-        high = F.least(low + 1, F.col("total") - 1)
-        fraction = at - F.floor(at)
-        any_hit = any_hit | holds(low) | holds(high)
-        hits.append(F.when(holds(low) | holds(high), F.struct(F.lit(float(p)).alias("percentile"), fraction.alias("f"), holds(low).alias("is_low"), holds(high).alias("is_high"))))
-    # few values are hit: the arrays are built for those only
-    rows = ranks.where(any_hit).withColumn("_hit", F.array_compact(F.array(*hits)))
-    rows = rows.select(*group, "v", "total", F.explode("_hit").alias("h"))
-    found = rows.groupBy(*group, F.col("h.percentile").alias("percentile")).agg(
-        F.max("total").alias("n_values"), F.max("h.f").alias("f"),
-        F.max(F.when(F.col("h.is_low"), F.col("v"))).alias("lo"), F.max(F.when(F.col("h.is_high"), F.col("v"))).alias("hi"),
+        return (rank >= F.col("start")) & (rank < F.col("start") + F.col("n"))
+
+    def low(p: Column) -> Column:
+        return F.floor(_position(p)).cast("bigint")
+
+    def high(p: Column) -> Column:
+        return F.least(low(p) + 1, F.col("total") - 1)
+
+    # the test for all percentiles is one small loop: written out it would be too large a method to be compiled
+    hits = F.filter(F.array(*[F.lit(float(p)) for p in wanted]), lambda p: holds(low(p)) | holds(high(p)))
+    rows = ranks.withColumn("_hits", hits).where(F.size("_hits") > 0).withColumn("percentile", F.explode("_hits"))
+    p = F.col("percentile")
+    found = rows.groupBy(*group, "percentile").agg(
+        F.max("total").alias("n_values"), F.max(_position(p) - F.floor(_position(p))).alias("f"),
+        F.max(F.when(holds(low(p)), F.col("v"))).alias("lo"), F.max(F.when(holds(high(p)), F.col("v"))).alias("hi"),
     )
     return found.select(*group, "percentile", "n_values", (F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("f")).alias("value"))
 
@@ -98,10 +96,7 @@ def span_percentiles(summary: DataFrame, part: list[str], span: list[str], wante
     merged = summary.groupBy(*span, "v").agg(F.sum("weight").alias("n"))
     window = Window.partitionBy(*span)
     merged = merged.withColumn("start", F.sum("n").over(window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).withColumn("total", F.sum("n").over(window))
-    hits = []
-    for p in wanted:
-        low, _ = _position(p)
-        hits.append(F.when((low >= F.col("start")) & (low < F.col("start") + F.col("n")), F.lit(float(p))))
-    rows = merged.select(*span, "v", "total", F.explode(F.array_compact(F.array(*hits))).alias("percentile"))
+    hits = F.filter(F.array(*[F.lit(float(p)) for p in wanted]), lambda p: (F.floor(_position(p)) >= F.col("start")) & (F.floor(_position(p)) < F.col("start") + F.col("n")))
+    rows = merged.select(*span, "v", "total", F.explode(hits).alias("percentile"))
     out = rows.select(*span, "percentile", F.col("total").alias("n_values"), F.col("v").alias("value"))
     return out.join(slack, span)
