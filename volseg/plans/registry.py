@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from volseg.plans import tables, volume
+from volseg.plans import segments, tables, volume
 
-MODULES = (volume, tables)
+MODULES = (volume, segments, tables)
 
 
 def queries() -> dict:
