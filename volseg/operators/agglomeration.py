@@ -72,7 +72,7 @@ def agglomerate(edges: DataFrame, nodes: DataFrame, p: Agglomeration, scratch: S
     ends = scratch.save(ends.withColumn("inner", F.coalesce(F.col("c1") == F.col("c2"), F.lit(False))))
     nodes = scratch.save(nodes)
     e = ends.where("inner").select(F.col("c1").alias("cc"), F.lit(True).alias("is_edge"), F.col("s1").alias("a"), F.col("s2").alias("b"), "sum_aff", "area")
-    n = nodes.join(cc, F.col("sid") == F.col("id"), "inner").select("cc", F.lit(False).alias("is_edge"), F.col("sid").alias("a"), *[nodes[c] for c in NODE_COLUMNS])
+    n = nodes.join(cc.select(F.col("id").alias("_member"), "cc"), F.col("sid") == F.col("_member")).select("cc", F.lit(False).alias("is_edge"), F.col("sid").alias("a"), *NODE_COLUMNS)
     inner = scratch.save(per_component(e.unionByName(n, allowMissingColumns=True), "cc", _kernel(p, by_degree), EVENTS))
     frozen = _frozen_members(nodes, inner, scratch)
     outer = ends.where(~F.col("inner"))

@@ -22,7 +22,7 @@ def contact_voxels(contact: DataFrame, low: float | None = None, high: float | N
         contact = contact.where(F.col("aff") > low)
     if high is not None:
         contact = contact.where(F.col("aff") < high)
-    return contact.groupBy("s1", "s2", *KEY).agg(F.bit_or(F.shiftleft(F.lit(1), F.col("axis"))).alias("axes"))
+    return contact.groupBy("s1", "s2", *KEY).agg(F.bit_or(F.expr("shiftleft(1, axis)")).alias("axes"))
 
 
 def patches(voxels: DataFrame) -> DataFrame:

@@ -8,12 +8,29 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from volseg.operators.kernels import Sets
 from volseg.storage import Scratch
 
 
+#: Distinct edges up to which one task labels the components; more are labelled by all.
+ONE_TASK = 500_000
+
+
+def _union(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Components of a small graph: ``a`` and the least id of its component."""
+    sets = Sets()
+    for a, b in zip(pdf["a"].tolist(), pdf["b"].tolist()):
+        x, y = sets.find(a), sets.find(b)
+        if x != y:
+            sets.link(min(x, y), max(x, y))
+    ids = pd.unique(pd.concat([pdf["a"], pdf["b"]]))
+    return pd.DataFrame({"a": ids, "cc": [sets.find(int(i)) for i in ids]}, dtype="int64")
+
+
 def component_labels(edges: DataFrame, scratch: Scratch, a: str = "s1", b: str = "s2") -> DataFrame:
     """``id, cc`` for every id in an edge, ``cc`` the smallest id of its component.
 
+    Up to ``ONE_TASK`` distinct edges, counted first, are labelled in one task. Beyond that:
     Alternating stars: in a large star each node's greater neighbours are tied to the least id it knows, in a small
     star its smaller ones. The number of rounds grows with the logarithm of the graph; an edge only ever moves to a
     smaller end, and popular ids meet others as aggregates.
@@ -21,6 +38,8 @@ def component_labels(edges: DataFrame, scratch: Scratch, a: str = "s1", b: str =
     links = edges.select(F.col(a).alias("a"), F.col(b).alias("b"))
     ids = links.select(F.col("a").alias("id")).unionByName(links.select(F.col("b").alias("id"))).distinct()
     links = scratch.save(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    if links.count() <= ONE_TASK:
+        return ids.join(links.groupBy().applyInPandas(_union, "a bigint, cc bigint"), F.col("id") == F.col("a"), "left").select("id", F.coalesce("cc", "id").alias("cc"))
     signature = None
     while True:
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))

@@ -55,7 +55,7 @@ def chunks(spark: SparkSession, extent: tuple[int, int, int], chunk: tuple[int,
     for c, e, size in zip("xyz", extent, chunk):
         last = F.floor(F.lit(-(-e // size) - 1) / F.pow(F.lit(2), F.col("mip"))).cast("int")
         df = df.withColumn(f"c{c}", F.explode(F.sequence(F.lit(0), last)))
-    scale = F.shiftleft(F.lit(1), F.col("mip"))
+    scale = F.expr("shiftleft(1, mip)")
     out = [F.col(c) for c in ("mip", "cx", "cy", "cz")]
     for c, e, size in zip("xyz", extent, chunk):
         lo = F.col(f"c{c}") * scale * size
