@@ -498,3 +498,56 @@ def eval_rand(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.rand_scores(evaluate.counts(evaluate.confusion(voxels(spark, sf_dir))))
 
 
+
+
+@query(f"{V}, {REMAP_SQL} SELECT DISTINCT sid FROM voxel WHERE sid <> 0 AND sid NOT IN (SELECT old FROM remap WHERE old % 3 <> 0)")
+def remap_unresolved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids that a lookup in an incomplete remap would miss."""
+    r = block_remap(spark, sf_dir).where("old % 3 <> 0")
+    return remap.unresolved(voxels(spark, sf_dir).where("sid <> 0"), r)
+
+
+@query(f"""{V}, {REMAP_SQL}, b AS (SELECT DISTINCT new AS sid FROM voxel JOIN remap ON old = sid WHERE z = 15),
+s AS (SELECT sid, count(*) AS size FROM voxel WHERE sid <> 0 GROUP BY sid), r AS (SELECT old, new, old - old % 67108864 AS ac, new IN (SELECT sid FROM b) AS o FROM remap)
+SELECT old, new, ac, CASE WHEN NOT o THEN 'done_post' WHEN row_number() OVER (PARTITION BY ac, new ORDER BY old) = 1 THEN 'ongoing' ELSE 'done_pre' END AS route, size FROM r LEFT JOIN s ON s.sid = new""")
+def remap_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Remap rows after agglomeration with the sizes of their new ids."""
+    v, r = voxels(spark, sf_dir), block_remap(spark, sf_dir)
+    frozen = remap.apply(v.where("z = 15 AND sid <> 0").select("x", "y", "z", "sid"), r)
+    return remap.split_routes(r, frozen, features.features(v, "size"))
+
+
+@query(f"{V}, {REMAP_SQL} SELECT root, count(*) AS n_rows, count(DISTINCT sid) AS n_sids FROM (SELECT sid, new AS root FROM (SELECT sid, z FROM voxel WHERE sid <> 0 GROUP BY sid, z) JOIN remap ON old = sid) GROUP BY root")
+def remap_bags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per-supervoxel rows gathered by the object they belong to."""
+    meta = voxels(spark, sf_dir).where("sid <> 0").select("sid", "z").distinct()
+    return remap.bags(meta, block_remap(spark, sf_dir)).groupBy("root").agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("sid").alias("n_sids"))
+
+
+@query(f"""{V}, {REMAP_SQL}, s AS (SELECT new AS sid, CAST(sum(c) AS BIGINT) AS size, CAST(sum(n0) AS BIGINT) AS n0, CAST(sum(n1) AS BIGINT) AS n1, CAST(sum(n2) AS BIGINT) AS n2 FROM
+(SELECT sid, count(*) AS c, count(*) FILTER (WHERE sem = 3) AS n0, count(*) FILTER (WHERE sem = 2) AS n1, count(*) FILTER (WHERE sem IN (4, 5)) AS n2 FROM voxel WHERE sid <> 0 GROUP BY sid) JOIN remap ON old = sid GROUP BY new) SELECT * FROM s""")
+def reduce_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes and semantic histograms carried over a remap."""
+    v, r = voxels(spark, sf_dir), block_remap(spark, sf_dir)
+    rows = features.features(v, "size").join(features.semantics(v), "sid", "left").na.fill(0)
+    return rag.remap_ids(rows, r, "sid").groupBy("sid").agg(*[F.sum(c).alias(c) for c in ("size", "n0", "n1", "n2")])
+
+
+@query("SELECT chunk_tag, count(*) AS n, CAST(sum(area) AS BIGINT) AS area FROM residual_rg WHERE chunk_tag LIKE '3\\_%' ESCAPE '\\' GROUP BY chunk_tag")
+def slices_by_chunk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges written by chunk and read back for one mip; the other chunks' folders are not opened."""
+    from volseg.sources.tables import write_by_chunk
+    from volseg.storage import Scratch
+
+    path = Scratch(spark, "slices").path()
+    write_by_chunk(table(spark, sf_dir, "residual_rg").select("chunk_tag", "s1", "s2", "area"), path)
+    back = spark.read.schema("s1 bigint, s2 bigint, area bigint, chunk_tag string").parquet(path)
+    return back.where(F.col("chunk_tag").startswith("3_")).groupBy("chunk_tag").agg(F.count(F.lit(1)).alias("n"), F.sum("area").alias("area"))
+
+
+@query("SELECT file_id, regexp_replace(regexp_replace(url_decode(file_path), '/(\\./)+', '/', 'g'), '/{2,}', '/', 'g') AS path FROM slice_files")
+def canonical_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Listed paths in one spelling."""
+    from volseg.functions.scalar import canonical_path
+
+    return table(spark, sf_dir, "slice_files").select("file_id", canonical_path(F.col("file_path")).alias("path"))
