@@ -149,3 +149,9 @@ def in_box(df: DataFrame, lo: tuple[int, int, int], hi: tuple[int, int, int]) ->
     for c, a, b in zip(KEY, lo, hi):
         df = df.where((F.col(c) >= a) & (F.col(c) < b))
     return df
+
+
+def checked_range(c: Column, low: int, high: int, what: str) -> Column:
+    """The value as bigint; one outside ``low``..``high`` is an error, null stays null."""
+    wide = c.cast("bigint")
+    return F.when(wide.isNull() | ((wide >= low) & (wide <= high)), wide).otherwise(F.raise_error(F.lit(f"{what} out of range")).cast("bigint"))

@@ -10,7 +10,6 @@ from volseg.operators import kernels
 from volseg.operators.condition import KEY
 from volseg.operators.graph import per_component
 
-SUMMARY = "s1, s2, n, sum_x, sum_y, sum_z, size_x, size_y, size_z, min_x, min_y, min_z, max_x, max_y, max_z"
 
 
 def contact_voxels(contact: DataFrame, low: float | None = None, high: float | None = None) -> DataFrame:

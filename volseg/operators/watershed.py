@@ -197,3 +197,11 @@ def route_remap(remap: DataFrame, border: DataFrame) -> DataFrame:
     flagged = flagged.select("old", "new", owner.alias("ac"), F.col("_b").isNotNull().alias("open"))
     first = F.row_number().over(Window.partitionBy("ac", "new").orderBy("old"))
     return flagged.withColumn("_n", first).select("old", "new", "ac", F.when(~F.col("open"), "done_post").when(F.col("_n") == 1, "ongoing").otherwise("done_pre").alias("route"))
+
+
+def border_edges(graph: DataFrame, border: DataFrame) -> DataFrame:
+    """``score, s1, s2``: the best edge of each pair of which both are at the border (``sid``); the rest is settled."""
+    best = graph.groupBy("s1", "s2").agg(F.max("score").alias("score"))
+    ids = border.select("sid").distinct()
+    both = best.join(ids.withColumnRenamed("sid", "s1"), "s1", "left_semi").join(ids.withColumnRenamed("sid", "s2"), "s2", "left_semi")
+    return both.select("score", "s1", "s2")

@@ -551,3 +551,16 @@ def canonical_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     from volseg.functions.scalar import canonical_path
 
     return table(spark, sf_dir, "slice_files").select("file_id", canonical_path(F.col("file_path")).alias("path"))
+
+
+@query(f"{C}, m AS (SELECT max(aff) AS score, s1, s2 FROM contact GROUP BY s1, s2), b AS (SELECT DISTINCT sid FROM voxel WHERE sid <> 0 AND (z = 7 OR z = 8)) SELECT * FROM m WHERE s1 IN (SELECT sid FROM b) AND s2 IN (SELECT sid FROM b)")
+def ws_border_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges that a stitched level hands on: those between two segments at its border."""
+    border = voxels(spark, sf_dir).where("sid <> 0 AND z IN (7, 8)").select("sid").distinct()
+    return watershed.border_edges(rag.scored(contacts(spark, sf_dir), "max"), border)
+
+
+@query(f"{V} SELECT x, y, z, nuc FROM voxel")
+def nuc_checked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nucleus tags, each checked to be an unsigned 32-bit number."""
+    return voxels(spark, sf_dir).select("x", "y", "z", condition.checked_range(F.col("nuc"), 0, (1 << 32) - 1, "nucleus id").alias("nuc"))
