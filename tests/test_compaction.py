@@ -77,6 +77,6 @@ def test_compact_keeps_every_record(spark):
     stored = [pq.read_table(m.path) for m in manifest]
     assert sum(t.num_rows for t in stored) == n
     keys = {(x["file_id"], x["slot"]) for t in stored for x in t.to_pylist()}
-    assert len(keys) == n
+    assert len(keys) == n and sum(m.n_repeats for m in manifest) == 50
     assert max(m.n_records for m in manifest) * 32 < 2 * 9000
     assert df.where(F.col("file_id") == 500).count() > 0

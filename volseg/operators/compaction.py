@@ -14,6 +14,7 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,6 +24,10 @@ from volseg.storage import Scratch, broadcast_if_small, delete
 #: Bytes of an output file, and files that one scheduling task may hold.
 TARGET_BYTES = 128 << 20
 FILES_PER_SHARD = 200_000
+#: Rows of two numbers up to which a counted table may be broadcast.
+NARROW_ROWS = 1_000_000
+MANIFEST = "group_id bigint, path string, n_files bigint, n_records bigint, n_repeats bigint, n_bytes bigint, checksum bigint"
+MANIFEST_ARROW = pa.schema([(c.split()[0], pa.string() if c.endswith("string") else pa.int64()) for c in MANIFEST.split(", ")])
 
 
 def record_hash(scope: list[str], record: list[str]) -> Column:
@@ -75,6 +80,7 @@ def contained_files(tables: list[tuple[DataFrame, list[str]]], scratch: Scratch)
     likely = scratch.save(likely.groupBy("file_id").agg(F.min("kept_in").alias("kept_in")))
     sure = [_by_value(df, record, likely, scratch) for df, record in tables]
     direct = scratch.save(reduce(DataFrame.unionByName, sure))
+    scratch.drop(held, shared, files, classes, pairs, likely)
     # copies of a contained head are contained in its host as well; the head itself is witness enough
     return direct
 
@@ -126,45 +132,54 @@ def assign_groups(files: DataFrame, record_bytes: int, target_bytes: int = TARGE
 
 
 def _writer(folder: str, columns: list[str]):
+    """Stream sorted rows into one file for each ``_group``, leaving out repeats, which follow each other."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pyarrow.parquet as pq
         from pyarrow import fs
 
         where, base = fs.FileSystem.from_uri(folder)
         attempt = TaskContext.get().taskAttemptId()
-        current, writer, path, rows, check, files = None, None, None, 0, 0, 0
+        current = writer = path = last = None
+        stored = repeats = check = files = 0
 
         def close() -> pa.RecordBatch:
             writer.close()
             with where.open_input_file(path) as f:
-                stored = pq.ParquetFile(f).metadata.num_rows
-            if stored != rows:
-                raise RuntimeError(f"{path}: {stored} records stored, {rows} sent")
-            n_bytes = where.get_file_info(path).size
-            return pa.RecordBatch.from_pydict({"group_id": pa.array([current], pa.int64()), "path": [path], "n_files": pa.array([files], pa.int64()), "n_records": pa.array([rows], pa.int64()), "n_bytes": pa.array([n_bytes], pa.int64()), "checksum": pa.array([check], pa.int64())})
+                found = pq.ParquetFile(f).metadata.num_rows
+            if found != stored:
+                raise RuntimeError(f"{path}: {found} records found, {stored} written")
+            row = {"group_id": current, "path": path, "n_files": files, "n_records": stored, "n_repeats": repeats, "n_bytes": where.get_file_info(path).size, "checksum": check}
+            return pa.RecordBatch.from_pylist([row], schema=MANIFEST_ARROW)
 
-        last_file = None
         for batch in batches:
+            if not batch.num_rows:
+                continue
             groups = batch.column("_group").to_numpy(zero_copy_only=False)
+            ids = batch.column("_file").to_numpy(zero_copy_only=False)
+            slots = pc.fill_null(batch.column("slot"), -1).to_numpy(zero_copy_only=False)
+            checks = batch.column("_check").to_numpy(zero_copy_only=False)
             cuts = np.flatnonzero(np.diff(groups)) + 1
             for lo, hi in zip([0, *cuts], [*cuts, batch.num_rows]):
-                if hi == lo:
-                    continue
-                piece = batch.slice(lo, hi - lo)
                 if current != groups[lo]:
                     if writer:
                         yield close()
-                    current, rows, check, files, last_file = int(groups[lo]), 0, 0, 0, None
+                    current, last, stored, repeats, check, files = int(groups[lo]), None, 0, 0, 0, 0
                     path = f"{base}/group-{current:012x}-{attempt}.parquet"
-                    data = piece.select(columns)
-                    writer = pq.ParquetWriter(path, data.schema, filesystem=where, compression="zstd")
-                writer.write_batch(piece.select(columns))
-                rows += piece.num_rows
+                    writer = pq.ParquetWriter(path, batch.select(columns).schema, filesystem=where, compression="zstd")
+                fresh, new_file = np.ones(hi - lo, dtype=bool), np.ones(hi - lo, dtype=bool)
+                new_file[1:] = np.diff(ids[lo:hi]) != 0
+                fresh[1:] = new_file[1:] | (np.diff(slots[lo:hi]) != 0) | (checks[lo + 1 : hi] != checks[lo : hi - 1])
+                if last is not None:
+                    new_file[0] = ids[lo] != last[0]
+                    fresh[0] = last != (ids[lo], slots[lo], checks[lo])
+                last = (ids[hi - 1], slots[hi - 1], checks[hi - 1])
+                writer.write_batch(batch.slice(lo, hi - lo).select(columns).filter(pa.array(fresh)))
+                stored += int(fresh.sum())
+                repeats += int((~fresh).sum())
+                files += int(new_file.sum())
                 with np.errstate(over="ignore"):
-                    check = int(np.int64(check) + piece.column("_check").to_numpy(zero_copy_only=False).sum(dtype=np.int64))
-                ids = piece.column("_file").to_numpy(zero_copy_only=False)
-                files += int((np.diff(ids) != 0).sum()) + int(ids[0] != last_file)
-                last_file = ids[-1]
+                    check = int(np.int64(check) + checks[lo:hi].sum(dtype=np.int64))
         if writer:
             yield close()
 
@@ -174,40 +189,38 @@ def _writer(folder: str, columns: list[str]):
 def compact(df: DataFrame, record: list[str], record_bytes: int, redundant: DataFrame, out_dir: str, scratch: Scratch, target_bytes: int = TARGET_BYTES) -> DataFrame:
     """Write the records of ``df`` to few files below ``out_dir`` and return the manifest.
 
-    Left out are the files in ``redundant`` (``file_id``) and repeats of a row with the same file, slot and record,
-    of which the earliest times are kept. Rows without a file id are kept as if they lay in one file. The manifest
-    ``group_id, path, n_files, n_records, n_bytes, checksum`` is renamed to ``out_dir/manifest`` only after counts
-    and checksums agree with the input; a failed or repeated task leaves files that no manifest names.
+    Left out are the files in ``redundant`` (``file_id``) and repeats of a row with the same file, slot and record
+    (told by a 64-bit hash), of which the one that arrived first is kept. Rows without a file id are kept as if they
+    lay in one file. The manifest ``group_id, path, n_files, n_records, n_repeats, n_bytes, checksum`` is renamed to
+    ``out_dir/manifest`` only after counts and checksums of all rows agree with the input; a failed or repeated task
+    leaves files that no manifest names. The records cross the network once, to their group.
     """
     spark = df.sparkSession
-    keys = ["chunk_tag", "file_id", "slot", *record]
-    times = [c for c in ("written_at", "arrived_at") if c in df.columns]
-    kept = df.join(redundant.select("file_id"), "file_id", "left_anti").groupBy(*keys).agg(*[F.min(c).alias(c) for c in times])
-    kept = scratch.save(kept.withColumn("_file", F.coalesce("file_id", F.lit(-1))).withColumn("_check", record_hash(["file_id", "slot"], record)))
-    files = scratch.save(kept.groupBy(F.col("_file").alias("file_id")).agg(F.count(F.lit(1)).alias("n")))
+    times = [c for c in ("arrived_at", "written_at") if c in df.columns]
+    columns = ["chunk_tag", "file_id", "slot", *record, *times]
+    gone = scratch.save(redundant.select(F.col("file_id").alias("_gone")).distinct())
+    kept = df.join(broadcast_if_small(gone, gone.count(), NARROW_ROWS), F.col("file_id") == F.col("_gone"), "left_anti")
+    kept = kept.select(*columns, F.coalesce("file_id", F.lit(-1)).alias("_file"), record_hash(["file_id", "slot"], record).alias("_check"))
+    files = scratch.save(kept.groupBy(F.col("_file").alias("file_id")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("_check").cast("decimal(20,0)")).alias("check")))
     groups = scratch.save(assign_groups(files, record_bytes, target_bytes))
-    n_groups = groups.select("group_id").distinct().count()
-    placed = kept.join(groups.select(F.col("file_id").alias("_file"), F.col("group_id").alias("_group")), "_file")
-    placed = placed.repartition(max(1, n_groups), "_group").sortWithinPartitions("_group", "_file", "slot")
-    columns = [*keys, *times]
-    staged = f"{out_dir}/data"
+    n_files, n_groups = groups.agg(F.count(F.lit(1)), F.count_distinct("group_id")).first()
+    map_side = groups.select(F.col("file_id").alias("_f"), F.col("group_id").alias("_group"))
+    placed = kept.join(broadcast_if_small(map_side, n_files, NARROW_ROWS), F.col("_file") == F.col("_f")).drop("_f")
+    placed = placed.repartition(max(1, n_groups), "_group").sortWithinPartitions("_group", "_file", "slot", "_check", *times)
     jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(staged)
+    where = jvm.org.apache.hadoop.fs.Path(f"{out_dir}/data")
     files_system = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     files_system.mkdirs(where)
-    schema = "group_id bigint, path string, n_files bigint, n_records bigint, n_bytes bigint, checksum bigint"
     draft = f"{out_dir}/manifest-draft"
-    placed.mapInArrow(_writer(staged, columns), schema).write.mode("overwrite").parquet(draft)
-    manifest = spark.read.schema(schema).parquet(draft)
-
-    def sums(rows: DataFrame, n: Column, check: str) -> tuple:
-        return tuple(rows.agg(F.coalesce(F.sum(n), F.lit(0)).cast("string"), F.coalesce(F.sum(F.col(check).cast("decimal(20,0)")), F.lit(0)).cast("string")).first())
+    placed.mapInArrow(_writer(f"{out_dir}/data", columns), MANIFEST).write.mode("overwrite").parquet(draft)
+    manifest = spark.read.schema(MANIFEST).parquet(draft)
 
-    have, want = sums(manifest, F.col("n_records"), "checksum"), sums(kept, F.lit(1), "_check")
-    if int(have[0]) != int(want[0]) or (int(have[1]) - int(want[1])) % (1 << 64):
+    have = manifest.agg(F.coalesce(F.sum(F.col("n_records") + F.col("n_repeats")), F.lit(0)), F.coalesce(F.sum(F.col("checksum").cast("decimal(20,0)")), F.lit(0)).cast("string")).first()
+    want = files.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("check"), F.lit(0)).cast("string")).first()
+    if have[0] != want[0] or (int(have[1]) - int(want[1])) % (1 << 64):
         delete(spark, draft)
         raise RuntimeError(f"compaction of {out_dir} is not published: {have} written, {want} expected")
-    published = jvm.org.apache.hadoop.fs.Path(f"{out_dir}/manifest")
-    if not files_system.rename(jvm.org.apache.hadoop.fs.Path(draft), published):
+    if not files_system.rename(jvm.org.apache.hadoop.fs.Path(draft), jvm.org.apache.hadoop.fs.Path(f"{out_dir}/manifest")):
         raise RuntimeError(f"{out_dir}/manifest is there already")
-    return spark.read.schema(schema).parquet(f"{out_dir}/manifest")
+    scratch.drop(gone, files, groups)
+    return spark.read.schema(MANIFEST).parquet(f"{out_dir}/manifest")
