@@ -10,6 +10,10 @@ import duckdb
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 
+#: DuckDB's type names as Spark's.
+KINDS = {"BIGINT": "bigint", "INTEGER": "int", "DOUBLE": "double", "VARCHAR": "string", "BOOLEAN": "boolean", "DATE": "date"}
+
+
 def _plain(v):
     if isinstance(v, Decimal):
         return float(v)
@@ -36,6 +40,8 @@ def check(spark, query, sql: str | None) -> int:
         result = database().execute(sql)
         have = [c[0] for c in result.description]
         assert sorted(have) == names
+        kinds = {c[0]: str(c[1]) for c in result.description}
+        assert {n: KINDS.get(kinds[n], kinds[n]) for n in names} == {n: t for n, t in df.dtypes}, "types differ"
         at = [have.index(n) for n in names]
         want = sorted((tuple(_plain(r[i]) for i in at) for r in result.fetchall()), key=_order)
         assert got == want

@@ -1,13 +1,19 @@
 import random
 from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 from volseg.operators import selection as S
 from volseg.storage import Scratch
 
 
-def test_frequent_values(spark):
+@pytest.fixture(params=[16, -1], ids=["narrow keys at once", "all keys in levels"])
+def width(request, monkeypatch):
+    monkeypatch.setattr(S, "NARROW", 1 << 16 if request.param > 0 else 0)
+
+
+def test_frequent_values(spark, width):
     r = random.Random(1)
     rows = [("a", r.choice([1, 1, 1, 2, -5, None, 1 << 60, r.randint(-(1 << 62), 1 << 62)])) for _ in range(2000)] + [("b", None)] * 5 + [("c", 9)]
     df = spark.createDataFrame([(k, v, "n", 1) for k, v in rows], "key string, value bigint, v string, n int")
@@ -25,7 +31,7 @@ def test_threshold_is_inclusive(spark):
     assert [tuple(x) for x in S.frequent_values(df, "key", "value", totals, 3, Scratch(spark, "t")).collect()] == [("k", 1, 3)]
 
 
-def test_double_quantiles_per_key_and_merging(spark):
+def test_double_quantiles_per_key_and_merging(spark, width):
     r = random.Random(2)
     rows = [(r.choice([1, 1, 1, 1, 2, 3]), r.choice([0.0, -0.0, -1.0, r.gauss(0, 1e3), r.random() * 1e-9, 1e300])) for _ in range(3000)]
     df = spark.createDataFrame(rows, "key int, x double").withColumn("value", S.double_to_sortable("x"))

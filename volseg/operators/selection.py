@@ -20,6 +20,8 @@ from pyspark.sql import types as T
 from volseg.storage import Scratch
 
 STEP = 16
+#: Distinct values of a key up to which one window, no larger than that of a level, settles it.
+NARROW = 1 << STEP
 SHIFTS = (48, 32, 16, 0)
 
 
@@ -59,7 +61,17 @@ def select_ranks(hist: DataFrame, targets: DataFrame, keys: list[str], scratch:
     ``keys, target, rank`` with 0-based ranks; a rank outside the key's count gives no row. Keys must not be
     null. Returns ``keys, target, rank, v``.
     """
-    state = targets.select(*keys, "target", "rank", F.lit(None).cast("bigint").alias("prefix"), F.col("rank").alias("left"))
+    # a key of at most 65,536 distinct values is no more than one level: its ranks are read off in one window
+    width = hist.groupBy(*keys).agg(F.count(F.lit(1)).alias("_width"))
+    targets = scratch.save(targets.join(width, keys).select(*keys, "target", "rank", (F.col("_width") <= NARROW).alias("_narrow")))
+    narrow = targets.where("_narrow")
+    rows = hist.join(narrow.select(*keys).distinct(), keys, "left_semi")
+    rows = rows.withColumn("upto", F.sum("n").over(Window.partitionBy(*keys).orderBy("v").rowsBetween(Window.unboundedPreceding, 0)))
+    direct = narrow.join(rows, keys).where((F.col("rank") >= F.col("upto") - F.col("n")) & (F.col("rank") < F.col("upto"))).select(*keys, "target", "rank", "v")
+    wide = targets.where(~F.col("_narrow"))
+    if not wide.limit(1).count():
+        return direct
+    state = wide.select(*keys, "target", "rank", F.lit(None).cast("bigint").alias("prefix"), F.col("rank").alias("left"))
     for i, shift in enumerate(SHIFTS):
         bucket = F.shiftright("v", shift) if shift else F.col("v")
         parent = F.shiftright("v", shift + STEP) if i else F.lit(None).cast("bigint")
@@ -76,7 +88,7 @@ def select_ranks(hist: DataFrame, targets: DataFrame, keys: list[str], scratch:
         level = level if i else level.drop("parent")
         found = left.join(level, on).where((F.col("left") >= F.col("upto") - F.col("n")) & (F.col("left") < F.col("upto")))
         state = scratch.save(found.select(*keys, "target", "rank", F.col("bucket").alias("prefix"), (F.col("left") - F.col("upto") + F.col("n")).alias("left")))
-    return state.select(*keys, "target", "rank", F.col("prefix").alias("v"))
+    return direct.unionByName(state.select(*keys, "target", "rank", F.col("prefix").alias("v")))
 
 
 def quantile_targets(counts: DataFrame, keys: list[str], quantiles: list[float]) -> DataFrame:
