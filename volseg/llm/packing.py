@@ -69,8 +69,8 @@ def configurations(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> tupl
     basis = np.diag(np.maximum(1, capacity // sizes)).astype(float)
     most = int(capacity // sizes.min())
     demand = demand + 1e-4 * (1 + np.arange(k)) / k
+    inverse = np.diag(1 / np.diag(basis))
     for _ in range(8 * k + 50):
-        inverse = np.linalg.inv(basis)
         x = inverse @ demand
         duals = inverse.sum(axis=0)
         value, pattern = _best_pattern(sizes, np.maximum(duals, 0), capacity, most)
@@ -82,6 +82,10 @@ def configurations(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> tupl
         if not np.isfinite(ratio[leaving]):
             break
         basis[:, leaving] = pattern
+        # the inverse follows by one elimination step
+        inverse[leaving] /= u[leaving]
+        u[leaving] = 0
+        inverse -= np.outer(u, inverse[leaving])
     x = np.linalg.solve(basis, demand)
     return np.rint(basis).astype(np.int64), np.maximum(x, 0)
 
