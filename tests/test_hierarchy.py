@@ -69,3 +69,22 @@ def test_descendants(spark):
     df = spark.createDataFrame([(o, n, w, 7, "x") for o, n, w in rows], SCHEMA)
     got = H.resolve(H.parents(df, "oid", "nid", "agg_size"), H.all_ids(df, "oid", "nid"), Scratch(spark, "test"), True)
     assert {tuple(r) for r in H.descendants(got).collect()} == {(1, 2, 1), (1, 3, 2), (2, 3, 1), (1, 4, 2), (2, 4, 1)}
+
+
+def test_descendants_at_and_below_loops(spark):
+    r = random.Random(5)
+    rows = [(i, r.choice([i + 1, r.randint(1, 430)]), r.choice([1, 2])) for i in range(1, 400)]
+    rows += [(501, 502, 1), (502, 503, 1), (503, 501, 1), (510, 502, 1), (511, 510, 1)]
+    df = spark.createDataFrame([(o, n, w, 7, "x") for o, n, w in rows], SCHEMA)
+    links, ids, scratch = H.parents(df, "oid", "nid", "agg_size"), H.all_ids(df, "oid", "nid"), Scratch(spark, "test")
+    up = {row[0]: row[1] for row in links.collect()}
+    want = []
+    for v in up:
+        at, n, seen = up[v], 1, {v}
+        while at is not None and at not in seen:
+            want.append((at, v, n))
+            seen.add(at)
+            at, n = up.get(at), n + 1
+    assert {(502, 511, 2), (501, 511, 4), (503, 502, 1), (502, 503, 2)} <= set(want)
+    out = H.resolve(links, ids, scratch, True)
+    assert sorted(tuple(x) for x in H.descendants(out, H.cut_loops(links, out, scratch)).collect()) == sorted(want)

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from volseg.storage import Scratch
+from volseg.storage import Scratch, broadcast_if_small
 
 #: One node in so many is a splitter.
 SPLIT = 8
@@ -140,10 +140,37 @@ def resolve(links: DataFrame, ids: DataFrame, scratch: Scratch, paths: bool = Fa
     return out.unionByName(tops.select("id", F.col("id").alias("root"), F.lit(0).cast("bigint").alias("n_links"), *path))
 
 
-def descendants(resolved: DataFrame) -> DataFrame:
-    """``ancestor, id, distance``: every pair of a node and a node below it, from the paths of :func:`resolve`.
+def cut_loops(links: DataFrame, resolved: DataFrame, scratch: Scratch) -> DataFrame | None:
+    """``id, root, n_links, path, ring`` for the nodes on or below loops, None if there are none.
 
-    The result has as many rows as all depths add up to. Nodes at or below loops have none.
+    ``links`` and ``resolved`` are what :func:`resolve` takes and gives. The path runs from the smallest id on the
+    loop (``root``) down to the node, as if that id had no parent; ``ring`` has all ids on the loop in the same order.
     """
-    pairs = resolved.where("n_links > 0").select("id", "n_links", F.posexplode("path").alias("pos", "ancestor"))
-    return pairs.where(F.col("pos") < F.col("n_links")).select("ancestor", "id", (F.col("n_links") - F.col("pos")).alias("distance"))
+    lost = scratch.save(resolved.where("n_links < 0").select("id", "root"))
+    if not lost.limit(1).count():
+        return None
+    own = scratch.save(links.join(lost, "id").select("id", "up", "root"))
+    down = scratch.save(resolve(own.where("id <> root").select("id", "up"), lost.select("id"), scratch, True))
+    ends = own.where("id = root").select("root", F.col("up").alias("id"))
+    rings = scratch.save(ends.join(down.select("id", F.col("path").alias("ring")), "id").select("root", "ring"))
+    n = rings.agg(F.sum(F.size("ring"))).first()[0]
+    return down.join(broadcast_if_small(rings, n), "root").select("id", "root", "n_links", "path", "ring")
+
+
+def descendants(resolved: DataFrame, looped: DataFrame | None = None) -> DataFrame:
+    """``ancestor, id, distance``: every pair of a node and another node below it, from the paths of :func:`resolve`.
+
+    The result has as many rows as all depths add up to. Nodes on or below loops have their pairs only if ``looped``,
+    from :func:`cut_loops`, is given: all ids on its loop are above each of them.
+    """
+    rows = resolved.where("n_links > 0").select("id", "n_links", "path")
+    if looped is not None:
+        rows = rows.unionByName(looped.where("n_links > 0").select("id", "n_links", "path"))
+    pairs = rows.select("id", "n_links", F.posexplode("path").alias("pos", "ancestor"))
+    pairs = pairs.where(F.col("pos") < F.col("n_links")).select("ancestor", "id", (F.col("n_links") - F.col("pos")).alias("distance"))
+    if looped is None:
+        return pairs
+    # the ids on the loop that the cut has put out of reach; they lie beyond the smallest one
+    top = F.size(F.array_intersect("ring", "path"))
+    rest = looped.select("id", (F.col("n_links") + F.size("ring")).alias("far"), top.alias("top"), F.posexplode("ring").alias("pos", "ancestor"))
+    return pairs.unionByName(rest.where(F.col("pos") >= F.col("top")).select("ancestor", "id", (F.col("far") - F.col("pos")).alias("distance")))

@@ -208,9 +208,10 @@ WITH RECURSIVE {_P5_UP} SELECT id AS seg_id, root AS root_id, n AS n_links, arra
 
 
 def p5_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every segment below every segment, with the links between them."""
-    out = hierarchy.resolve(*_links(spark, sf_dir), Scratch(spark, "p5d"), paths=True)
-    return hierarchy.descendants(out).select("ancestor", F.col("id").alias("seg_id"), "distance")
+    """Every segment below every other segment, with the links between them; those on a loop are above one another."""
+    scratch, (links, ids) = Scratch(spark, "p5d"), _links(spark, sf_dir)
+    out = hierarchy.resolve(links, ids, scratch, paths=True)
+    return hierarchy.descendants(out, hierarchy.cut_loops(links, out, scratch)).select("ancestor", F.col("id").alias("seg_id"), "distance")
 
 
 P5_DESCENDANTS_SQL = f"""
