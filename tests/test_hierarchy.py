@@ -1,6 +1,7 @@
 import random
 
 from volseg.operators import hierarchy as H
+from volseg.plans import tables
 from volseg.storage import Scratch
 
 SCHEMA = "oid bigint, nid bigint, agg_size bigint, id bigint, nxt string"
@@ -88,3 +89,10 @@ def test_descendants_at_and_below_loops(spark):
     assert {(502, 511, 2), (501, 511, 4), (503, 502, 1), (502, 503, 2)} <= set(want)
     out = H.resolve(links, ids, scratch, True)
     assert sorted(tuple(x) for x in H.descendants(out, H.cut_loops(links, out, scratch)).collect()) == sorted(want)
+
+
+def test_paths_of_looped_segments_are_null(spark, tmp_path):
+    rows = [(2, 1, 1), (8, 9, 1), (9, 8, 1), (10, 9, 1)]
+    spark.createDataFrame([(o, n, w, 7, "x") for o, n, w in rows], SCHEMA).write.parquet(f"{tmp_path}/matching_faces.parquet")
+    got = tables.p5_paths(spark, str(tmp_path)).select("seg_id", "root_id", "n_links", "path").collect()
+    assert {tuple(r) for r in got} == {(1, 1, 0, "1"), (2, 1, 1, "1/2"), (8, 8, -1, None), (9, 8, -1, None), (10, 8, -1, None)}

@@ -200,7 +200,7 @@ UNION ALL SELECT src, min(low), CAST(-1 AS BIGINT) FROM walk JOIN low ON low.id
 def p5_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Path from the root down, depth and root of every segment; a null path at or below loops."""
     out = hierarchy.resolve(*_links(spark, sf_dir), Scratch(spark, "p5p"), paths=True)
-    return out.select(F.col("id").alias("seg_id"), F.col("root").alias("root_id"), "n_links", F.concat_ws("/", F.col("path").cast("array<string>")).alias("path")).where("n_links >= 0")
+    return out.select(F.col("id").alias("seg_id"), F.col("root").alias("root_id"), "n_links", F.array_join(F.col("path").cast("array<string>"), "/").alias("path"))
 
 
 P5_PATHS_SQL = f"""
