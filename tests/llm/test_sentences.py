@@ -63,3 +63,10 @@ def test_frame(spark):
     df = spark.createDataFrame([(1, "A b. C d.", "en", 5), (2, None, "en", 5), (3, "", None, 5), (4, " Ab ", None, 5)], "doc_id bigint, text string, lang string, start_pos int")
     assert sorted(map(tuple, S.sentence_units(df).collect())) == [(1, 0, 4), (1, 5, 9), (4, 1, 3)]
     assert S.sentence_units(df.limit(0)).collect() == []
+
+
+def test_language_is_that_of_the_whole_text():
+    opening = "The title of the device is given with the words of the applicant. " * 40
+    body = "อุปกรณ์ประกอบด้วยตัวเรือนและฝาปิด " * 400
+    assert len(opening) > 2000
+    assert S.language_of(opening + body, "en") == "th"

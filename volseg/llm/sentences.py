@@ -183,12 +183,11 @@ def rules_for(lang: str) -> re.Pattern:
 
 
 def language_of(text: str, lang: str | None) -> str:
-    """The language whose tables apply: by script, else the stated one if its common words bear it out."""
-    sample = text[:2000]
+    """The language whose tables apply to the whole text: by script, else the stated one if its common words bear it out."""
     for name, pattern in SCRIPTS:
-        if len(pattern.findall(sample)) * 4 > len(sample):
+        if len(pattern.findall(text)) * 4 > len(text):
             return name
-    counts = {name: len(pattern.findall(sample)) for name, pattern in HEAD_WORDS}
+    counts = {name: len(pattern.findall(text)) for name, pattern in HEAD_WORDS}
     stated = (lang or "").strip().lower()[:2]
     best = max(counts, key=counts.get)
     if stated in counts and counts[stated] * 2 >= counts[best]:
