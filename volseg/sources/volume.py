@@ -1,4 +1,4 @@
-"""Dense volumes as tables: a Python data source over npy, HDF5, Zarr and stores of HDF5 chunks.
+"""Dense volumes as tables: a Python data source over npy, HDF5 and Zarr; stores of HDF5 chunks by ``ChunkStore`` only.
 
 Arrays are stored as (C, Z, Y, X) or (Z, Y, X); rows come out as x, y, z and one column for each channel. Files are
 opened where they are read, one block of planes to a partition; optional libraries are imported only then.
