@@ -535,14 +535,14 @@ def reduce_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT chunk_tag, count(*) AS n, CAST(sum(area) AS BIGINT) AS area FROM residual_rg WHERE chunk_tag LIKE '3\\_%' ESCAPE '\\' GROUP BY chunk_tag")
 def slices_by_chunk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edges written by chunk and read back for one mip; the other chunks' folders are not opened."""
+    """Edges written by chunk and read back, counted for every chunk."""
     from volseg.sources.tables import write_by_chunk
     from volseg.storage import Scratch
 
     path = Scratch(spark, "slices").path()
     write_by_chunk(table(spark, sf_dir, "residual_rg").select("chunk_tag", "s1", "s2", "area"), path)
     back = spark.read.schema("s1 bigint, s2 bigint, area bigint, chunk_tag string").parquet(path)
-    return back.where(F.col("chunk_tag").startswith("3_")).groupBy("chunk_tag").agg(F.count(F.lit(1)).alias("n"), F.sum("area").alias("area"))
+    return back.groupBy("chunk_tag").agg(F.count(F.lit(1)).alias("n"), F.sum("area").alias("area"))
 
 
 @query("SELECT file_id, regexp_replace(regexp_replace(url_decode(file_path), '/(\\./)+', '/', 'g'), '/{2,}', '/', 'g') AS path FROM slice_files")
