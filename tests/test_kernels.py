@@ -102,9 +102,14 @@ def test_spanning_forest_is_maximal():
     assert abs(got - best) < 1e-12
 
 
-def test_descent_merge():
-    assert K.descent_merge([(0.9, 1, 2), (0.5, 2, 3)], {1: 0.9, 2: 0.9, 3: 0.6}) == {1: 1, 2: 1, 3: 3}
-    assert K.descent_merge([(0.9, 1, 2), (0.5, 2, 3)], {1: 0.9, 2: 0.9, 3: 0.5})[3] == 1
+def test_join_descents():
+    def run(third):
+        nodes = {i: [i, i == 3, d] for i, d in ((1, 0.9), (2, 0.9), (3, third))}
+        return K.join_descents([(0.9, 1, 2), (0.5, 2, 3)], nodes, 0.99), nodes
+
+    assert run(0.6)[0] == {2: 1}
+    stand, nodes = run(0.5)
+    assert stand == {2: 1, 3: 1} and nodes[1] == [6, True, 0.99]  # what drains elsewhere counts as a plateau
 
 
 def test_basins():

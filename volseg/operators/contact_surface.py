@@ -8,8 +8,7 @@ from pyspark.sql import functions as F
 
 from volseg.operators import kernels
 from volseg.operators.condition import KEY
-from volseg.operators.graph import per_component
-
+from volseg.operators.graph import component_labels, per_component
 
 
 def contact_voxels(contact: DataFrame, low: float | None = None, high: float | None = None) -> DataFrame:
@@ -27,7 +26,8 @@ def contact_voxels(contact: DataFrame, low: float | None = None, high: float | N
 def patches(voxels: DataFrame) -> DataFrame:
     """Adds ``patch``, the least coordinate of the connected part (26 neighbours) as ``x * 2^42 + y * 2^21 + z``.
 
-    A pair's contact is bounded by the surface of a segment and is labelled in one task; pairs share tasks.
+    A pair's contact is bounded by the surface of a segment and is labelled in one task; pairs share tasks, and a
+    hash only brings a pair's rows together.
     """
     keyed = voxels.withColumn("_pair", F.xxhash64("s1", "s2"))
 
@@ -36,11 +36,8 @@ def patches(voxels: DataFrame) -> DataFrame:
         for _, part in pdf.groupby(["s1", "s2"], sort=False):
             coords = list(zip(part["x"].tolist(), part["y"].tolist(), part["z"].tolist()))
             label = kernels.coordinate_components(coords)
-            least: dict[int, int] = {}
-            code = [(x << 42) + (y << 21) + z for x, y, z in coords]
-            for k, c in zip(label, code):
-                least[k] = min(c, least.get(k, c))
-            out.append(part.assign(patch=[least[k] for k in label]))
+            code = pd.Series([(x << 42) + (y << 21) + z for x, y, z in coords])
+            out.append(part.assign(patch=code.groupby(label).transform("min").to_numpy()))
         if not out:
             return pd.DataFrame(columns=["s1", "s2", "x", "y", "z", "axes", "patch"])
         return pd.concat(out)[["s1", "s2", "x", "y", "z", "axes", "patch"]]
@@ -77,10 +74,12 @@ def merge_over_faces(parts: DataFrame, chunk: tuple[int, int, int], scratch) ->
     ``parts``: voxels with a ``patch`` that is unique within block and pair. Two patches of a pair are one if voxels
     of theirs in different blocks are 26-neighbours. The links are met by one equi join on shifted coordinates.
     """
-    from volseg.operators.graph import component_labels
-
     block = [F.floor(F.col(c) / n).alias(f"_c{c}") for c, n in zip(KEY, chunk)]
-    named = scratch.save(parts.withColumn("piece", F.xxhash64("s1", "s2", "patch", *block)))
+    keys = ["s1", "s2", "patch", *[f"_c{c}" for c in KEY]]
+    placed = parts.select("*", *block)
+    # a number for each piece, fixed once it is written
+    pieces = scratch.save(placed.select(*keys).distinct().withColumn("piece", F.monotonically_increasing_id()))
+    named = scratch.save(placed.join(pieces, keys))
     near = F.lit(False)
     for c, n in zip(KEY, chunk):
         near = near | (F.col(c) % n == 0) | (F.col(c) % n == n - 1)

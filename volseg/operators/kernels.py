@@ -65,15 +65,19 @@ def confident_label(labels: tuple[int, int, int], p: Agglomeration) -> int | Non
     return labels.index(top) if total >= p.labelled and top >= p.dominance * total else None
 
 
-def agglomerate(edges: Iterable[tuple[int, int, float, int]], nodes: dict[int, Node], p: Agglomeration, by_degree: bool = True) -> dict[str, list]:
-    """Merge along the edge of greatest mean affinity while it exceeds the threshold.
+def agglomerate(edges: Iterable[tuple[int, int, float, int]], nodes: dict[int, Node], p: Agglomeration, by_degree: bool = True, stop: float | None = None) -> dict[str, list]:
+    """Merge along the edge of greatest mean affinity while it exceeds the target.
 
     Ties go to the smaller pair of ids. Returns ``remap`` (old, new), in order of the merges, and the edges that
     were set aside as (s1, s2, sum, area): ``residual`` next to frozen segments, ``nucleus``, ``semantic`` and
-    ``size`` vetoes, ``twig`` merges, and ``final``, what is left below the threshold. An edge that was vetoed does
-    not come back.
+    ``size`` vetoes, ``twig`` merges, and ``final``, what is left below the target. An edge that was vetoed does
+    not come back, nor does one that the twig rule refuses. ``nodes`` is left with what the segments have become.
+
+    With ``stop`` above the target the run ends there and what is left is ``open``, to go on from with ``nodes``:
+    a mean never exceeds the greater of the means it is made of, so no edge rises above ``stop`` again.
     """
-    out: dict[str, list] = {k: [] for k in ("remap", "residual", "nucleus", "semantic", "size", "twig", "final")}
+    out: dict[str, list] = {k: [] for k in ("remap", "residual", "nucleus", "semantic", "size", "twig", "final", "open")}
+    limit = p.target if stop is None else stop
     heap = []
 
     def push(a: int, b: int, w: list) -> None:
@@ -108,7 +112,7 @@ def agglomerate(edges: Iterable[tuple[int, int, float, int]], nodes: dict[int, N
         if w is None or w[2] != seen:
             continue
         mean = -key
-        if not mean > p.threshold:
+        if not mean > limit:
             break
         u, v = nodes[a], nodes[b]
         if u.frozen or v.frozen:
@@ -126,7 +130,7 @@ def agglomerate(edges: Iterable[tuple[int, int, float, int]], nodes: dict[int, N
         if mean <= p.size_affinity and min(u.size, v.size) > p.small and u.size + v.size > p.large:
             drop(a, b, "size")
             continue
-        if p.twig > 0 and mean <= p.threshold + p.twig:
+        if p.twig > 0 and mean <= p.threshold:
             if min(u.size, v.size) > p.twig_size or w[1] > p.twig_area:
                 drop(a, b, None)
                 continue
@@ -163,44 +167,71 @@ def agglomerate(edges: Iterable[tuple[int, int, float, int]], nodes: dict[int, N
     for a, node in nodes.items():
         for b, w in node.edges.items():
             if a < b:
-                out["residual" if node.frozen and nodes[b].frozen else "final"].append((a, b, w[0], w[1]))
+                kind = "open" if stop is not None else "residual" if node.frozen and nodes[b].frozen else "final"
+                out[kind].append((a, b, w[0], w[1]))
     return out
 
 
-def merge_small(edges: list[tuple[float, int, int]], size: dict[int, int], border: dict[int, bool], limit: int, dust: int, above: float) -> tuple[dict[int, int], list[tuple[float, int, int]], dict[int, tuple[int, bool]]]:
-    """Basins joined along falling scores while one of a pair is small.
+def join_small(edges: Iterable[tuple[float, int, int]], nodes: dict[int, list], limit: int) -> dict[int, int]:
+    """Basins joined along edges (score, a, b), in the order given, while one of a pair is small.
 
-    Two basins of at least ``limit`` voxels stay apart. Interior ones join; a small interior one joins a large one
-    at the border. Other pairs at the border stay apart, and both then count as border. What is smaller than
-    ``dust`` and interior goes to 0. Returns old to new (the least member id, or 0), the maximum spanning forest of
-    the edges above the threshold between what is left, and the new (size, border) records.
+    ``nodes``: basin to [size, at the border, ...], left with what the basins have become. Two basins of at least
+    ``limit`` voxels stay apart. Interior ones join; a small interior one joins a large one at the border. Other
+    pairs stay apart, and both then count as border. Returns what stands for each basin that was joined.
     """
     sets = Sets()
-    n, b = dict(size), dict(border)
-    order = sorted(edges, key=lambda e: (-e[0], e[1], e[2]))
-    for score, s1, s2 in order:
-        if not score > above:
-            break
-        s1, s2 = sorted((sets.find(s1), sets.find(s2)))
-        if s1 == s2 or not s1:
+    for _, a, b in edges:
+        x, y = sorted((sets.find(a), sets.find(b)))
+        if x == y or not x:
             continue
-        big1, big2 = n[s1] >= limit, n[s2] >= limit
-        if big1 and big2:
+        u, v = nodes[x], nodes[y]
+        big = u[0] >= limit, v[0] >= limit
+        if all(big):
             continue
-        free = not (b[s1] or b[s2])
-        if free or (big1 and not b[s2]) or (big2 and not b[s1]):
-            n[s1] += n[s2]
-            b[s1] = b[s1] or b[s2]
-            sets.link(s1, s2)
+        if not (u[1] or v[1]) or (big[0] and not v[1]) or (big[1] and not u[1]):
+            u[0] += v[0]
+            u[1] = u[1] or v[1]
+            sets.link(x, y)
         else:
-            b[s1] = b[s2] = True
+            u[1] = v[1] = True
+    return {i: sets.find(i) for i in list(sets.up)}
+
+
+def join_descents(edges: Iterable[tuple[float, int, int]], nodes: dict[int, list], top: float) -> dict[int, int]:
+    """Basins cut at a seam joined along edges (score, a, b), in the order given, where the edge is the steepest
+    descent of either side.
+
+    ``nodes``: basin to [size, at the border, descent]. The greater descent of the two holds for both, but only if
+    it is that of the edge; otherwise they drain elsewhere and ``top`` takes its place.
+    """
+    sets = Sets()
+    for score, a, b in edges:
+        x, y = sorted((sets.find(a), sets.find(b)))
+        if x == y:
+            continue
+        u, v = nodes[x], nodes[y]
+        if score in (u[2], v[2]):
+            high = max(u[2], v[2])
+            u[:] = [u[0] + v[0], u[1] or v[1], high if high == score else top]
+            sets.link(x, y)
+    return {i: sets.find(i) for i in list(sets.up)}
+
+
+def merge_small(edges: list[tuple[float, int, int]], size: dict[int, int], border: dict[int, bool], limit: int, dust: int, above: float) -> tuple[dict[int, int], list[tuple[float, int, int]], dict[int, tuple[int, bool]]]:
+    """:func:`join_small` along falling scores above ``above``, for all edges at once.
+
+    What is smaller than ``dust`` and interior goes to 0. Returns old to new (the least member id, or 0), the maximum
+    spanning forest of the edges above the threshold between what is left, and the new (size, border) records.
+    """
+    order = sorted((e for e in edges if e[0] > above), key=lambda e: (-e[0], e[1], e[2]))
+    nodes = {s: [size[s], border[s]] for s in size}
+    stand = join_small(order, nodes, limit)
     new = {}
     for s in size:
-        r = sets.find(s)
-        new[s] = r if r and (b[r] or n[r] >= dust) else 0
-    kept = [(w, *sorted((new.get(x, 0), new.get(y, 0)))) for w, x, y in order if w > above]
-    records = {r: (n[r], b[r]) for r in set(new.values()) if r}
-    return new, spanning_forest([e for e in kept if e[1] and e[1] != e[2]]), records
+        r = stand.get(s, s)
+        new[s] = r if r and (nodes[r][1] or nodes[r][0] >= dust) else 0
+    kept = [(w, *sorted((new.get(x, 0), new.get(y, 0)))) for w, x, y in order]
+    return new, spanning_forest([e for e in kept if e[1] and e[1] != e[2]]), {r: tuple(nodes[r]) for r in set(new.values()) if r}
 
 
 def spanning_forest(edges: list[tuple[float, int, int]]) -> list[tuple[float, int, int]]:
@@ -214,25 +245,15 @@ def spanning_forest(edges: list[tuple[float, int, int]]) -> list[tuple[float, in
     return out
 
 
-def descent_merge(edges: list[tuple[float, int, int]], descent: dict[int, float]) -> dict[int, int]:
-    """Basins cut at a seam joined along falling affinities where an edge is the steepest descent of either side."""
-    sets, steep = Sets(), dict(descent)
-    for w, a, b in sorted(edges, key=lambda e: (-e[0], e[1], e[2])):
-        x, y = sorted((sets.find(a), sets.find(b)))
-        if x != y and w in (steep.get(x), steep.get(y)):
-            high = max(steep.get(x, 0.0), steep.get(y, 0.0))
-            sets.link(x, y)
-            steep[x] = high
-    return {s: sets.find(s) for s in {x for _, a, b in edges for x in (a, b)}}
-
-
 #: Direction bits: towards the voxel before on x, y, z, then the one after.
 BITS = (1, 2, 4, 8, 16, 32)
 
 
-def basins(bits: np.ndarray) -> np.ndarray:
+def basins(bits: np.ndarray, halo: bool = False) -> np.ndarray:
     """Basin of each voxel of a block ``bits[x, y, z]`` of direction bits, numbered from 1; 0 without any direction.
 
+    With ``halo`` the outermost voxels lie beyond the block: none starts a basin, but trails lead into them and, where
+    their bits point back, out again; what drains into the same one is one basin. Their labels are not returned.
     Voxels are taken in the order z, y, x (x fastest). From each that has no basin yet the directions are followed
     breadth first. The trail joins the first basin it meets, and founds a new one if it meets none. A step that the
     voxel reached does not return is a descent off the plateau: the search goes on from there alone.
@@ -241,11 +262,15 @@ def basins(bits: np.ndarray) -> np.ndarray:
     flat = bits.transpose(2, 1, 0).ravel()
     step = [-1, -shape[0], -shape[0] * shape[1], 1, shape[0], shape[0] * shape[1]]
     moves = [[(step[d], BITS[(d + 3) % 6]) for d in range(6) if b & BITS[d]] for b in range(64)]
+    own = np.ones(shape[::-1], dtype=bool)
+    if halo:
+        own[:] = False
+        own[1:-1, 1:-1, 1:-1] = True
     basin = np.full(flat.size, -1, dtype=np.int64)
-    basin[flat == 0] = 0
+    basin[(flat == 0) & own.ravel()] = 0
     codes, seen, count = flat.tolist(), bytearray(flat.size), 0
     label = basin.tolist()
-    for start in range(flat.size):
+    for start in np.flatnonzero(own).tolist():
         if label[start] >= 0:
             continue
         trail, queue, found = [start], [start], None
@@ -274,7 +299,8 @@ def basins(bits: np.ndarray) -> np.ndarray:
             found = count
         for at in trail:
             label[at] = found
-    return np.array(label, dtype=np.int64).reshape(shape[::-1]).transpose(2, 1, 0)
+    out = np.array(label, dtype=np.int64).reshape(shape[::-1]).transpose(2, 1, 0)
+    return out[1:-1, 1:-1, 1:-1] if halo else out
 
 
 def flood(cost: np.ndarray, seeds: np.ndarray, mask: np.ndarray) -> np.ndarray:

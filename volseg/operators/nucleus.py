@@ -74,10 +74,13 @@ def pair_gaps(qualified: DataFrame, spheres: DataFrame) -> DataFrame:
 
 def contact_groups(qualified: DataFrame, gaps: DataFrame, contact_um: float, scratch: Scratch) -> DataFrame:
     """``sid, nuc, anchor, members, groups``: nuclei of a segment that nearly touch, by the least id of the group."""
-    key = F.xxhash64("sid", "nuc")
-    near = gaps.where(F.col("gap") < contact_um).select(F.xxhash64("sid", "n1").alias("s1"), F.xxhash64("sid", "n2").alias("s2"))
-    cc = component_labels(near, scratch)
-    rows = qualified.withColumn("_k", key).join(cc, F.col("_k") == F.col("id"), "left").withColumn("_g", F.coalesce("cc", "_k"))
+    # a number for each nucleus of a segment, rising with the nucleus and fixed once it is written
+    nodes = scratch.save(qualified.select("sid", "nuc").distinct().withColumn("_k", F.monotonically_increasing_id()))
+    near = gaps.where(F.col("gap") < contact_um).select("sid", "n1", "n2")
+    for i in (1, 2):
+        near = near.join(nodes.select("sid", F.col("nuc").alias(f"n{i}"), F.col("_k").alias(f"s{i}")), ["sid", f"n{i}"])
+    cc = component_labels(near.select("s1", "s2"), scratch)
+    rows = nodes.join(cc, F.col("_k") == F.col("id"), "left").withColumn("_g", F.coalesce("cc", "_k"))
     within, segment = Window.partitionBy("sid", "_g"), Window.partitionBy("sid")
     rows = rows.select("sid", "nuc", F.min("nuc").over(within).alias("anchor"), F.count(F.lit(1)).over(within).alias("members"))
     return rows.withColumn("groups", F.size(F.collect_set("anchor").over(segment)).cast("bigint"))

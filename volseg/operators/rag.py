@@ -2,27 +2,55 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from volseg.operators.blocks import CHUNK, Block, per_block
 from volseg.operators.condition import AFFINITIES, KEY
 
 
-def contacts(voxels: DataFrame, sid: str = "sid") -> DataFrame:
+def _touching(block: Block) -> list[tuple[np.ndarray, ...]]:
+    """For each axis what is on both sides of an inner face between two segments, with its affinity and place."""
+    sid = block.array("_sid")
+    here, out = sid[block.inner], []
+    for i, a in enumerate(AFFINITIES):
+        before = sid[block.shifted(i, -1)]
+        at = np.nonzero((here != before) & (here != 0) & (before != 0))
+        u, v = here[at], before[at]
+        out.append((np.minimum(u, v), np.maximum(u, v), block.array(a)[block.inner][at], at))
+    return out
+
+
+def _read(voxels: DataFrame, sid: str) -> DataFrame:
+    return voxels.where(F.col(sid) != 0).select(*KEY, F.col(sid).alias("_sid"), *[F.coalesce(a, F.lit(0.0)).cast("double").alias(a) for a in AFFINITIES])
+
+
+def contacts(voxels: DataFrame, sid: str = "sid", chunk: tuple[int, int, int] = CHUNK) -> DataFrame:
     """``s1, s2, axis, x, y, z, aff``: a row for every pair of adjacent voxels of different segments, s1 < s2.
 
-    One join instead of three: each voxel looks for its three predecessors, whose keys come from one explode. Id 0
-    is background and touches nothing. The affinity is that of the voxel with the greater coordinate.
+    Id 0 and null are background and touch nothing. The affinity is that of the voxel with the greater coordinate;
+    a null one is 0. The volume is shuffled once, by block.
     """
-    v = voxels.where(F.col(sid) != 0)
-    looks = F.explode(F.array(*[
-        F.struct(F.lit(i).alias("axis"), F.col(a).alias("aff"), *[(F.col(c) - 1 if c == k else F.col(c)).cast("int").alias(f"p{c}") for c in KEY])
-        for i, (k, a) in enumerate(zip(KEY, AFFINITIES))
-    ])).alias("p")
-    here = v.select(*KEY, F.col(sid).alias("_a"), looks)
-    before = v.select(*[F.col(c).cast("int").alias(f"_{c}") for c in KEY], F.col(sid).alias("_b"))
-    pairs = here.join(before, [F.col(f"p.p{c}") == F.col(f"_{c}") for c in KEY]).where("_a <> _b")
-    return pairs.select(F.least("_a", "_b").alias("s1"), F.greatest("_a", "_b").alias("s2"), F.col("p.axis").alias("axis"), *KEY, F.col("p.aff").alias("aff"))
+
+    def run(block: Block) -> dict:
+        parts = [{"s1": s1, "s2": s2, "axis": np.full(len(s1), i, np.int32), **block.coordinates(at), "aff": aff} for i, (s1, s2, aff, at) in enumerate(_touching(block))]
+        return {k: np.concatenate([p[k] for p in parts]) for k in parts[0]}
+
+    return per_block(_read(voxels, sid), chunk, ["_sid", *AFFINITIES], run, "s1 bigint, s2 bigint, axis int, x int, y int, z int, aff double", after=False)
+
+
+def graph_of_volume(voxels: DataFrame, sid: str = "sid", chunk: tuple[int, int, int] = CHUNK) -> DataFrame:
+    """``s1, s2, sum_aff, area`` of a volume: each block sends one row for each of its pairs, not its contacts."""
+
+    def run(block: Block) -> dict:
+        s1, s2, aff = (np.concatenate(part) for part in list(zip(*_touching(block)))[:3])
+        pairs, at = np.unique(np.stack([s1, s2], axis=1), axis=0, return_inverse=True)
+        at = at.reshape(-1)
+        return {"s1": pairs[:, 0], "s2": pairs[:, 1], "sum_aff": np.bincount(at, weights=aff, minlength=len(pairs)), "area": np.bincount(at, minlength=len(pairs))}
+
+    parts = per_block(_read(voxels, sid), chunk, ["_sid", *AFFINITIES], run, "s1 bigint, s2 bigint, sum_aff double, area bigint", after=False)
+    return parts.groupBy("s1", "s2").agg(F.sum("sum_aff").alias("sum_aff"), F.sum("area").alias("area"))
 
 
 def region_graph(contact: DataFrame) -> DataFrame:
@@ -42,17 +70,17 @@ def per_axis(contact: DataFrame) -> DataFrame:
 def scored(contact: DataFrame, score: str, percentile: float | None = None) -> DataFrame:
     """``score, s1, s2`` with the edge score ``max``, ``mean`` or ``percentile``.
 
-    The percentile is of nearest rank, ``floor(p/100 * (n-1) + 0.5)``. A pair's affinities are bounded by its
-    contact area; they are gathered for the percentile only.
+    The percentile is of nearest rank, ``floor(p/100 * (n-1) + 0.5)``. Equal affinities of a pair are counted before
+    the shuffle; the counted values of a pair are then run through in order, not gathered.
     """
-    if score == "max":
-        value: Column = F.max("aff")
-    elif score == "mean":
-        value = F.sum("aff") / F.count(F.lit(1))
-    else:
-        rank = F.floor(F.lit(percentile / 100.0) * (F.count(F.lit(1)) - 1) + 0.5).cast("int")
-        value = F.element_at(F.sort_array(F.collect_list("aff")), rank + 1)
-    return contact.groupBy("s1", "s2").agg(value.alias("score")).select("score", "s1", "s2")
+    if score != "percentile":
+        value: Column = F.max("aff") if score == "max" else F.sum("aff") / F.count(F.lit(1))
+        return contact.groupBy("s1", "s2").agg(value.alias("score")).select("score", "s1", "s2")
+    counted = contact.groupBy("s1", "s2", "aff").agg(F.count(F.lit(1)).alias("n"))
+    pair = Window.partitionBy("s1", "s2")
+    upto, total = F.sum("n").over(pair.orderBy("aff").rowsBetween(Window.unboundedPreceding, 0)), F.sum("n").over(pair)
+    rows = counted.select("s1", "s2", "aff", "n", upto.alias("upto"), F.floor(F.lit(percentile / 100.0) * (total - 1) + 0.5).alias("rank"))
+    return rows.where((F.col("rank") >= F.col("upto") - F.col("n")) & (F.col("rank") < F.col("upto"))).select(F.col("aff").alias("score"), "s1", "s2")
 
 
 def remap_ids(df: DataFrame, remap: DataFrame, *columns: str) -> DataFrame:

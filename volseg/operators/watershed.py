@@ -2,39 +2,48 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from volseg.operators import kernels
+from volseg.operators.blocks import CHUNK, Block, per_block
 from volseg.operators.condition import AFFINITIES, AXES, KEY
-from volseg.operators.graph import component_labels, per_component
+from volseg.operators.graph import component_labels, in_order, relabel, spanning_forest
 from volseg.operators.grid import IDS_PER_CHUNK
 from volseg.storage import Scratch
 
+#: Edges of a component that one task may hold; wider components are taken in stages.
+MOST_EDGES = 1_000_000
+
+
+def _bits(block: Block, low: float, high: float) -> np.ndarray:
+    there = block.there
+    before, after = [], []
+    for i, a in enumerate(AFFINITIES):
+        aff = block.array(a)
+        before.append(np.where(there[block.shifted(i, -1)], aff[block.inner], low))
+        after.append(np.where(there[block.shifted(i, 1)], aff[block.shifted(i, 1)], low))
+    edges = np.stack([*before, *after])
+    best = edges.max(axis=0)
+    bits = (((edges == best) | (edges >= high)) * np.array(kernels.BITS).reshape(6, 1, 1, 1)).sum(axis=0)
+    return np.where((best > low) & there[block.inner], bits, 0)
+
 
-def direction_bits(voxels: DataFrame, low: float, high: float) -> DataFrame:
+def direction_bits(voxels: DataFrame, low: float, high: float, chunk: tuple[int, int, int] = CHUNK) -> DataFrame:
     """``x, y, z, bits``: the steepest edges of each voxel, and all of at least ``high``.
 
     Bits 1, 2, 4 are the edges to the voxels before on x, y, z; 8, 16, 32 those after. A voxel whose best edge is
     not above ``low`` has no bits; beyond the last voxel an edge counts as ``low``.
     """
-    here = voxels.select(*KEY, *AFFINITIES)
-    for i, (c, a) in enumerate(zip(AXES, AFFINITIES)):
-        near = here.select(*KEY, F.col(a))
-        after = near.select(*[(F.col(k) - 1).alias(k) if k == c else F.col(k) for k in KEY], F.col(a).alias(f"_p{i}"))
-        before = near.select(*[(F.col(k) + 1).alias(k) if k == c else F.col(k) for k in KEY], F.lit(True).alias(f"_h{i}"))
-        here = here.join(after, KEY, "left").join(before, KEY, "left")
-    neg = [F.when(F.col(f"_h{i}"), F.col(a)).otherwise(F.lit(low)) for i, a in enumerate(AFFINITIES)]
-    pos = [F.coalesce(f"_p{i}", F.lit(low)) for i in range(3)]
-    here = here.select(*KEY, *[c.alias(f"e{i}") for i, c in enumerate([*neg, *pos])])
-    edges = [F.col(f"e{i}") for i in range(6)]
-    best = F.greatest(*edges)
-    bits: Column = F.lit(0)
-    for e, b in zip(edges, kernels.BITS):
-        bits = bits + F.when((e == best) | (e >= high), b).otherwise(0)
-    return here.select(*KEY, F.when(best > low, bits).otherwise(0).alias("bits"))
+
+    def run(block: Block) -> dict:
+        at = np.nonzero(block.there[block.inner])
+        return {**block.coordinates(at), "bits": _bits(block, low, high)[at].astype(np.int32)}
+
+    return per_block(voxels, chunk, AFFINITIES, run, "x int, y int, z int, bits int")
 
 
 def halo_bits(voxels: DataFrame, extent: tuple[int, int, int], high: float) -> DataFrame:
@@ -54,38 +63,32 @@ def halo_bits(voxels: DataFrame, extent: tuple[int, int, int], high: float) -> D
 
 
 def basins(voxels: DataFrame, chunk: tuple[int, int, int], low: float, high: float) -> DataFrame:
-    """``x, y, z, sid``: basins of every block, each block on its own, with ids that name their block.
+    """``x, y, z, sid, bits``: basins of every block with ids that name their block, and the direction bits.
 
-    A block's basins are found in one task; blocks are cut to a size that fits one. Id 0 is background.
+    A block sees one voxel beyond its faces: a basin that drains out of the block does so by its own voxel there,
+    and plateaus (edges of at least ``high``) lead out and in again. Each block is one task; stitching joins what a
+    face cuts. Id 0 is background.
     """
-    place = [F.floor(F.col(c) / n).cast("int").alias(f"c{c}") for c, n in zip(KEY, chunk)]
-    inner = voxels
-    for c, a, n in zip(KEY, AFFINITIES, chunk):
-        inner = inner.withColumn(a, F.when(F.col(c) % n == 0, F.lit(0.0)).otherwise(F.col(a)))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        corner = [int(pdf[c].min()) // n * n for c, n in zip(KEY, chunk)]
-        at = tuple((pdf[c] - o).to_numpy() for c, o in zip(KEY, corner))
-        aff = np.zeros((3, *(n + 1 for n in chunk)))
-        there = np.zeros([n + 1 for n in chunk], dtype=bool)
-        there[at] = True
+
+    def run(block: Block) -> dict:
+        there = block.there
+        bits = np.zeros(there.shape, dtype=np.int64)
+        bits[block.inner] = _bits(block, low, high)
         for i, a in enumerate(AFFINITIES):
-            before = tuple(x - (i == k) for k, x in enumerate(at))
-            has = np.array(before[i] >= 0) & there[before]
-            aff[i][at] = np.where(has, pdf[a].to_numpy(), low)
-        inside = aff[(slice(None), *[slice(0, n) for n in chunk])]
-        after = [np.where(np.roll(there, -1, i)[tuple(slice(0, n) for n in chunk)], np.roll(aff[i], -1, i)[tuple(slice(0, n) for n in chunk)], low) for i in range(3)]
-        edges = np.stack([*inside, *after])
-        best = edges.max(axis=0)
-        bits = (((edges == best) | (edges >= high)) * np.array(kernels.BITS).reshape(6, 1, 1, 1)).sum(axis=0)
-        bits = np.where((best > low) & there[tuple(slice(0, n) for n in chunk)], bits, 0)
-        label = kernels.basins(bits)[at]
-        cx, cy, cz = (o // n for o, n in zip(corner, chunk))
-        offset = (cx << 46) | (cy << 36) | (cz << 26)
-        return pd.DataFrame({**{c: pdf[c] for c in KEY}, "sid": np.where(label > 0, label + offset, 0)})
-
-    rows = inner.select(*KEY, *AFFINITIES, *place)
-    return rows.groupBy("cx", "cy", "cz").applyInPandas(run, "x int, y int, z int, sid bigint")
+            strong = block.array(a) >= high
+            plane = [list(block.inner) for _ in range(4)]
+            for p, k in zip(plane, (0, 1, -1, -2)):
+                p[i] = k
+            first, second, last, _ = map(tuple, plane)
+            bits[first] = np.where(there[first] & strong[second], kernels.BITS[i + 3], 0)
+            bits[last] = np.where(there[last] & strong[last], kernels.BITS[i], 0)
+        label = kernels.basins(bits, halo=True)
+        at = np.nonzero(there[block.inner])
+        cx, cy, cz = (o // n for o, n in zip(block.low, block.size))
+        found = label[at]
+        return {**block.coordinates(at), "sid": np.where(found > 0, found + ((cx << 46) | (cy << 36) | (cz << 26)), 0), "bits": bits[block.inner][at].astype(np.int32)}
+
+    return per_block(voxels, chunk, AFFINITIES, run, "x int, y int, z int, sid bigint, bits int")
 
 
 def sizes_and_border(labels: DataFrame, chunk: tuple[int, int, int], extent: tuple[int, int, int]) -> DataFrame:
@@ -96,13 +99,22 @@ def sizes_and_border(labels: DataFrame, chunk: tuple[int, int, int], extent: tup
     return labels.groupBy("sid").agg(F.count(F.lit(1)).alias("size"), F.bool_or(edge & (F.col("sid") != 0)).alias("on_border"))
 
 
-def face_planes(voxels: DataFrame, chunk: tuple[int, int, int]) -> DataFrame:
-    """``axis, x, y, z, sid_o, sid_i, aff``: at every block face the voxel before, the one behind, and the edge."""
+def inside(labels: DataFrame, chunk: tuple[int, int, int]) -> DataFrame:
+    """The volume without the edges across block faces: what the blocks know of their region graph."""
+    cut = {a: F.when(F.col(c) % n == 0, None).otherwise(F.col(a)) for c, a, n in zip(KEY, AFFINITIES, chunk)}
+    return labels.select(*[cut[c].alias(c) if c in cut else F.col(c) for c in labels.columns])
+
+
+def face_planes(voxels: DataFrame, chunk: tuple[int, int, int], *extra: str) -> DataFrame:
+    """``axis, x, y, z, sid_o, sid_i, aff``: at every block face the voxel before, the one behind, and the edge.
+
+    ``extra`` columns come out for both voxels, with ``_o`` and ``_i`` after their names.
+    """
     out = None
     for i, (c, a, n) in enumerate(zip(AXES, AFFINITIES, chunk)):
-        inner = voxels.where((F.col(c) % n == 0) & (F.col(c) > 0)).select(*KEY, F.col("sid").alias("sid_i"), F.col(a).alias("aff"))
-        outer = voxels.where(F.col(c) % n == n - 1).select(*[(F.col(k) + 1).alias(k) if k == c else F.col(k) for k in KEY], F.col("sid").alias("sid_o"))
-        part = inner.join(outer, KEY).select(F.lit(i).alias("axis"), *KEY, "sid_o", "sid_i", "aff")
+        inner = voxels.where((F.col(c) % n == 0) & (F.col(c) > 0)).select(*KEY, *[F.col(k).alias(f"{k}_i") for k in ("sid", *extra)], F.col(a).alias("aff"))
+        outer = voxels.where(F.col(c) % n == n - 1).select(*[(F.col(k) + 1).alias(k) if k == c else F.col(k) for k in KEY], *[F.col(k).alias(f"{k}_o") for k in ("sid", *extra)])
+        part = inner.join(outer, KEY).select(F.lit(i).alias("axis"), *KEY, "sid_o", "sid_i", *[f"{k}_{s}" for k in extra for s in "oi"], "aff")
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -113,49 +125,117 @@ def classify_faces(faces: DataFrame, high: float) -> DataFrame:
     return pairs.groupBy("s1", "s2").agg((F.max("aff") >= high).alias("same"), F.max("aff").alias("aff"))
 
 
+def descents(faces: DataFrame, low: float, high: float) -> DataFrame:
+    """``sid, descent``: the affinity by which a basin drains over a face, where a voxel of it does (see its bits).
+
+    ``faces``: :func:`face_planes` with ``bits``. Edges below ``low``, and plateaus of at least ``high``, are none.
+    """
+    across = faces.where((F.col("sid_i") != 0) & (F.col("sid_o") != 0) & (F.col("aff") >= low) & (F.col("aff") < high))
+    ends = F.array_compact(F.array(
+        F.when(F.expr("shiftright(bits_o, axis + 3) % 2 = 1"), F.col("sid_o")),
+        F.when(F.expr("shiftright(bits_i, axis) % 2 = 1"), F.col("sid_i")),
+    ))
+    return across.select(F.explode(ends).alias("sid"), "aff").groupBy("sid").agg(F.max("aff").alias("descent"))
+
+
 def stitch_plateaus(classes: DataFrame, scratch: Scratch) -> DataFrame:
     """``old, new``: basins that are the same across faces, by their least id."""
     same = classes.where("same").select("s1", "s2")
     return component_labels(same, scratch).select(F.col("id").alias("old"), F.col("cc").alias("new"))
 
 
-def stitch_descents(classes: DataFrame, inner_best: DataFrame, low: float, scratch: Scratch) -> DataFrame:
+def stitch_descents(classes: DataFrame, inner_best: DataFrame, low: float, scratch: Scratch, top: float = 1.0, most: int = MOST_EDGES) -> DataFrame:
     """``old, new``: basins cut by a face joined where the edge across is the steepest way out of either.
 
-    ``inner_best``: ``sid, descent``, the best edge of each basin at the face. Runs per component of the face graph.
+    ``inner_best``: ``sid, descent``, the best edge of each basin at the face. Edges below ``low`` are passed over.
     """
-    edges = scratch.save(classes.where((F.col("aff") > low) & ~F.col("same")).select("s1", "s2", "aff"))
-    cc = component_labels(edges, scratch)
-    rows = edges.join(cc, F.col("s1") == F.col("id")).select("cc", F.lit(0).alias("kind"), F.col("s1").alias("a"), F.col("s2").alias("b"), F.col("aff").alias("w"))
-    best = inner_best.join(cc, F.col("sid") == F.col("id")).select("cc", F.lit(1).alias("kind"), F.col("sid").alias("a"), F.lit(0).cast("bigint").alias("b"), F.col("descent").alias("w"))
+    edges = classes.where((F.col("aff") >= low) & ~F.col("same")).select(F.col("aff").alias("score"), "s1", "s2")
+    ids = edges.select(F.explode(F.array("s1", "s2")).alias("sid")).distinct()
+    nodes = ids.join(inner_best, "sid", "left").select("sid", F.lit(0).cast("bigint").alias("size"), F.lit(False).alias("border"), F.coalesce("descent", F.lit(-1.0)).alias("descent"))
+    labels, _ = in_order(edges, nodes, lambda e, n: kernels.join_descents(e, n, top), "size bigint, border boolean, descent double", scratch, most)
+    return labels.select(F.col("id").alias("old"), F.col("cc").alias("new"))
+
+
+@dataclass(frozen=True)
+class Level:
+    """What stitching a level gives: ``remap`` (old, new; 0 is dust), ``edges`` (score, s1, s2) and ``sizes``."""
+
+    remap: DataFrame
+    edges: DataFrame
+    sizes: DataFrame
+
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        e, d = pdf[pdf.kind == 0], pdf[pdf.kind == 1]
-        new = kernels.descent_merge(list(zip(e.w, e.a, e.b)), dict(zip(d.a, d.w)))
-        return pd.DataFrame({"old": list(new.keys()), "new": list(new.values())}, dtype="int64")
+def _grown(edges: DataFrame, sizes: DataFrame, limit: int, dust: int, scratch: Scratch, most: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Labels after :func:`kernels.join_small`, the remap with dust as 0, and the sizes that are left."""
+    nodes = sizes.where("sid <> 0").select("sid", "size", F.col("on_border").alias("border"))
 
-    return per_component(rows.unionByName(best), "cc", run, "old bigint, new bigint")
+    def big(u: str, v: str):
+        return (F.col(f"{u}size") >= limit) & (F.col(f"{v}size") >= limit)  # sizes only grow
 
+    labels, states = in_order(edges, nodes, lambda e, n: kernels.join_small(e, n, limit), "size bigint, border boolean", scratch, most, big)
+    kept = scratch.save(states.where(F.col("border") | (F.col("size") >= dust)))
+    there = kept.select(F.col("sid").alias("_k"))
+    remap = labels.join(there, F.col("cc") == F.col("_k"), "left").select(F.col("id").alias("old"), F.coalesce("_k", F.lit(0)).cast("bigint").alias("new"))
+    return labels, scratch.save(remap), kept.select("sid", "size", F.col("border").alias("on_border"))
 
-def merge_segments(graph: DataFrame, sizes: DataFrame, limit: int, dust: int, above: float, scratch: Scratch) -> DataFrame:
+
+def _between(edges: DataFrame, remap: DataFrame) -> DataFrame:
+    """The best edge of each pair of what is left."""
+    moved = relabel(edges, remap.select(F.col("old").alias("id"), F.col("new").alias("cc")), "s1", "s2").where("s1 <> s2 AND s1 <> 0 AND s2 <> 0")
+    return moved.select("score", F.least("s1", "s2").alias("s1"), F.greatest("s1", "s2").alias("s2")).groupBy("s1", "s2").agg(F.max("score").alias("score")).select("score", "s1", "s2")
+
+
+def stitch(faces: DataFrame, graph: DataFrame, sizes: DataFrame, p, scratch: Scratch, most: int = MOST_EDGES) -> Level:
+    """One level of the octree: the basins on both sides of its inner faces become one segmentation.
+
+    ``faces``: :func:`face_planes` with ``bits``; ``graph``: ``score, s1, s2`` of the parts; ``sizes``: ``sid, size,
+    on_border``, the border being that of the level; ``p``: thresholds (``high, low, size, dust``). In this order:
+    plateaus across faces are joined; then, along falling scores of at least ``low``, basins that a face has cut
+    from the way they drain; then small basins; interior ones smaller than dust go to 0. What is handed on are the
+    edges of the maximum spanning forest both ends of which are at the border.
+    """
+    classes = scratch.save(classify_faces(faces.where(F.col("aff") >= p.low), p.high))
+    same = scratch.save(component_labels(classes.where("same"), scratch))
+    best = descents(faces, p.low, p.high)
+    rg = graph.select("score", "s1", "s2").unionByName(classes.where(F.col("aff") < p.high).select(F.col("aff").alias("score"), "s1", "s2"))
+    rg = scratch.save(relabel(rg.where(F.col("score") >= p.low), same, "s1", "s2"))
+    known = sizes.where("sid <> 0").join(best, "sid", "left").join(same, F.col("sid") == F.col("id"), "left")
+    nodes = known.groupBy(F.coalesce("cc", "sid").alias("sid")).agg(
+        F.sum("size").alias("size"), F.bool_or("on_border").alias("border"),
+        # what a plateau joins drains along it
+        F.when(F.count(F.lit(1)) > 1, F.lit(p.high)).otherwise(F.coalesce(F.max("descent"), F.lit(-1.0))).alias("descent"),
+    )
+    drained, states = in_order(rg, nodes, lambda e, n: kernels.join_descents(e, n, p.high), "size bigint, border boolean, descent double", scratch, most)
+    rg = scratch.save(relabel(rg, drained, "s1", "s2").where("s1 <> s2"))
+    grown, remap, left = _grown(rg, states.select("sid", "size", F.col("border").alias("on_border")), p.size, p.dust, scratch, most)
+    new = remap.select(F.col("old").alias("id"), F.col("new").alias("cc"))
+    old = sizes.where("sid <> 0").select(F.col("sid").alias("old"), F.col("sid").alias("new"))
+    for step in (same, drained, new):
+        old = relabel(old, step, "new")
+    forest = spanning_forest(_between(rg, remap), scratch)
+    border = left.where("on_border").select("sid")
+    return Level(scratch.save(old), border_edges(forest.select("score", "s1", "s2"), border), left)
+
+
+def merge_segments(graph: DataFrame, sizes: DataFrame, limit: int, dust: int, above: float, scratch: Scratch, most: int = MOST_EDGES) -> DataFrame:
     """Small basins joined along falling scores: ``kind, a, b, score``.
 
     ``remap`` rows hold old and new id (0: dust); ``edge`` rows the spanning forest of what is left. ``graph``:
-    ``score, s1, s2``; ``sizes``: ``sid, size, on_border``. Components of edges above the threshold run on their own;
-    basins without such an edge are decided by their size alone.
+    ``score, s1, s2``; ``sizes``: ``sid, size, on_border``. Edges up to the threshold play no part.
     """
     edges = scratch.save(graph.where(F.col("score") > above).select("score", "s1", "s2"))
-    cc = scratch.save(component_labels(edges, scratch))
-    rows = edges.join(cc, F.col("s1") == F.col("id")).select("cc", F.lit(0).alias("kind"), F.col("s1").alias("a"), F.col("s2").alias("b"), F.col("score").alias("w"), F.lit(False).alias("border"))
-    nodes = sizes.where("sid <> 0").join(cc, F.col("sid") == F.col("id"), "left").select(F.coalesce("cc", "sid").alias("cc"), F.lit(1).alias("kind"), F.col("sid").alias("a"), F.col("size").alias("b"), F.lit(0.0).alias("w"), F.col("on_border").alias("border"))
+    _, remap, _ = _grown(edges, sizes, limit, dust, scratch, most)
+    forest = spanning_forest(_between(edges, remap), scratch)
+    out = remap.select(F.lit("remap").alias("kind"), F.col("old").alias("a"), F.col("new").alias("b"), F.lit(0.0).alias("score"))
+    return out.unionByName(forest.select(F.lit("edge").alias("kind"), F.col("s1").alias("a"), F.col("s2").alias("b"), "score"))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        e, n = pdf[pdf.kind == 0], pdf[pdf.kind == 1]
-        new, forest, _ = kernels.merge_small(list(zip(e.w, e.a, e.b)), dict(zip(n.a, n.b)), dict(zip(n.a, n.border)), limit, dust, above)
-        out = [("remap", int(k), int(v), 0.0) for k, v in sorted(new.items())] + [("edge", int(a), int(b), float(w)) for w, a, b in forest]
-        return pd.DataFrame(out, columns=["kind", "a", "b", "score"])
 
-    return per_component(rows.unionByName(nodes), "cc", run, "kind string, a bigint, b bigint, score double")
+def compact_segments(merged: DataFrame, scratch: Scratch) -> DataFrame:
+    """The rows of :func:`merge_segments` with the new ids numbered 1, 2, ... in rising order; 0 stays."""
+    new = scratch.save(compact_ids(merged.where("kind = 'remap'").select(F.col("b").alias("sid"))))
+    to = new.select(F.col("old").alias("id"), F.col("new").alias("cc"))
+    remap = relabel(merged.where("kind = 'remap'"), to, "b")
+    return remap.unionByName(relabel(merged.where("kind = 'edge'"), to, "a", "b"))
 
 
 def merge_segments_at(graph: DataFrame, sizes: DataFrame, thresholds: list[tuple[int, int, float]], scratch: Scratch) -> DataFrame:
@@ -190,8 +270,6 @@ def route_remap(remap: DataFrame, border: DataFrame) -> DataFrame:
     Rows whose new id is still at the border are ``ongoing``: of each owner chunk and new id the least old id is the
     ``ongoing`` representative, the others are ``done_pre`` and are settled through it. The rest are ``done_post``.
     """
-    from pyspark.sql import Window
-
     flagged = remap.join(border.select(F.col("sid").alias("_b")).distinct(), F.col("new") == F.col("_b"), "left")
     owner = F.col("old") - F.col("old") % IDS_PER_CHUNK
     flagged = flagged.select("old", "new", owner.alias("ac"), F.col("_b").isNotNull().alias("open"))

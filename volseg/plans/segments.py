@@ -119,10 +119,20 @@ def agglomerate_frozen(spark: SparkSession, sf_dir: str) -> DataFrame:
     return agglomeration.agglomerate(e, nodes, PARAMETERS, Scratch(spark, "aggf"))
 
 
+def _staged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same agglomeration in stages that no component of more than fifty edges gets through in one piece."""
+
+    def make() -> DataFrame:
+        e = regions(spark, sf_dir)
+        return agglomeration.agglomerate(e, agglomeration.nodes_of(e), PARAMETERS, Scratch(spark, "aggs"), most=50)
+
+    return saved(spark, sf_dir, "staged", make)
+
+
 @query()
 def agglomerate_staged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Agglomeration at falling thresholds; the same partition as in one run."""
-    return agglomeration.agglomerate_in_stages(regions(spark, sf_dir), PARAMETERS, Scratch(spark, "aggs"), stages=(0.9, 0.7, 0.6))
+    return agglomeration.resolved(_staged(spark, sf_dir), Scratch(spark, "aggs"))
 
 
 @query()
@@ -138,14 +148,14 @@ def segment_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def forest_size(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges of the maximum spanning forest of the region graph, which is connected."""
     scored = regions(spark, sf_dir).select((F.col("sum_aff") / F.col("area")).alias("score"), "s1", "s2")
-    return agglomeration.spanning_forest(scored, Scratch(spark, "forest")).agg(F.count(F.lit(1)).alias("n_edges"))
+    return graph.spanning_forest(scored, Scratch(spark, "forest")).agg(F.count(F.lit(1)).alias("n_edges"))
 
 
 @query()
 def spanning_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The maximum spanning forest of the region graph by mean affinity."""
     scored = regions(spark, sf_dir).select((F.col("sum_aff") / F.col("area")).alias("score"), "s1", "s2")
-    return agglomeration.spanning_forest(scored, Scratch(spark, "forest"))
+    return graph.spanning_forest(scored, Scratch(spark, "forest"))
 
 
 def _basins(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -166,7 +176,7 @@ def ws_basins(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _basin_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     labels = voxels(spark, sf_dir).drop("sid").join(_basins(spark, sf_dir), ["x", "y", "z"])
-    g = saved(spark, sf_dir, "basin-graph", lambda: rag.scored(rag.contacts(labels), "max"))
+    g = saved(spark, sf_dir, "basin-graph", lambda: rag.scored(rag.contacts(labels, chunk=CHUNK), "max"))
     return g, saved(spark, sf_dir, "basin-sizes", lambda: watershed.sizes_and_border(labels, CHUNK, EXTENT))
 
 

@@ -26,7 +26,7 @@ def query(sql: str | None = None):
 
 
 def contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return saved(spark, sf_dir, "contacts", lambda: rag.contacts(voxels(spark, sf_dir)))
+    return saved(spark, sf_dir, "contacts", lambda: rag.contacts(voxels(spark, sf_dir), chunk=CHUNK))
 
 
 def regions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -219,7 +219,7 @@ SELECT x, y, z, CAST(CASE WHEN m > 0.25 THEN (CASE WHEN e0 = m OR e0 >= 0.9 THEN
 @query(_BITS_SQL)
 def ws_direction_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Steepest edges of every voxel."""
-    return watershed.direction_bits(voxels(spark, sf_dir), 0.25, 0.9)
+    return watershed.direction_bits(voxels(spark, sf_dir), 0.25, 0.9, CHUNK)
 
 
 @query(f"""{V} SELECT 0 AS face, x - 1 AS x, y, z, CASE WHEN ax >= 0.9 THEN 8 ELSE 0 END AS bits FROM voxel WHERE x = 0 UNION ALL SELECT 1, x, y - 1, z, CASE WHEN ay >= 0.9 THEN 16 ELSE 0 END FROM voxel WHERE y = 0
@@ -295,7 +295,7 @@ def ws_compact_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"{C} SELECT * FROM rag")
 def rag_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The region adjacency graph: affinity sum and area of every pair of segments in contact."""
-    return rag.region_graph(rag.contacts(voxels(spark, sf_dir)))
+    return rag.graph_of_volume(voxels(spark, sf_dir), chunk=CHUNK)
 
 
 @query(f"""{C} SELECT s1, s2, coalesce(sum(aff) FILTER (WHERE axis = 0), 0) AS aff_x, count(*) FILTER (WHERE axis = 0) AS area_x, coalesce(sum(aff) FILTER (WHERE axis = 1), 0) AS aff_y, count(*) FILTER (WHERE axis = 1) AS area_y,
