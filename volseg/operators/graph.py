@@ -192,6 +192,7 @@ def per_component(rows: DataFrame, cc: str, kernel: Callable[[pd.DataFrame], pd.
     names = rows.columns
     at = names.index(cc)
     target = to_arrow_schema(StructType.fromDDL(schema))
+    least = CALL_ROWS
 
     def call(part: pa.Table) -> pa.RecordBatch:
         out = kernel(part.to_pandas(integer_object_nulls=True))
@@ -199,7 +200,7 @@ def per_component(rows: DataFrame, cc: str, kernel: Callable[[pd.DataFrame], pd.
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-        n, most = 0, CALL_ROWS
+        n, most = 0, least
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -213,7 +214,7 @@ def per_component(rows: DataFrame, cc: str, kernel: Callable[[pd.DataFrame], pd.
             if len(before):
                 cut = int(before[-1]) + 1
                 yield call(whole.slice(0, cut))
-                held, n, most = whole.slice(cut).to_batches(), whole.num_rows - cut, CALL_ROWS
+                held, n, most = whole.slice(cut).to_batches(), whole.num_rows - cut, least
             else:
                 most *= 2  # a component larger than a call
         if n:

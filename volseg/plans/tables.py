@@ -83,13 +83,12 @@ def p2_key_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _keyed(spark, sf_dir).where("field_name <> 'size' AND key_value IS NOT NULL").select("field_name", "key_value", _finite("aff").alias("aff")).where("aff IS NOT NULL")
     rows = rows.withColumn("aff", F.col("aff") + F.lit(0.0))
     keys = ["field_name", "key_value"]
-    # equal affinities of a key are merged first: the integers are then made once for each distinct pair
-    pairs = rows.groupBy(*keys, "aff").agg(F.count(F.lit(1)).alias("n"))
-    hist = scratch.save(pairs.select(*keys, selection.double_to_sortable("aff").alias("v"), "n"))
-    totals = hist.groupBy(*keys).agg(F.sum("n").alias("total"))
-    targets = scratch.save(selection.quantile_targets(totals, keys, list(QUANTILES)))
-    got = selection.select_ranks(hist, targets, keys, scratch)
-    return got.select(*keys, F.col("target").alias("quantile"), F.col("rank").alias("rank_taken"), selection.sortable_to_double("v").alias("aff"))
+    # equal affinities of a key are merged first, as every round reads them
+    hist = scratch.save(selection.histogram(rows, keys, "aff"))
+    ranges = scratch.save(selection.key_ranges(hist, keys))
+    targets = selection.quantile_targets(ranges, keys, list(QUANTILES))
+    got = selection.select_ranks(hist, targets, keys, scratch, ranges)
+    return got.select(*keys, F.col("target").alias("quantile"), F.col("rank").alias("rank_taken"), F.col("v").alias("aff"))
 
 
 P2_KEY_QUANTILES_SQL = """
