@@ -1,8 +1,8 @@
 import random
-import tempfile
 
 import numpy as np
 import pyarrow.parquet as pq
+import pytest
 from pyspark.sql import functions as F
 
 from volseg.operators import compaction as C
@@ -60,23 +60,65 @@ def test_longest_first():
     assert C.longest_first(np.array([], dtype=np.int64), 2).tolist() == []
 
 
+RECORD = ["s1", "s2", "aff", "area"]
+
+
 def test_compact_keeps_every_record(spark):
     files = {("c", i): [(i, j, float(j), None) for j in range(i % 40 + 1)] for i in range(1, 120)}
     files[("c", 500)] = files[("c", 39)][:5]
-    files[("c", None)] = [(1, 1, 1.0, 1)]
+    files[("c", 600)] = [(600, j, float("nan"), j) for j in range(2000)]  # larger than a group
+    files[("c", None)] = [(None, j, None, 1) for j in range(1500)]  # rows without a file
     df = edges(spark, files)
-    df = df.unionByName(df.limit(50))
-    out = "file://" + tempfile.mkdtemp()
+    df = df.unionByName(df.where("file_id = 38")).unionByName(df.where("file_id = 600 AND slot < 11"))
     scratch = Scratch(spark, "t")
-    gone = scratch.save(C.contained_files([(df, ["s1", "s2", "aff", "area"])], scratch))
-    manifest = C.compact(df, ["s1", "s2", "aff", "area"], 32, gone, out, scratch, target_bytes=9000).collect()
-    assert 500 in {x[0] for x in gone.collect()}
+    (m,) = C.compact_tables([(df, RECORD, 32)], scratch, target_bytes=9000, least=4)
+    listed = {x.file_id: x for x in m.files.collect()}
+    assert [f for f, x in listed.items() if x.kept_in is not None] == [500] and listed[500].kept_in == 39
+    assert set(listed) == {f for _, f in files} and listed[600].n_groups > 3 and listed[None].n_groups > 3
+    groups = m.groups.collect()
     n = sum(len(v) for (_, f), v in files.items() if f != 500)
-    assert sum(m.n_records for m in manifest) == n and len(manifest) > 3
-    assert sum(m.n_files for m in manifest) == len(files) - 1
-    stored = [pq.read_table(m.path) for m in manifest]
-    assert sum(t.num_rows for t in stored) == n
-    keys = {(x["file_id"], x["slot"]) for t in stored for x in t.to_pylist()}
-    assert len(keys) == n and sum(m.n_repeats for m in manifest) == 50
-    assert max(m.n_records for m in manifest) * 32 < 2 * 9000
-    assert df.where(F.col("file_id") == 500).count() > 0
+    assert sum(g.n_records for g in groups) == n and sum(g.n_repeats for g in groups) == 39 + 11
+    assert max(g.n_records for g in groups) * 32 < 1.5 * 9000 and len({g.group_id for g in groups}) == len(groups)
+    stored = [pq.read_table(g.path) for g in groups]
+    keys = [(x["file_id"], x["slot"]) for t in stored for x in t.to_pylist()]
+    assert len(keys) == len(set(keys)) == n and m.records().count() == n
+    with pytest.raises(RuntimeError):
+        C.compact(df, RECORD, 32, df.select("file_id", F.lit(1).cast("bigint").alias("kept_in")).limit(0), m.path, scratch)
+
+
+def test_compact_nothing(spark):
+    (m,) = C.compact_tables([(edges(spark, {}), RECORD, 32)], Scratch(spark, "t"))
+    assert m.groups.collect() == [] and m.files.collect() == []
+
+
+def test_a_damaged_file_is_not_published(spark, monkeypatch):
+    files = {("c", i): [(i, 1, 0.5, 1)] for i in range(20)}
+    whole = C._writer
+
+    def broken(folder, columns, identity):
+        run = whole(folder, columns, identity)
+
+        def damaged(batches):
+            import pyarrow.parquet as files
+
+            for row in run(batches):
+                path = row.column("path")[0].as_py()
+                t = files.read_table(path)
+                files.write_table(t.set_column(t.column_names.index("area"), "area", t.column("s1")), path)
+                yield row
+
+        return damaged
+
+    monkeypatch.setattr(C, "_writer", broken)
+    with pytest.raises(RuntimeError, match="read back"):
+        C.compact_tables([(edges(spark, files), RECORD, 32)], Scratch(spark, "t"), least=2)
+
+
+def test_repeats_are_told_by_value(spark, monkeypatch):
+    monkeypatch.setattr(C, "record_hash", lambda scope, record: F.lit(7).cast("bigint"))
+    df = edges(spark, {("c", 1): [(1, 1, 1.0, 1), (2, 1, float("nan"), None)]})
+    df = df.unionByName(df).withColumn("slot", F.lit(0))
+    gone = df.select("file_id", F.col("file_id").alias("kept_in")).limit(0)
+    scratch = Scratch(spark, "t")
+    m = C.compact(df, RECORD, 32, gone, scratch.path(), scratch, least=1)
+    assert [(g.n_records, g.n_repeats) for g in m.groups.collect()] == [(2, 2)]

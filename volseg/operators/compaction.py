@@ -1,14 +1,17 @@
 """Many tiny files into few well-sized ones, every record kept and none twice.
 
-First the redundant files are found: those whose distinct records all lie in one other file of the same table and
-chunk. Then the remaining files are assigned to output groups, longest first to the least loaded group, each group
-is streamed through pyarrow into one file, and a manifest is published once counts and checksums agree.
+A file whose distinct records all lie in one other file of the same table and chunk is left out and listed with the
+file that holds them. The remaining files are assigned to a fixed number of output groups, longest first to the least
+loaded group, each group is streamed through pyarrow into one file, and a manifest of files and groups is published
+once the counts and checksums of what was read, written and read back agree.
 """
 
 from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
+from dataclasses import dataclass
+from decimal import Decimal
 from functools import reduce
 
 import numpy as np
@@ -16,18 +19,19 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from volseg.storage import Scratch, broadcast_if_small, delete
 
-#: Bytes of an output file, and files that one scheduling task may hold.
-TARGET_BYTES = 128 << 20
-FILES_PER_SHARD = 200_000
+#: Bytes of an output group; groups of a table at least, so that a small one has several writers; files that one
+#: scheduling task may hold.
+TARGET_BYTES, LEAST_GROUPS, FILES_PER_SHARD = 128 << 20, 16, 200_000
 #: Rows of two numbers up to which a counted table may be broadcast.
 NARROW_ROWS = 1_000_000
-MANIFEST = "group_id bigint, path string, n_files bigint, n_records bigint, n_repeats bigint, n_bytes bigint, checksum bigint"
-MANIFEST_ARROW = pa.schema([(c.split()[0], pa.string() if c.endswith("string") else pa.int64()) for c in MANIFEST.split(", ")])
+GROUPS = "group_id bigint, path string, n_files bigint, n_records bigint, n_repeats bigint, n_bytes bigint, checksum bigint, stored_checksum bigint"
+GROUPS_ARROW = pa.schema([(c.split()[0], pa.string() if c.endswith("string") else pa.int64()) for c in GROUPS.split(", ")])
+FILES = "file_id bigint, n_rows bigint, n_groups bigint, kept_in bigint"
 
 
 def record_hash(scope: list[str], record: list[str]) -> Column:
@@ -52,9 +56,13 @@ def contained_files(tables: list[tuple[DataFrame, list[str]]], scratch: Scratch)
         for df, record in ((df.withColumn("_t", F.lit(i)), record) for i, (df, record) in enumerate(tables))
     ]
     rows = reduce(DataFrame.unionByName, tagged)
-    held = scratch.save(rows.groupBy("rec").agg(F.min("file_id").alias("a"), F.max("file_id").alias("b"), F.count(F.lit(1)).alias("n")))
-    own = held.where("a = b").groupBy(F.col("a").alias("file_id")).agg(F.count(F.lit(1)).alias("n_own"))
-    often = held.where("a <> b").select("rec", "n")
+    per = rows.groupBy("rec").agg(F.min("file_id").alias("a"), F.max("file_id").alias("b"), F.count(F.lit(1)).alias("n"))
+    # of a record that no other file has only the file is kept, of others the record and how often it occurs
+    apart = F.col("a") == F.col("b")
+    held = scratch.save(per.select(F.when(apart, F.col("a")).alias("own"), F.when(~apart, F.col("rec")).alias("rec"), F.when(~apart, F.col("n")).alias("n")))
+    scratch.tidy()
+    own = held.where("own IS NOT NULL").groupBy(F.col("own").alias("file_id")).agg(F.count(F.lit(1)).alias("n_own"))
+    often = held.where("rec IS NOT NULL").select("rec", "n")
     shared = scratch.save(rows.join(often, "rec").distinct())
     files = shared.groupBy("file_id").agg(
         F.count(F.lit(1)).alias("n_shared"), F.min_by("rec", F.struct("n", "rec")).alias("rarest"),
@@ -62,6 +70,8 @@ def contained_files(tables: list[tuple[DataFrame, list[str]]], scratch: Scratch)
     )
     files = files.join(own, "file_id", "left")
     files = scratch.save(files.withColumn("n_all", F.col("n_shared") + F.coalesce("n_own", F.lit(0))))
+    scratch.drop(held)
+    scratch.tidy()
 
     covered = files.where("n_own is null")
     classes = scratch.save(covered.groupBy("n_all", "x1", "x2").agg(F.min("file_id").alias("first"), F.min("rarest").alias("rarest")))
@@ -75,20 +85,21 @@ def contained_files(tables: list[tuple[DataFrame, list[str]]], scratch: Scratch)
     a = shared.select("file_id", "rec")
     b = shared.select(F.col("file_id").alias("kept_in"), "rec")
     met = pairs.join(a, "file_id").join(b, ["kept_in", "rec"]).groupBy("file_id", "kept_in").agg(F.count(F.lit(1)).alias("met"))
-    likely = met.join(covered.select("file_id", "n_all"), "file_id").where("met = n_all").select("file_id", "kept_in")
-    # ... and by value, for one witness of each head as for each copy
-    likely = scratch.save(likely.groupBy("file_id").agg(F.min("kept_in").alias("kept_in")))
-    sure = [_by_value(df, record, likely, scratch) for df, record in tables]
-    direct = scratch.save(reduce(DataFrame.unionByName, sure))
-    scratch.drop(held, shared, files, classes, pairs, likely)
-    # copies of a contained head are contained in its host as well; the head itself is witness enough
+    likely = scratch.save(met.join(covered.select("file_id", "n_all"), "file_id").where("met = n_all").select("file_id", "kept_in"))
+    scratch.drop(shared, files, classes, pairs)
+    scratch.tidy()
+    # ... and by value; a copy of a contained file is contained in its host as well, but the file is witness enough
+    sure = reduce(DataFrame.unionByName, [_by_value(df, record, likely, scratch) for df, record in tables])
+    direct = scratch.save(sure.groupBy("file_id").agg(F.min("kept_in").alias("kept_in")))
+    scratch.drop(likely)
+    scratch.tidy()
     return direct
 
 
 def _by_value(df: DataFrame, record: list[str], pairs: DataFrame, scratch: Scratch) -> DataFrame:
     """The pairs in which every distinct record of ``file_id`` is found in ``kept_in``."""
     n = pairs.count()
-    part = pairs.select(F.col("file_id").alias("fid")).unionByName(pairs.select(F.col("kept_in").alias("fid"))).distinct()
+    part = pairs.select(F.explode(F.array("file_id", "kept_in")).alias("fid")).distinct()
     own = df.select("chunk_tag", "file_id", *record)
     own = own.join(broadcast_if_small(part, 2 * n), own["file_id"] == part["fid"], "left_semi").distinct()
     own = scratch.save(own.withColumn("rec", record_hash(["chunk_tag"], record)))
@@ -112,27 +123,44 @@ def longest_first(sizes: np.ndarray, groups: int) -> np.ndarray:
     return out
 
 
-def assign_groups(files: DataFrame, record_bytes: int, target_bytes: int = TARGET_BYTES, scratch: Scratch | None = None) -> DataFrame:
-    """``file_id, group_id`` for files with ``file_id, n``.
+def assign_groups(files: DataFrame, record_bytes: int, target_bytes: int = TARGET_BYTES, least: int = LEAST_GROUPS) -> DataFrame:
+    """``file_id, groups`` for files with ``file_id, n``, groups being numbered 0, 1, ...
 
-    Files are scheduled in shards of about 200,000, each with its share of the output groups, so no task holds the
-    listing of the whole table. A file larger than the target gets a group to itself.
+    As many groups as the target asks for, and ``least`` if that is more. A file beyond the size of a group is cut
+    into equal parts, each with a group of its own choice: ``groups`` has an entry for each part. Files are scheduled
+    in shards of about 200,000, each with its share of the groups, so no task holds the listing of the whole table.
     """
     n, total = files.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
-    shards = max(1, min(-(-n // FILES_PER_SHARD), -(-total * record_bytes // target_bytes)))
+    wanted = max(1, least, -(-total * record_bytes // target_bytes))
+    shards = max(1, min(-(-n // FILES_PER_SHARD), wanted))
+    each = -(-wanted // shards)
+    room = max(1, -(-total * record_bytes // wanted))
 
     def schedule(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("file_id", kind="stable")
-        sizes = pdf["n"].to_numpy() * record_bytes
-        groups = max(1, -(-int(sizes.sum()) // target_bytes))
-        return pd.DataFrame({"file_id": pdf["file_id"], "group_id": (longest_first(sizes, groups) << 24) + int(key[0])})
+        pdf = pdf.sort_values(["file_id", "part"], kind="stable")
+        return pd.DataFrame({"file_id": pdf["file_id"], "part": pdf["part"], "at": longest_first(pdf["size"].to_numpy(), each) * shards + int(key[0])})
 
-    sharded = files.select("file_id", "n", F.pmod(F.xxhash64("file_id"), F.lit(shards)).cast("int").alias("shard"))
-    return sharded.groupBy("shard").applyInPandas(schedule, "file_id bigint, group_id bigint")
+    parts = F.greatest(F.ceil(F.col("n") * record_bytes / room), F.lit(1)).cast("int")
+    units = files.select("file_id", (F.col("n") * record_bytes / parts).cast("bigint").alias("size"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    units = units.withColumn("shard", F.pmod(F.xxhash64("file_id", "part"), F.lit(shards)).cast("int"))
+    placed = units.groupBy("shard").applyInPandas(schedule, "file_id bigint, part int, at bigint")
+    # groups that got a file, numbered without gaps: one row for each group, a list as long as the output's
+    numbers = placed.select("at").distinct().withColumn("no", (F.row_number().over(Window.orderBy("at")) - 1).cast("int"))
+    return placed.join(numbers, "at").groupBy("file_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("part", "no"))), lambda p: p["no"]).alias("groups"))
 
 
-def _writer(folder: str, columns: list[str]):
-    """Stream sorted rows into one file for each ``_group``, leaving out repeats, which follow each other."""
+def _bits(column: pa.Array) -> np.ndarray:
+    """Values as integers of which two are equal if the values are, nulls aside."""
+    if pa.types.is_floating(column.type):
+        return pc.fill_null(column, 0.0).to_numpy(zero_copy_only=False).astype(np.float64).view(np.int64)
+    return pc.fill_null(column, 0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _writer(folder: str, columns: list[str], identity: list[str]):
+    """Stream sorted rows into one file for each ``_group``; rows that repeat the one before are left out.
+
+    A repeat agrees in hash and in every column of ``identity``.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pyarrow.parquet as pq
@@ -141,86 +169,141 @@ def _writer(folder: str, columns: list[str]):
         where, base = fs.FileSystem.from_uri(folder)
         attempt = TaskContext.get().taskAttemptId()
         current = writer = path = last = None
-        stored = repeats = check = files = 0
+        stored = repeats = check = kept_check = files = 0
+
+        def wrapped(total: int, more: np.ndarray) -> int:
+            with np.errstate(over="ignore"):
+                return int(np.int64(total) + more.sum(dtype=np.int64))
 
         def close() -> pa.RecordBatch:
             writer.close()
-            with where.open_input_file(path) as f:
-                found = pq.ParquetFile(f).metadata.num_rows
-            if found != stored:
-                raise RuntimeError(f"{path}: {found} records found, {stored} written")
-            row = {"group_id": current, "path": path, "n_files": files, "n_records": stored, "n_repeats": repeats, "n_bytes": where.get_file_info(path).size, "checksum": check}
-            return pa.RecordBatch.from_pylist([row], schema=MANIFEST_ARROW)
+            row = {
+                "group_id": current, "path": path, "n_files": files, "n_records": stored, "n_repeats": repeats, "n_bytes": where.get_file_info(path).size,
+                "checksum": check, "stored_checksum": kept_check,
+            }
+            return pa.RecordBatch.from_pylist([row], schema=GROUPS_ARROW)
 
         for batch in batches:
             if not batch.num_rows:
                 continue
             groups = batch.column("_group").to_numpy(zero_copy_only=False)
-            ids = batch.column("_file").to_numpy(zero_copy_only=False)
-            slots = pc.fill_null(batch.column("slot"), -1).to_numpy(zero_copy_only=False)
             checks = batch.column("_check").to_numpy(zero_copy_only=False)
+            marks = [batch.column(c) for c in identity]
+            table = np.stack([checks, *[f(c) for c in marks for f in (_bits, lambda c: c.is_null().to_numpy(zero_copy_only=False).astype(np.int64))]])
+            at = table[[1 + 2 * identity.index("file_id"), 2 + 2 * identity.index("file_id")]]
             cuts = np.flatnonzero(np.diff(groups)) + 1
             for lo, hi in zip([0, *cuts], [*cuts, batch.num_rows]):
                 if current != groups[lo]:
                     if writer:
                         yield close()
-                    current, last, stored, repeats, check, files = int(groups[lo]), None, 0, 0, 0, 0
-                    path = f"{base}/group-{current:012x}-{attempt}.parquet"
+                    current, last, stored, repeats, check, kept_check, files = int(groups[lo]), None, 0, 0, 0, 0, 0
+                    path = f"{base}/group-{current:08d}-{attempt}.parquet"
                     writer = pq.ParquetWriter(path, batch.select(columns).schema, filesystem=where, compression="zstd")
                 fresh, new_file = np.ones(hi - lo, dtype=bool), np.ones(hi - lo, dtype=bool)
-                new_file[1:] = np.diff(ids[lo:hi]) != 0
-                fresh[1:] = new_file[1:] | (np.diff(slots[lo:hi]) != 0) | (checks[lo + 1 : hi] != checks[lo : hi - 1])
+                fresh[1:] = (table[:, lo + 1 : hi] != table[:, lo : hi - 1]).any(axis=0)
+                new_file[1:] = (at[:, lo + 1 : hi] != at[:, lo : hi - 1]).any(axis=0)
                 if last is not None:
-                    new_file[0] = ids[lo] != last[0]
-                    fresh[0] = last != (ids[lo], slots[lo], checks[lo])
-                last = (ids[hi - 1], slots[hi - 1], checks[hi - 1])
+                    fresh[0] = (last[0] != table[:, lo]).any()
+                    new_file[0] = (last[1] != at[:, lo]).any()
+                last = table[:, hi - 1].copy(), at[:, hi - 1].copy()
                 writer.write_batch(batch.slice(lo, hi - lo).select(columns).filter(pa.array(fresh)))
                 stored += int(fresh.sum())
                 repeats += int((~fresh).sum())
                 files += int(new_file.sum())
-                with np.errstate(over="ignore"):
-                    check = int(np.int64(check) + checks[lo:hi].sum(dtype=np.int64))
+                check, kept_check = wrapped(check, checks[lo:hi]), wrapped(kept_check, checks[lo:hi][fresh])
         if writer:
             yield close()
 
     return run
 
 
-def compact(df: DataFrame, record: list[str], record_bytes: int, redundant: DataFrame, out_dir: str, scratch: Scratch, target_bytes: int = TARGET_BYTES) -> DataFrame:
-    """Write the records of ``df`` to few files below ``out_dir`` and return the manifest.
+@dataclass(frozen=True)
+class Manifest:
+    """What a compaction has published: ``groups`` (the files written) and ``files`` (where each input file went).
+
+    ``files``: ``file_id, n_rows, n_groups, kept_in``; a redundant file has a null ``n_rows`` and the file that holds
+    its records in ``kept_in``; rows without a file id are listed under null.
+    """
+
+    groups: DataFrame
+    files: DataFrame
+    path: str
+
+    def records(self) -> DataFrame:
+        """The records in the files that the manifest names."""
+        spark = self.groups.sparkSession
+        rows = spark.read.parquet(f"{self.path}/data").withColumn("_name", F.col("_metadata.file_name"))
+        names = self.groups.select(F.element_at(F.split("path", "/"), -1).alias("_name"))
+        return rows.join(broadcast_if_small(names, self.groups.count()), "_name", "left_semi").drop("_name")
+
+
+def compact(df: DataFrame, record: list[str], record_bytes: int, redundant: DataFrame, out_dir: str, scratch: Scratch, target_bytes: int = TARGET_BYTES, least: int = LEAST_GROUPS) -> Manifest:
+    """Write the records of ``df`` to few files below ``out_dir`` and publish a manifest.
 
-    Left out are the files in ``redundant`` (``file_id``) and repeats of a row with the same file, slot and record
-    (told by a 64-bit hash), of which the one that arrived first is kept. Rows without a file id are kept as if they
-    lay in one file. The manifest ``group_id, path, n_files, n_records, n_repeats, n_bytes, checksum`` is renamed to
-    ``out_dir/manifest`` only after counts and checksums of all rows agree with the input; a failed or repeated task
-    leaves files that no manifest names. The records cross the network once, to their group.
+    Left out are the files in ``redundant`` (``file_id, kept_in``) and repeats of a row with the same file, slot and
+    record, of which the one that arrived first is kept. Rows without a file id are kept as if they lay in one file.
+    The manifest is renamed to ``out_dir/manifest`` only after counts and checksums of the rows agree with the input
+    and those of the files, read back, with what was written; a failed or repeated task leaves files that no manifest
+    names. The records cross the network once, each group to a task of its own.
     """
     spark = df.sparkSession
     times = [c for c in ("arrived_at", "written_at") if c in df.columns]
     columns = ["chunk_tag", "file_id", "slot", *record, *times]
-    gone = scratch.save(redundant.select(F.col("file_id").alias("_gone")).distinct())
-    kept = df.join(broadcast_if_small(gone, gone.count(), NARROW_ROWS), F.col("file_id") == F.col("_gone"), "left_anti")
-    kept = kept.select(*columns, F.coalesce("file_id", F.lit(-1)).alias("_file"), record_hash(["file_id", "slot"], record).alias("_check"))
-    files = scratch.save(kept.groupBy(F.col("_file").alias("file_id")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("_check").cast("decimal(20,0)")).alias("check")))
-    groups = scratch.save(assign_groups(files, record_bytes, target_bytes))
-    n_files, n_groups = groups.agg(F.count(F.lit(1)), F.count_distinct("group_id")).first()
-    map_side = groups.select(F.col("file_id").alias("_f"), F.col("group_id").alias("_group"))
-    placed = kept.join(broadcast_if_small(map_side, n_files, NARROW_ROWS), F.col("_file") == F.col("_f")).drop("_f")
-    placed = placed.repartition(max(1, n_groups), "_group").sortWithinPartitions("_group", "_file", "slot", "_check", *times)
+    check = record_hash(["file_id", "slot"], record)
+    wide = F.sum(F.col("_check").cast("decimal(20,0)"))
+    gone = redundant.select(F.col("file_id").alias("_gone"), "kept_in")
+    kept = df.join(broadcast_if_small(gone, gone.count(), NARROW_ROWS), F.col("file_id") == F.col("_gone"), "left_anti").select(*columns)
+    found = kept.select(F.col("file_id"), check.alias("_check")).groupBy(F.coalesce("file_id", F.lit(-1)).alias("file_id")).agg(F.count(F.lit(1)).alias("n"), wide.alias("check"))
+    files = scratch.save(found)
+    placed = scratch.save(assign_groups(files, record_bytes, target_bytes, least))
+    n_files, n_groups = placed.agg(F.count(F.lit(1)), F.max(F.array_max("groups"))).first()
+    to = placed.select(F.col("file_id").alias("_f"), "groups")
+    moved = kept.withColumn("_f", F.coalesce("file_id", F.lit(-1))).join(broadcast_if_small(to, n_files, NARROW_ROWS), "_f")
+    part = F.when(F.size("groups") > 1, F.pmod(check, F.size("groups"))).otherwise(F.lit(0)).cast("int")
+    moved = moved.select(*columns, F.element_at("groups", part + 1).alias("_group"))
+    moved = moved.repartitionById((n_groups or 0) + 1, "_group").withColumn("_check", check)
+    moved = moved.sortWithinPartitions("_group", "file_id", "slot", "_check", *record, *times)
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(f"{out_dir}/data")
     files_system = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    published = jvm.org.apache.hadoop.fs.Path(f"{out_dir}/manifest")
+    if files_system.exists(published):
+        raise RuntimeError(f"{out_dir}/manifest is there already")
     files_system.mkdirs(where)
     draft = f"{out_dir}/manifest-draft"
-    placed.mapInArrow(_writer(f"{out_dir}/data", columns), MANIFEST).write.mode("overwrite").parquet(draft)
-    manifest = spark.read.schema(MANIFEST).parquet(draft)
-
-    have = manifest.agg(F.coalesce(F.sum(F.col("n_records") + F.col("n_repeats")), F.lit(0)), F.coalesce(F.sum(F.col("checksum").cast("decimal(20,0)")), F.lit(0)).cast("string")).first()
+    moved.mapInArrow(_writer(f"{out_dir}/data", columns, ["file_id", "slot", *record]), GROUPS).write.mode("overwrite").parquet(f"{draft}/groups")
+    groups = spark.read.schema(GROUPS).parquet(f"{draft}/groups")
+    whole = files.where("file_id >= 0").join(placed, "file_id").select("file_id", F.col("n").alias("n_rows"), F.size("groups").cast("bigint").alias("n_groups"), F.lit(None).cast("bigint").alias("kept_in"))
+    loose = files.where("file_id < 0").join(placed, "file_id").select(F.lit(None).cast("bigint").alias("file_id"), F.col("n").alias("n_rows"), F.size("groups").cast("bigint").alias("n_groups"), F.lit(None).cast("bigint").alias("kept_in"))
+    left_out = df.select("file_id").join(broadcast_if_small(gone, gone.count(), NARROW_ROWS), F.col("file_id") == F.col("_gone")).groupBy("file_id").agg(F.min("kept_in").alias("kept_in"))
+    left_out = left_out.select("file_id", F.lit(None).cast("bigint").alias("n_rows"), F.lit(None).cast("bigint").alias("n_groups"), "kept_in")
+    whole.unionByName(loose).unionByName(left_out).write.mode("overwrite").parquet(f"{draft}/files")
+    scratch.tidy()
+
+    def total(name: str) -> Column:
+        return F.coalesce(F.sum(F.col(name).cast("decimal(20,0)")), F.lit(0)).cast("string")
+
+    have = groups.agg(F.coalesce(F.sum(F.col("n_records") + F.col("n_repeats")), F.lit(0)), total("checksum")).first()
     want = files.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("check"), F.lit(0)).cast("string")).first()
-    if have[0] != want[0] or (int(have[1]) - int(want[1])) % (1 << 64):
+    draft_manifest = Manifest(groups, spark.read.schema(FILES).parquet(f"{draft}/files"), out_dir)
+    wrong = 0
+    if n_files:
+        back = spark.read.schema(moved.select(*columns).schema).parquet(f"{out_dir}/data").select(F.col("_metadata.file_name").alias("_name"), check.alias("_check"))
+        back = back.groupBy("_name").agg(F.count(F.lit(1)).alias("n"), wide.alias("sum"))
+        named = groups.select(F.element_at(F.split("path", "/"), -1).alias("_name"), "n_records", "stored_checksum").join(back, "_name", "left")
+        off = F.pmod(F.col("sum") - F.col("stored_checksum"), F.lit(Decimal(1 << 64)))
+        wrong = named.where(F.col("n").isNull() | (F.col("n") != F.col("n_records")) | (off != 0)).count()
+    if have[0] != want[0] or (int(have[1]) - int(want[1])) % (1 << 64) or wrong:
         delete(spark, draft)
-        raise RuntimeError(f"compaction of {out_dir} is not published: {have} written, {want} expected")
-    if not files_system.rename(jvm.org.apache.hadoop.fs.Path(draft), jvm.org.apache.hadoop.fs.Path(f"{out_dir}/manifest")):
-        raise RuntimeError(f"{out_dir}/manifest is there already")
-    scratch.drop(gone, files, groups)
-    return spark.read.schema(MANIFEST).parquet(f"{out_dir}/manifest")
+        raise RuntimeError(f"compaction of {out_dir} is not published: {have} written, {want} expected, {wrong} files differ when read back")
+    if not files_system.rename(jvm.org.apache.hadoop.fs.Path(draft), published):
+        raise RuntimeError(f"{out_dir}/manifest could not be published")
+    scratch.drop(files, placed)
+    return Manifest(spark.read.schema(GROUPS).parquet(f"{out_dir}/manifest/groups"), spark.read.schema(FILES).parquet(f"{out_dir}/manifest/files"), draft_manifest.path)
+
+
+def compact_tables(tables: list[tuple[DataFrame, list[str], int]], scratch: Scratch, target_bytes: int = TARGET_BYTES, least: int = LEAST_GROUPS) -> list[Manifest]:
+    """Compact tables (frame, record columns, bytes of a record) that share one numbering of files, redundant files
+    left out: one manifest for each, in folders of ``scratch``."""
+    redundant = contained_files([(df, record) for df, record, _ in tables], scratch)
+    return [compact(df, record, width, redundant, scratch.path(), scratch, target_bytes, least) for df, record, width in tables]

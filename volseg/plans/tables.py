@@ -100,13 +100,20 @@ WITH k AS (SELECT 's1' AS field_name, s1 AS key_value, aff FROM residual_rg UNIO
 SELECT field_name, key_value, quantile, pos AS rank_taken, aff FROM r JOIN q ON pos = CAST(floor(quantile * (n - 1)) AS BIGINT)"""
 
 
-def _families(spark: SparkSession, sf_dir: str) -> list[tuple[DataFrame, list[str]]]:
-    return [(table(spark, sf_dir, "residual_rg"), EDGE), (table(spark, sf_dir, "ongoing_supervoxel_counts"), COUNT)]
+FAMILIES = {"residual_rg": (EDGE, EDGE_BYTES), "ongoing_supervoxel_counts": (COUNT, COUNT_BYTES)}
+
+
+def _compacted(spark: SparkSession, sf_dir: str, label: str) -> dict[str, compaction.Manifest]:
+    """Both families written to few files; the published manifests."""
+    frames = [(table(spark, sf_dir, name), *how) for name, how in FAMILIES.items()]
+    return dict(zip(FAMILIES, compaction.compact_tables(frames, Scratch(spark, label))))
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Files whose distinct records all lie in one other, larger or earlier, file of the table and chunk."""
-    return compaction.contained_files(_families(spark, sf_dir), Scratch(spark, "p3")).select("file_id")
+    """Files that the compaction leaves out, as its manifests list them: their distinct records all lie in one other,
+    larger or earlier, file of the table and chunk."""
+    parts = [m.files.where("kept_in IS NOT NULL").select("file_id") for m in _compacted(spark, sf_dir, "p3").values()]
+    return reduce(DataFrame.unionByName, parts)
 
 
 P3_FOUND_SQL = """
@@ -122,25 +129,35 @@ WHERE met = a.n AND (b.n > a.n OR (b.n = a.n AND m.other < m.file_id))"""
 
 
 def p3_compacted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Both families written to few files; what the manifests say, summed by family."""
-    scratch = Scratch(spark, "p3c")
-    families = _families(spark, sf_dir)
-    redundant = scratch.save(compaction.contained_files(families, scratch))
+    """What the manifests say, summed by family."""
+    parts = [m.groups.select(F.lit(name).alias("family"), "n_records", "group_id") for name, m in _compacted(spark, sf_dir, "p3c").items()]
+    out = reduce(DataFrame.unionByName, parts).groupBy("family").agg(F.count(F.lit(1)).alias("n_outputs"), F.sum("n_records").alias("n_records"))
+    return out
+
+
+def p3_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The records read back from the files written, each with its file and slot; ``kind`` of ``c``: null, NaN or value."""
     out = []
-    for name, (df, record), width in zip(("residual_rg", "ongoing_supervoxel_counts"), families, (EDGE_BYTES, COUNT_BYTES)):
-        manifest = compaction.compact(df, record, width, redundant, scratch.path(), scratch)
-        out.append(manifest.select(F.lit(name).alias("family"), "n_files", "n_records", "group_id"))
-    whole = reduce(DataFrame.unionByName, out).groupBy("family")
-    return whole.agg(F.count(F.lit(1)).alias("n_outputs"), F.sum("n_files").alias("n_files"), F.sum("n_records").alias("n_records"))
+    for name, m in _compacted(spark, sf_dir, "p3r").items():
+        a, b, *rest = [F.col(c) for c in FAMILIES[name][0]]
+        c, d = rest or (F.lit(None).cast("double"), F.lit(None).cast("bigint"))
+        kind = F.when(c.isNull(), "null").when(F.isnan(c), "nan").otherwise("value").alias("kind")
+        out.append(m.records().select(F.lit(name).alias("family"), "chunk_tag", "file_id", F.col("slot").cast("bigint").alias("slot"), a.alias("a"), b.alias("b"), kind, F.when(~F.isnan(c), c).alias("c"), d.alias("d")))
+    return reduce(DataFrame.unionByName, out)
 
 
-P3_COMPACTED_SQL = f"""
-WITH gone AS ({P3_FOUND_SQL}),
+_P3_KEPT = f"""gone AS ({P3_FOUND_SQL}),
      k AS (SELECT DISTINCT 'residual_rg' AS family, chunk_tag, file_id, slot, s1 AS a, s2 AS b, aff AS c, area AS d FROM residual_rg
-           UNION ALL SELECT DISTINCT 'ongoing_supervoxel_counts', chunk_tag, file_id, slot, sid, size, NULL, NULL FROM ongoing_supervoxel_counts)
-SELECT family, CAST(ceil(count(*) * (CASE family WHEN 'residual_rg' THEN 32 ELSE 16 END) / 134217728.0) AS BIGINT) AS n_outputs,
-       count(DISTINCT file_id) AS n_files, count(*) AS n_records
-FROM k WHERE file_id NOT IN (SELECT file_id FROM gone) GROUP BY family"""
+           UNION ALL SELECT DISTINCT 'ongoing_supervoxel_counts', chunk_tag, file_id, slot, sid, size, NULL, NULL FROM ongoing_supervoxel_counts),
+     r AS (SELECT * FROM k WHERE file_id IS NULL OR file_id NOT IN (SELECT file_id FROM gone))"""
+
+P3_COMPACTED_SQL = f"""
+WITH {_P3_KEPT}, t AS (SELECT family, count(*) AS n, count(DISTINCT file_id) AS f, any_value(CASE family WHEN 'residual_rg' THEN 32 ELSE 16 END) AS w FROM r GROUP BY family)
+SELECT family, CAST(greatest(16, ceil(n * w / 134217728.0)) AS BIGINT) AS n_outputs, n AS n_records FROM t"""
+
+P3_RECORDS_SQL = f"""
+WITH {_P3_KEPT} SELECT family, chunk_tag, file_id, CAST(slot AS BIGINT) AS slot, a, b,
+  CASE WHEN c IS NULL THEN 'null' WHEN isnan(c) THEN 'nan' ELSE 'value' END AS kind, CASE WHEN NOT isnan(c) THEN c END AS c, d FROM r"""
 
 
 def p3_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -218,9 +235,9 @@ WITH RECURSIVE {_P5_UP},
 pairs AS (SELECT id AS seg_id, n, unnest(path) AS ancestor, unnest(range(len(path))) AS pos FROM down)
 SELECT ancestor, seg_id, CAST(n - pos AS BIGINT) AS distance FROM pairs WHERE pos < n"""
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_key_totals, p2_key_quantiles, p3_found, p3_compacted, p3_listing, p5_found, p5_paths, p5_descendants)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_key_totals, p2_key_quantiles, p3_found, p3_compacted, p3_records, p3_listing, p5_found, p5_paths, p5_descendants)}
 SQL = {
     "p2_found": P2_FOUND_SQL, "p2_key_totals": P2_KEY_TOTALS_SQL, "p2_key_quantiles": P2_KEY_QUANTILES_SQL,
-    "p3_found": P3_FOUND_SQL, "p3_compacted": P3_COMPACTED_SQL, "p3_listing": P3_LISTING_SQL,
+    "p3_found": P3_FOUND_SQL, "p3_compacted": P3_COMPACTED_SQL, "p3_records": P3_RECORDS_SQL, "p3_listing": P3_LISTING_SQL,
     "p5_found": P5_FOUND_SQL, "p5_paths": P5_PATHS_SQL, "p5_descendants": P5_DESCENDANTS_SQL,
 }

@@ -8,6 +8,7 @@ to a temporary folder.
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -63,6 +64,11 @@ class Scratch:
             if table is not None and getattr(table, "saved_at", None):
                 delete(self.spark, table.saved_at)
 
+    def tidy(self) -> None:
+        """Let go of the shuffles of finished steps: their files stay until the driver's JVM has collected them."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
     def _close(self) -> None:
         try:
             delete(self.spark, self.root)
