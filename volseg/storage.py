@@ -81,5 +81,11 @@ def broadcast_if_small(df: DataFrame, rows: int, most: int = BROADCAST_ROWS) ->
     return F.broadcast(df) if rows <= most else df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` in as many partitions as there are cores, if its scan has fewer; a larger table is left where it lies."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
