@@ -56,3 +56,13 @@ def test_pack_nothing_and_one():
     assert P.pack(np.array([], dtype=np.int64), 10).size == 0
     assert P.pack(np.array([10]), 10).tolist() == [0]
     assert len(set(P.pack(np.array([6, 6, 4, 4]), 10).tolist())) == 2
+
+
+def test_report_sees_what_is_wrong(spark):
+    counts = spark.createDataFrame([(1, 5), (2, 3), (3, 12)], "doc_id bigint, n_tokens bigint")
+    kind = "bin_code string, container string, doc_id bigint, piece_no bigint, start_token bigint, n_tokens bigint"
+    good = [("b", "x", 1, 0, 0, 5), ("b", "x", 2, 0, 0, 3), ("b", "y", 3, 0, 0, 8), ("b", "z", 3, 1, 8, 4)]
+    bad = [("b", "x", 1, 0, 0, 5), ("b", "x", 2, 0, 0, 2), ("b", "x", 2, 1, 2, 1), ("b", "x", 3, 0, 0, 8), ("b", "z", 3, 0, 0, 3)]
+    for rows, want in ((good, (3, 0, 0, 0, 0)), (bad, (3, 1, 1, 1, 1))):
+        got = P.kept_report(spark.createDataFrame(rows, kind), counts, [("b", 8)]).first()
+        assert tuple(got)[2:] == want

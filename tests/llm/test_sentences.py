@@ -26,6 +26,10 @@ CASES = [
     ("en", "T\n\nClaims\n\n1. A part. 2. The part of claim 1 as in Fig. 3.\n\n3. The part of claim 2 kept at approx. 4.5 mm. 4. Last.", ["T", "Claims", "1. A part.", "2. The part of claim 1 as in Fig. 3.", "3. The part of claim 2 kept at approx. 4.5 mm.", "4. Last."]),
     ("zh", "该值不变。如Fig. 4所示，导轨在此。", ["该值不变。", "如Fig. 4所示，导轨在此。"]),
     ("de", "Am 3. Mai kam Dr. Holm, d. h. spät. Das war z. B. gut. Es gilt ca. 5 Min. Ende.", ["Am 3. Mai kam Dr. Holm, d. h. spät.", "Das war z. B. gut.", "Es gilt ca. 5 Min.", "Ende."]),
+    ("en", "This is the state of the Art. The device works. It follows Art. 5 and Pat. App. Pub. No. 7.", ["This is the state of the Art.", "The device works.", "It follows Art. 5 and Pat. App. Pub. No. 7."]),
+    ("en", "The parts are labelled a, b and c, i. The other part is d. It is fine.", ["The parts are labelled a, b and c, i.", "The other part is d.", "It is fine."]),
+    ("de", "Das ist eine neue Art. Die Vorrichtung arbeitet gut. Es gilt Art. 5 und S. 12, i. d. R. gut.", ["Das ist eine neue Art.", "Die Vorrichtung arbeitet gut.", "Es gilt Art. 5 und S. 12, i. d. R. gut."]),
+    ("en", "It lasts (" + "as long as x. y holds, " * 40 + "at least). Then it ends.", ["It lasts (" + "as long as x. y holds, " * 40 + "at least).", "Then it ends."]),
     ("fr", "Attention ! L'écran affiche « Arrêt. Fermer. » puis, c.-à-d. ensuite, cède. Fin.", ["Attention !", "L'écran affiche « Arrêt. Fermer. » puis, c.-à-d. ensuite, cède.", "Fin."]),
     ("es", "¿Qué ocurre? ¡No abrir! El Sr. Ruiz cita la fig. 3 y mide 5 r.p.m. ¿Ya?", ["¿Qué ocurre?", "¡No abrir!", "El Sr. Ruiz cita la fig. 3 y mide 5 r.p.m.", "¿Ya?"]),
     ("ru", "По п. 1, т. е. так и т. д. Стоп. Имеет 1,2 тыс. оборотов.", ["По п. 1, т. е. так и т. д.", "Стоп.", "Имеет 1,2 тыс. оборотов."]),
@@ -70,3 +74,8 @@ def test_language_is_that_of_the_whole_text():
     body = "อุปกรณ์ประกอบด้วยตัวเรือนและฝาปิด " * 400
     assert len(opening) > 2000
     assert S.language_of(opening + body, "en") == "th"
+
+
+def test_paragraphs_have_their_own_language():
+    text = "Titel\n\nDie Anlage wird mit einer Abdeckung nach Abb. 3 und Nr. 4 gebaut. Ende.\n\nThe cover is the part of the Nr. The other is with it, i. The end."
+    assert pieces(text, "de")[1:] == ["Die Anlage wird mit einer Abdeckung nach Abb. 3 und Nr. 4 gebaut.", "Ende.", "The cover is the part of the Nr.", "The other is with it, i.", "The end."]

@@ -75,19 +75,22 @@ def components(edges: DataFrame, ids: DataFrame, scratch: Scratch) -> DataFrame:
     edges = scratch.save(edges)
     label = None
     while edges.limit(1).count():
-        trees = _collapse(scratch.save(_hook(edges)), scratch)
+        picks = scratch.save(_hook(edges))
+        trees = _collapse(picks, scratch)
         low = trees.groupBy("nxt").agg(F.least(F.min("id"), F.col("nxt")).alias("low"))
         root = scratch.save(trees.join(low, "nxt").select(F.col("id").alias("at"), F.col("low")))
+        scratch.drop(picks, trees)
         left = edges.join(root, F.col("a") == F.col("at")).select(F.col("low").alias("a"), "b")
         left = left.join(root, F.col("b") == F.col("at")).select("a", F.col("low").alias("b")).where("a <> b")
-        left = left.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        done, edges = edges, scratch.save(left.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
         if label is None:
             label = root.select(F.col("at").alias("id"), F.col("low").alias("group_id"))
+            label.saved_at = root.saved_at
+            scratch.drop(done)
         else:
             merged = label.join(root, F.col("group_id") == F.col("at"), "left").select("id", F.coalesce("low", "group_id").alias("group_id"))
-            label = scratch.save(merged)
-        done, edges = edges, scratch.save(left)
-        scratch.drop(done, trees)
+            old, label = label, scratch.save(merged)
+            scratch.drop(done, old, root)
     if label is None:
         return ids.select("id", F.col("id").alias("group_id"))
     return ids.join(label, "id", "left").select("id", F.coalesce("group_id", "id").alias("group_id"))

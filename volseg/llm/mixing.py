@@ -83,3 +83,30 @@ def shares_report(mixture: DataFrame, targets: list[Target]) -> DataFrame:
     both = both.withColumn("all_tokens", F.sum("n_tokens").over(Window.partitionBy(F.lit(0))))  # a row for each target
     zero = [F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("n_rows", "n_docs", "n_tokens", "most_repeats")]
     return both.select("source", "target_share", "max_repeats", *zero, F.coalesce(F.col("n_tokens") / F.col("all_tokens"), F.lit(0.0)).alias("actual_share"))
+
+
+def kept_report(mixture: DataFrame, counts: DataFrame, targets: list[Target]) -> DataFrame:
+    """For every target ``source, present, n_too_often, n_out_of_turn, on_target``.
+
+    ``n_too_often``: documents taken more often than ``max_repeats`` or twice in one pass. ``n_out_of_turn``: rows
+    taken in a further pass while a document of the source had not been taken in the one before. ``on_target``: the
+    source's tokens are within its longest document, and those of the others, of its share; true for absent ones.
+    """
+    spark = mixture.sparkSession
+    wanted = spark.createDataFrame([(t.source, float(t.share), int(t.repeats)) for t in targets], "source string, share double, repeats int")
+    rows = counts.select(canonical(F.col("source")).alias("source"), "n_tokens").where("n_tokens > 0")
+    have = rows.groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"), F.max("n_tokens").alias("longest"))
+    times = mixture.groupBy("source", "doc_id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("repeat_no").alias("passes"))
+    often = times.join(wanted, "source").groupBy("source").agg(F.count_if((F.col("n") > F.col("repeats")) | (F.col("n") != F.col("passes"))).alias("n_too_often"))
+    passes = mixture.groupBy("source", "repeat_no").agg(F.count(F.lit(1)).alias("n"))
+    later = passes.select("source", (F.col("repeat_no") - 1).alias("repeat_no"), F.col("n").alias("n_later"))
+    turns = passes.join(later, ["source", "repeat_no"]).join(have, "source").groupBy("source").agg(F.sum(F.when(F.col("n") != F.col("n_docs"), F.col("n_later")).otherwise(0)).alias("n_out_of_turn"))
+    took = mixture.groupBy("source").agg(F.sum("n_tokens").alias("took"))
+    out = wanted.join(have, "source", "left").join(often, "source", "left").join(turns, "source", "left").join(took, "source", "left")
+    # windows over a row for each target
+    every = Window.partitionBy(F.lit(0))
+    present = F.col("n_docs").isNotNull()
+    out = out.withColumn("part", F.col("share") / F.sum(F.when(present & (F.col("share") > 0) & (F.col("repeats") > 0), F.col("share"))).over(every)).withColumn("all", F.sum("took").over(every)).withColumn("slack", F.sum("longest").over(every))
+    near = F.abs(F.col("took") - F.col("part") * F.col("all")) <= F.col("slack")
+    zero = [F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("n_too_often", "n_out_of_turn")]
+    return out.select("source", present.alias("present"), *zero, (~present | F.coalesce(near, F.col("part") == 0, F.lit(False))).alias("on_target"))

@@ -26,6 +26,8 @@ SHARD = 25_000
 LARGE = 1 / 7
 #: Relative gap at which the linear program counts as solved.
 GAP = 1e-3
+#: Exchanges of a configuration within which a linear program must be solved; a few hundred are usual.
+ROUNDS = 20_000
 
 
 def distinct_sizes(capacity: int) -> int:
@@ -63,14 +65,15 @@ def configurations(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> tupl
     """Configurations (one in each column) and how often to use each: the linear program min sum x, Ax = demand.
 
     Ends once the best further configuration has a value of at most 1 + ``GAP``: the containers used are then
-    within that factor of the least possible. The demand is shifted by tiny unequal amounts against stalling.
+    within that factor of the least possible. The demand is shifted by tiny unequal amounts against stalling; a
+    program that is not solved after ``ROUNDS`` exchanges is an error.
     """
     k = len(sizes)
     basis = np.diag(np.maximum(1, capacity // sizes)).astype(float)
     most = int(capacity // sizes.min())
     demand = demand + 1e-4 * (1 + np.arange(k)) / k
     inverse = np.diag(1 / np.diag(basis))
-    for _ in range(8 * k + 50):
+    for _ in range(ROUNDS):
         x = inverse @ demand
         duals = inverse.sum(axis=0)
         value, pattern = _best_pattern(sizes, np.maximum(duals, 0), capacity, most)
@@ -80,12 +83,14 @@ def configurations(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> tupl
         ratio = np.where(u > 1e-9, x / np.where(u > 1e-9, u, 1), np.inf)
         leaving = int(np.argmin(ratio))
         if not np.isfinite(ratio[leaving]):
-            break
+            raise ArithmeticError("the linear program of the configurations is unbounded")
         basis[:, leaving] = pattern
         # the inverse follows by one elimination step
         inverse[leaving] /= u[leaving]
         u[leaving] = 0
         inverse -= np.outer(u, inverse[leaving])
+    else:
+        raise ArithmeticError(f"the linear program of the configurations is not solved after {ROUNDS} exchanges")
     x = np.linalg.solve(basis, demand)
     return np.rint(basis).astype(np.int64), np.maximum(x, 0)
 
@@ -174,7 +179,9 @@ def pack_documents(counts: DataFrame, bins: list[tuple[str, int]], scratch: Scra
         })
 
     schema = "bin_code string, container string, doc_id bigint, piece_no bigint, start_token bigint, n_tokens bigint"
-    packed = rest.repartition(shards * len(bins), "bin_code", "shard").groupBy("bin_code", "shard").applyInPandas(run, schema)
+    # a group is a shard and a kind; several of them share a task once there are more than the session's partitions
+    parts = min(shards * len(bins), int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    packed = rest.repartition(parts, "bin_code", "shard").groupBy("bin_code", "shard").applyInPandas(run, schema)
     return packed.unionByName(whole).unionByName(none)
 
 
@@ -189,3 +196,24 @@ def fill_report(packed: DataFrame, bins: list[tuple[str, int]]) -> DataFrame:
     out = out.withColumn("capacity_tokens", capacity)
     space = F.col("n_containers") * F.col("capacity_tokens")
     return out.select("bin_code", "capacity_tokens", "n_containers", "n_tokens", "fullest", ((space - F.col("n_tokens")) / space).alias("unused_share"), F.ceil(F.col("n_tokens") / F.col("capacity_tokens")).cast("bigint").alias("fewest"))
+
+
+def kept_report(packed: DataFrame, counts: DataFrame, bins: list[tuple[str, int]]) -> DataFrame:
+    """``bin_code, capacity_tokens, n_docs`` and, for each kind, how many containers are overfull, documents have not
+    all their tokens placed, are split though they fit, or have pieces that overlap: all 0 if the packing is right.
+
+    Rows with the same id count as one document with the sum of their tokens.
+    """
+    capacity = F.coalesce(*[F.when(F.col("bin_code") == code, F.lit(int(c))) for code, c in bins if code is not None and c and c > 0]).cast("bigint")
+    loads = packed.where("container IS NOT NULL").groupBy("bin_code", "container").agg(F.sum("n_tokens").alias("load"))
+    full = loads.groupBy("bin_code").agg(F.count_if(F.col("load") > capacity).alias("n_overfull"))
+    pieces = packed.groupBy("bin_code", "doc_id").agg(F.sum("n_tokens").alias("placed"), F.count(F.lit(1)).alias("n_pieces"), F.count_distinct("piece_no").alias("n_numbers"), F.max(F.col("start_token") + F.col("n_tokens")).alias("until"))
+    known = counts.groupBy("doc_id").agg(F.sum(F.coalesce("n_tokens", F.lit(0))).alias("want"), F.count(F.lit(1)).alias("n_rows"))
+    both = pieces.join(known, "doc_id", "left")
+    once = F.col("n_rows") == 1
+    docs = both.groupBy("bin_code").agg(
+        F.count(F.lit(1)).alias("n_docs"), F.count_if(F.col("want").isNull() | (F.col("placed") != F.col("want"))).alias("n_incomplete"),
+        F.count_if(once & (F.col("want") <= capacity) & (F.col("n_pieces") > 1)).alias("n_split_without_need"),
+        F.count_if(once & ((F.col("n_pieces") != F.col("n_numbers")) | (F.col("until") != F.col("placed")))).alias("n_overlapping"),
+    )
+    return docs.join(full, "bin_code").select("bin_code", capacity.alias("capacity_tokens"), "n_docs", "n_overfull", "n_incomplete", "n_split_without_need", "n_overlapping")

@@ -16,32 +16,42 @@ import re
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from volseg.storage import spread
+
 BREAK, KEEP = True, False
 
-# Abbreviations, months, headings and sentence openers of each language.
+# Abbreviations, headings and sentence openers of each language.
 #: Never the end of a sentence.
 ABBREVIATIONS = {
-    "en": "approx cf e.g i.e viz esp incl vs resp Fig Figs FIG FIGS fig figs Tab Tabs Sec Secs Ref Refs Eq Eqs Chap Vol Art Pat App Pub Spec Ser Appl ver Nos p pp Dr Mr Mrs Ms Prof St Messrs Jr ca al",
-    "de": "ca bzgl vgl z.B z B d h i u a Abb Nr Tab S Abs Art Anm Bd bzw evtl ggf inkl max sog Dr Prof Hr Fr Ing Dipl Fig Figs rd Kap",
+    "en": "approx cf e.g i.e viz esp incl vs resp Fig Figs FIG FIGS fig figs Secs Refs Eq Eqs ver Nos p pp Dr Mr Mrs Ms Prof St Messrs Jr ca al",
+    "de": "ca bzgl vgl z.B d.h u.a i.d.R Abb Nr bzw evtl ggf inkl max sog Dr Prof Hr Fr Ing Dipl Fig Figs rd",
     "fr": "env cf p ex c.-à-d fig figs tabl n° art chap éd vol réf Fig M MM Mme Mlle Dr Pr av",
     "es": "p ej aprox v fig figs Fig núm pág págs art cap vol Sr Sra Dr Dra Prof ref tab",
-    "ru": "т.е т п пп ок рис табл стр см гл ст др им напр проф акад г",
+    "ru": "т.е т п пп ок рис табл стр см гл ст др им напр проф акад г Fig FIG",
     "ar": "د ص ج أ م",
     "hi": "डॉ श्री क्र मि मि.मी कि से.मी पृ",
     "th": "มม ซม กก พ.ศ ดร นาย",
 }
+#: Words as well as abbreviations: no end before a number, a name of capitals or a small letter.
+NUMBERED = {
+    "en": "Tab Tabs Sec Ref Chap Vol Art Pat App Pub Spec Ser Appl",
+    "de": "Tab S Abs Art Anm Bd Kap",
+}
 #: The end of a sentence only if what follows looks like a beginning.
 PERHAPS = {
     "en": "in min s h ft hr sec a.m p.m etc Inc Co Corp Ltd LLC ff Cie rpm r.p.m wt mol No no U.S",
-    "de": "Min Std usw ff Sek Mio Mrd o u Str Co",
+    "de": "Min Std usw ff Sek Mio Mrd o u h Str Co",
     "fr": "min etc Cie s suiv",
     "es": "min etc r.p.m seg",
     "ru": "тыс мин град д млн руб сек ч",
 }
+#: Languages whose texts cite in another one as well, by the tables they share.
+ALSO = {"en": ("en",), "de": ("de",), "fr": ("fr", "en"), "es": ("es", "en"), "ru": ("ru", "en")}
 #: German words before an ordinal number.
 ORDINAL_BEFORE = "am Am der Der die Die das Das dem den des zum vom und im"
 CLAIM_HEADS = (
@@ -71,14 +81,19 @@ def _before(words: str) -> list[str]:
     return [rf"(?<=(?<![{LETTER}]){re.escape(w)}\.)" for w in dict.fromkeys(forms)]
 
 
+NUMBER_AFTER = r"\s*(?:[\d§(\[a-zà-ÿ]|[IVXLC]+\b|[A-Z]{1,3}[\s.-]?\d|[A-Z]\b|(?:No|Nos|Nr|App|Appl|Pub|Ser|Pat|Spec)\b)"
 FORMAL = r"[\s]*(?:[A-ZÀ-ÖØ-ÞА-ЯЁ¿¡«„“\"]|[a-z][A-Z]|[a-z]-[a-z]|\[\d)"
 
 
 def _table(lang: str) -> list[tuple[bool, list[str], str]]:
-    """The cascade for the full stop: (break?, what stands before, what follows)."""
-    order = [x for x in dict.fromkeys([lang, *ABBREVIATIONS]) if x in ABBREVIATIONS]
-    hard = [w for x in order for w in ABBREVIATIONS[x].split()]
-    soft = list(dict.fromkeys(w for x in [lang, *PERHAPS] if x in PERHAPS for w in PERHAPS[x].split()))
+    """The cascade for the full stop: (break?, what stands before, what follows). The language's own tables apply, and
+    those of English where technical texts of the language cite in it; those of all if there is no telling."""
+    own = ALSO.get(lang, (lang, "en")) if lang else tuple(ABBREVIATIONS)
+
+    def words(lists: dict[str, str]) -> list[str]:
+        return list(dict.fromkeys(w for x in own for w in lists.get(x, "").split()))
+
+    hard, soft, numbered = words(ABBREVIATIONS), words(PERHAPS), words(NUMBERED)
     variable = [rf"(?<=·\s.{{{n}}}\s\.)" for n in (1, 2, 3)]
     rules: list[tuple[bool, list[str], str]] = [
         # numbers: decimals torn apart, versions, and the number that a line or a claim begins with
@@ -94,19 +109,21 @@ def _table(lang: str) -> list[tuple[bool, list[str], str]]:
         (KEEP, [r"(?<=[.!?…] [A-Z]\.)", r"(?<=\n[A-Z]\.)", r"(?<=\A[A-Z]\.)", r"(?<=\b[A-Z]\. [A-Z]\.)", r"(?<=[a-z], [A-Z]\.)", r"(?<=\band [A-Z]\.)"], r"\s*(?:[A-Z]\.|[A-Z][a-z])"),
         (KEEP, [r"(?<=\s[A-Z]\.)"], r"\s[A-Z]\. [A-Z][a-z]"),
         (KEEP, _before("No Nos no nos Nº N°"), r"\s*(?:[\d]|[A-Z]{1,3}[\s.-]?\d)"),
+        *([(KEEP, _before(" ".join(numbered)), NUMBER_AFTER)] if numbered else []),
         (KEEP, _before(" ".join(hard)), r"[\s\S]"),
         (BREAK, _before(" ".join(soft)), FORMAL),
         (KEEP, _before(" ".join(w for w in soft if w not in ("no", "No"))), r"\s*(?:[^\W\d_]|\()"),  # a lone No is a word
     ]
-    if lang == "de":
+    if lang in ("de", ""):
         ordinal = [rf"(?<=\b{w} {d}\.)" for w in ORDINAL_BEFORE.split() for d in (r"\d", r"\d\d")]
         ordinal += [rf"(?<=\b{w}\n{d}\.)" for w in ORDINAL_BEFORE.split() for d in (r"\d", r"\d\d")]
         rules.insert(3, (KEEP, ordinal, r"\s"))
+        rules.insert(3, (KEEP, [r"(?<=\bz\. B\.)", r"(?<=\bd\. h\.)", r"(?<=\bu\. a\.)", r"(?<=\bi\. d\.)", r"(?<=\bd\. R\.)"], r"[\s\S]"))
         rules.insert(3, (KEEP, [r"(?<=\b[zdiuo]\.)"], r"\s?(?:[BhadEeRU]|o)\."))
         rules.insert(3, (BREAK, [r"(?<=\b[so]\. o\.)", r"(?<=\bs\. u\.)"], FORMAL))
         rules.insert(3, (KEEP, [r"(?<=\b[so]\.)"], r"\s(?:[ou]\.|[A-Z]\w*\.?\s\d|\d)"))
         rules.insert(3, (KEEP, _before("max"), r"\s?\d"))
-    if lang == "ru":
+    if lang in ("ru", ""):
         rules.insert(3, (KEEP, [r"(?<=т\.\s[едпк]\.)"], r"[\s\S]"))
         rules.insert(3, (BREAK, [r"(?<=т\.\sд\.)", r"(?<=т\.\sп\.)"], FORMAL))
     rules += [
@@ -152,13 +169,13 @@ _THAI_SPACES: list[tuple[bool, list[str], str]] = [
     (BREAK, [rf"(?<=[{THAI}ฯ])"], rf"[ \t]+[{THAI}]"),
 ]
 THAI_SPACES = _compile(_THAI_SPACES)
+THAI_LETTER = re.compile(rf"[{THAI}]")
 THAI_CANDIDATE = re.compile(rf"(?<=[{THAI}\w\"”)\]₀])[ \t]+(?=[{THAI}])")
 
 TERMINATOR = re.compile(rf"[.!?…。！？।॥؟｡]+(?:[{CLOSERS}]+|(?<=[.!?…])[   ]»)?")
 BRACKET = re.compile(r"[()（）\[\]［］{}「」『』«»„“”\"【】]")
 OPENS = {"(": ")", "（": "）", "[": "]", "［": "］", "{": "}", "「": "」", "『": "』", "«": "»", "„": "“”", "“": "”", "【": "】"}
 QUOTES = set("「『«„“\"")
-LONGEST_SPAN = 400
 
 BLANK_LINE = re.compile(r"\n[^\S\n]*\n")
 PARAGRAPH = re.compile(r"\S(?:(?!\r?\n[^\S\n]*\n)[\s\S])*")
@@ -173,8 +190,16 @@ CLAIM_START = re.compile(CLAIM_LABEL)
 CLAIM_INSIDE = re.compile(r"(?<=[.。．;；!！।？?؟])\s*(?<!\d[.．])" + CLAIM_LABEL)
 CLAIM_HEAD = re.compile(rf"[\[【\s]*(?:\d+\.\s*)?(?:{CLAIM_HEADS})\s*[\]】]?\s*[:：]?\s*\Z", re.I)
 SECTION_HEAD = re.compile(rf"[\[【\s]*(?:{SECTION_HEADS})\s*[\]】]?\s*[:：]?\s*\Z", re.I)
-SCRIPTS = (("th", re.compile(r"[฀-๿]")), ("hi", re.compile(r"[ऀ-ॿ]")), ("ar", re.compile(r"[؀-ۿ]")), ("ru", re.compile(r"[Ѐ-ӿ]")))
-HEAD_WORDS = (("de", re.compile(r"\b(?:der|die|und|ist|eine?|wird|mit|nach)\b")), ("fr", re.compile(r"\b(?:le|les|est|une?|des|dans|selon)\b")), ("es", re.compile(r"\b(?:el|los|una?|con|según|del)\b")), ("en", re.compile(r"\b(?:the|of|is|and|with|wherein)\b")))
+#: Blocks of 128 code points of the scripts that settle the language.
+SCRIPTS = {"ru": (8, 9), "ar": (12, 13), "hi": (18,), "th": (28,)}
+#: Common words, of which the most tell the language.
+COMMON = {
+    "de": "der die und ist ein eine wird mit nach",
+    "fr": "le les est un une des dans selon",
+    "es": "el los un una con según del",
+    "en": "the of is and with wherein",
+}
+SPACED = {name: [f" {w} " for w in words.split()] for name, words in COMMON.items()}
 
 
 @lru_cache(maxsize=32)
@@ -183,16 +208,19 @@ def rules_for(lang: str) -> re.Pattern:
 
 
 def language_of(text: str, lang: str | None) -> str:
-    """The language whose tables apply to the whole text: by script, else the stated one if its common words bear it out."""
-    for name, pattern in SCRIPTS:
-        if len(pattern.findall(text)) * 4 > len(text):
-            return name
-    counts = {name: len(pattern.findall(text)) for name, pattern in HEAD_WORDS}
+    """The language whose tables apply: by script, else the stated one if its common words bear it out; it may be none."""
+    if not text.isascii():
+        blocks = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32) >> 7
+        seen = np.bincount(np.minimum(blocks, 63), minlength=64)
+        for name, where in SCRIPTS.items():
+            if sum(int(seen[b]) for b in where) * 4 > len(text):
+                return name
+    counts = {name: sum(map(text.count, words)) for name, words in SPACED.items()}
     stated = (lang or "").strip().lower()[:2]
     best = max(counts, key=counts.get)
     if stated in counts and counts[stated] * 2 >= counts[best]:
         return stated
-    return best if counts[best] else stated or "en"
+    return best if counts[best] else stated
 
 
 def _closed_spans(text: str, lo: int, hi: int) -> list[tuple[int, int, str]]:
@@ -205,11 +233,8 @@ def _closed_spans(text: str, lo: int, hi: int) -> list[tuple[int, int, str]]:
             opens = at == lo or text[at - 1].isspace() or text[at - 1] in "(（[「:："
             top = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == '"'), None)
             if top is not None:
-                if at - stack[top][1] <= LONGEST_SPAN:
-                    spans.append((stack[top][1], at + 1, '"'))
-                    del stack[top:]
-                else:
-                    stack[top] = ('"', at)
+                spans.append((stack[top][1], at + 1, '"'))
+                del stack[top:]
             elif opens or text[at - 1 : at] not in "0123456789":
                 stack.append(('"', at))
             continue
@@ -222,8 +247,7 @@ def _closed_spans(text: str, lo: int, hi: int) -> list[tuple[int, int, str]]:
         for k in range(len(stack) - 1, -1, -1):
             opener, start = stack[k]
             if opener != '"' and ch in OPENS[opener]:
-                if at - start <= LONGEST_SPAN:
-                    spans.append((start, at + 1, opener))
+                spans.append((start, at + 1, opener))
                 del stack[k:]
                 break
             if opener in QUOTES and ch not in "”“»」』":
@@ -296,7 +320,7 @@ def _paragraphs(text: str) -> Iterator[tuple[int, int]]:
                 (SUB_ITEM.match(line) and not CLAIM_HEAD.match(last) and not SECTION_HEAD.match(last) and not (line[0].isdigit()))
                 or RULE_LINE.match(line)
                 or RULE_LINE.match(last)
-                or (not ENDS.search(last) and len(line) < 80 and len(last) > 1 and FORMULA_LINE.match(line) and not CLAIM_START.match(line))
+                or (not ENDS.search(last) and len(last) > 1 and FORMULA_LINE.match(line) and not CLAIM_START.match(line))
                 or (WHERE.match(line) and not ENDS.search(last))
             )
             if joined:
@@ -331,8 +355,7 @@ def units(text: str | None, lang: str | None = None) -> list[tuple[int, int]]:
     """The units of one text, in order."""
     if not text or not text.strip():
         return []
-    language = language_of(text, lang)
-    dots = rules_for(language)
+    whole = language_of(text, lang)
     paragraphs = list(_paragraphs(text))
     by_line = not BLANK_LINE.search(text.strip())
     out: list[tuple[int, int]] = []
@@ -347,8 +370,11 @@ def units(text: str | None, lang: str | None = None) -> list[tuple[int, int]]:
     claims, expected = False, 1
     for n, (lo, hi) in enumerate(paragraphs):
         body = text[lo:hi]
-        short = len(body) <= 60
-        if short and CLAIM_HEAD.match(body):
+        # each paragraph has its own tables: an abstract may be in another language than the description
+        told = "." in body[:-1] or (whole != "th" and not body.isascii() and THAI_LETTER.search(body))
+        language = language_of(body, whole) if told else whole
+        dots = rules_for(language)
+        if CLAIM_HEAD.match(body):
             claims, expected = True, 1
             add(lo, hi)
             continue
@@ -360,7 +386,7 @@ def units(text: str | None, lang: str | None = None) -> list[tuple[int, int]]:
                 for a, b in zip([lo, *cuts], [*cuts, hi]):
                     add(a, b)
                 continue
-            if short and SECTION_HEAD.match(body):
+            if SECTION_HEAD.match(body):
                 claims = False
             elif by_line and out:
                 # a line of a claim that began above, perhaps with further claims after it
@@ -369,7 +395,7 @@ def units(text: str | None, lang: str | None = None) -> list[tuple[int, int]]:
                 for a, b in zip(cuts, [*cuts[1:], hi]):
                     add(a, b)
                 continue
-        if n == 0 and len(paragraphs) > 1 and len(body) <= 300 and not ENDS.search(body):
+        if n == 0 and len(paragraphs) > 1 and not ENDS.search(body):
             add(lo, hi)
             continue
         at = lo
@@ -394,8 +420,8 @@ def _batches(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def sentence_units(documents: DataFrame) -> DataFrame:
     """``doc_id, start_pos, end_pos`` for every unit of every text; further columns are ignored.
 
-    ``doc_id`` must not be null; texts that are null, empty or blank have no rows. No shuffle: each text is read
-    whole where it lies.
+    ``doc_id`` must not be null; texts that are null, empty or blank have no rows. Each text is read whole, where it lies unless the table has
+    fewer partitions than there are cores.
     """
-    rows = documents.select("doc_id", "text", "lang").where(F.col("text").isNotNull())
+    rows = spread(documents.select("doc_id", "text", "lang").where(F.col("text").isNotNull()))
     return rows.mapInPandas(_batches, "doc_id bigint, start_pos int, end_pos int")

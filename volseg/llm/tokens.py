@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from volseg.storage import spread
+
 #: Byte-level BPE for many languages; any path with one of the known endings will do.
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 
@@ -39,7 +41,7 @@ def counter(path: str) -> Callable[[str], int]:
 
 def token_counts(documents: DataFrame, keep: list[str], vocabulary: str = VOCABULARY) -> DataFrame:
     """``keep`` columns and ``n_tokens`` of every row's whole ``text``; a null text has 0 tokens."""
-    rows = documents.select(*keep, "text")
+    rows = spread(documents.select(*keep, "text"))
     schema = documents.select(*keep).schema.add("n_tokens", T.LongType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
