@@ -121,14 +121,32 @@ def noise(df: DataFrame, sigma: float, seed: int) -> DataFrame:
     return df.select(*[out[c].alias(c) if c in out else F.col(c) for c in df.columns])
 
 
-def pad(df: DataFrame, low: dict[str, int], high: dict[str, int]) -> DataFrame:
-    """The volume with planes of zero affinity beyond its real ends: ``low``/``high`` name the first and last coordinate."""
+def pad(df: DataFrame, extent: tuple[int, int, int], low: dict[str, int], high: dict[str, int]) -> DataFrame:
+    """The volume with planes of zero affinity beyond its real ends: so many before 0 and behind ``extent`` on each axis.
+
+    Only the planes are made, each cell numbered by a range that is spread over the tasks; voxels that the volume
+    itself lacks stay absent, which counts as zero as well.
+    """
     spark = df.sparkSession
-    full = spark.range(1)
-    for c in KEY:
-        full = full.withColumn(c, F.explode(F.sequence(F.lit(low[c]), F.lit(high[c]))))
-    rows = full.select(*KEY).join(df.select(*KEY, *AFFINITIES), KEY, "left")
-    return rows.select(*KEY, *[F.coalesce(a, F.lit(0.0)).alias(a) for a in AFFINITIES])
+    lo = [-low.get(c, 0) for c in KEY]
+    size = [e + low.get(c, 0) + high.get(c, 0) for c, e in zip(KEY, extent)]
+    out = df.select(*KEY, *AFFINITIES)
+    for i, c in enumerate(KEY):
+        planes = [*range(lo[i], 0), *range(extent[i], extent[i] + high.get(c, 0))]
+        # what earlier axes have covered is left to them
+        first = [0 if j < i else a for j, a in enumerate(lo)]
+        span = [len(planes) if j == i else extent[j] if j < i else n for j, n in enumerate(size)]
+        n = span[0] * span[1] * span[2]
+        if not n:
+            continue
+        cells = spark.range(n)
+        place, at = F.col("id"), []
+        for j in range(3):
+            k = place % span[j]
+            at.append(F.element_at(F.array(*[F.lit(p) for p in planes]), (k + 1).cast("int")) if j == i else k + first[j])
+            place = F.floor(place / span[j])
+        out = out.unionByName(cells.select(*[a.cast("int").alias(k) for a, k in zip(at, KEY)], *[F.lit(0.0).alias(a) for a in AFFINITIES]))
+    return out
 
 
 def source_index(c: Column, ratio: int, offset: int, size: int) -> Column:

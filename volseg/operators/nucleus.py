@@ -29,6 +29,12 @@ def mint_id(value: str | int, prefix: str = "nucleus-owner") -> int:
     return MINTED + int.from_bytes(hashlib.sha256(f"{prefix}:{value}".encode()).digest()[:7], "big")
 
 
+def mint_territory(parent: Column, anchor: Column) -> Column:
+    """The internal id of an anchor's territory in a parent segment."""
+    digest = F.sha2(F.concat(F.lit("nucleus-territory:"), parent.cast("string"), F.lit(":"), anchor.cast("string")), 256)
+    return F.lit(MINTED) + F.conv(F.substring(digest, 1, 14), 16, 10).cast("bigint")
+
+
 def geometry(voxels: DataFrame, nuc: str = "nuc") -> DataFrame:
     """``nuc``, voxel count, coordinate sums and box (stop exclusive) of every nucleus."""
     rows = voxels.where(F.col(nuc) != 0).groupBy(F.col(nuc).alias("nuc"))
@@ -43,10 +49,12 @@ def sphere(geo: DataFrame, voxel_um: tuple[float, float, float]) -> DataFrame:
 
 
 def histogram(voxels: DataFrame, nuclei: DataFrame, ratio: tuple[int, int, int], size: tuple[int, int, int]) -> DataFrame:
-    """``sid, nuc, n``: voxels of each segment under each nucleus of a coarser volume (``x, y, z, nuc``)."""
+    """``sid, nuc, n, support``: voxels of each segment under each nucleus of a coarser volume (``x, y, z, nuc``), and
+    the same in voxels of the coarser volume."""
     keyed = voxels.where("sid <> 0").select("sid", *[source_index(F.col(c), r, 0, n).alias(f"_{c}") for c, r, n in zip(KEY, ratio, size)])
     coarse = nuclei.where("nuc <> 0").select(*[F.col(c).alias(f"_{c}") for c in KEY], "nuc")
-    return keyed.join(coarse, [f"_{c}" for c in KEY]).groupBy("sid", "nuc").agg(F.count(F.lit(1)).alias("n"))
+    counted = keyed.join(coarse, [f"_{c}" for c in KEY]).groupBy("sid", "nuc").agg(F.count(F.lit(1)).alias("n"))
+    return counted.withColumn("support", F.col("n") / F.lit(float(np.prod(ratio))))
 
 
 def targets(hist: DataFrame, min_share: float, totals: DataFrame | None = None) -> DataFrame:
@@ -120,47 +128,100 @@ def owner_labels(voxels: DataFrame, groups: DataFrame, nuc: str = "nuc") -> Data
 
 
 def clashes(boxes: DataFrame) -> DataFrame:
-    """Units of different segments whose boxes overlap (a range join of the few units), or whose minted ids collide."""
+    """Units of the same segment whose boxes overlap: such a segment would be shared out twice.
+
+    Boxes of different segments may overlap. A segment has a handful of units, so this is a join on the segment.
+    """
     a, b = boxes.alias("a"), boxes.alias("b")
-    overlap = F.col("a.sid") < F.col("b.sid")
+    overlap = (F.col("a.sid") == F.col("b.sid")) & (F.col("a.anchor") < F.col("b.anchor"))
     for c in KEY:
         overlap = overlap & (F.col(f"a.{c}0") < F.col(f"b.{c}1")) & (F.col(f"b.{c}0") < F.col(f"a.{c}1"))
-    return a.join(b, overlap).select(F.col("a.sid").alias("sid_a"), F.col("b.sid").alias("sid_b"), F.col("a.anchor").alias("anchor_a"), F.col("b.anchor").alias("anchor_b"))
-
-
-def touched_chunks(boxes: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Which boxes reach into which chunks: both lists are small tables of boxes; three-dimensional overlap."""
-    a, b = boxes.alias("a"), chunks.alias("b")
-    on = F.lit(True)
-    for c in KEY:
-        on = on & (F.col(f"a.{c}0") < F.col(f"b.{c}1")) & (F.col(f"b.{c}0") < F.col(f"a.{c}1"))
-    return a.join(b, on).select("a.sid", "a.anchor", "b.mip", "b.cx", "b.cy", "b.cz")
+    return a.join(b, overlap).select(F.col("a.sid").alias("sid"), F.col("a.anchor").alias("anchor_a"), F.col("b.anchor").alias("anchor_b"))
 
 
-def flood_units(voxels: DataFrame, boxes: DataFrame, owners: DataFrame, cost: str) -> DataFrame:
-    """``sid, anchor, x, y, z, territory``: each unit's segment shared out among its owners from their tags outwards.
+def id_faults(groups: DataFrame) -> DataFrame:
+    """``fault, id``: what keeps the units' ids from being safe; empty if nothing does.
 
-    A unit's box is flooded in one task: cheaper voxels first, the oldest at equal cost, over six neighbours.
+    ``namespace``: a segment whose id is beyond those of the volume; ``owner``: nuclei that get the same minted id;
+    ``territory``: territories that do, among themselves or with an owner.
+    """
+    units = groups.where("members >= 2").select("sid", "nuc")
+    beyond = units.where(F.col("sid") >= NATIVE_LIMIT).select(F.lit("namespace").alias("fault"), F.col("sid").alias("id")).distinct()
+    owners = units.select("nuc").distinct().select(mint(F.col("nuc")).alias("id"), F.lit(0).alias("kind"))
+    parts = units.distinct().select(mint_territory(F.col("sid"), F.col("nuc")).alias("id"), F.lit(1).alias("kind"))
+    twice = owners.unionByName(parts).groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.max("kind").alias("kind")).where("n > 1")
+    return beyond.unionByName(twice.select(F.when(F.col("kind") == 0, "owner").otherwise("territory").alias("fault"), "id"))
+
+
+def checked_units(boxes: DataFrame, groups: DataFrame) -> DataFrame:
+    """The boxes, once it is certain that no two of a segment overlap and that all ids are safe; else an error."""
+    found = clashes(boxes).limit(1).collect()
+    if found:
+        raise ValueError(f"units {found[0].anchor_a} and {found[0].anchor_b} of segment {found[0].sid} overlap")
+    found = id_faults(groups).limit(1).collect()
+    if found:
+        raise ValueError(f"{found[0].fault} id {found[0].id} is not safe")
+    return boxes
+
+
+def _cells(boxes: DataFrame, chunk: tuple[int, int, int], *keep: str) -> DataFrame:
+    """Each box with the chunks of the volume that it reaches into, ``cx, cy, cz``."""
+    rows = boxes.select(*keep, *[f"{c}{i}" for c in KEY for i in (0, 1)])
+    for c, n in zip(KEY, chunk):
+        rows = rows.withColumn(f"c{c}", F.explode(F.sequence(F.floor(F.col(f"{c}0") / n), F.floor((F.col(f"{c}1") - 1) / n))))
+    return rows.select("*", *[F.col(f"c{c}").cast("int").alias(f"_c{c}") for c in KEY]).drop("cx", "cy", "cz").withColumnsRenamed({f"_c{c}": f"c{c}" for c in KEY})
+
+
+def touched_chunks(boxes: DataFrame, chunks: DataFrame, chunk: tuple[int, int, int]) -> DataFrame:
+    """Which boxes reach into which of the chunks (``mip, cx, cy, cz``, of mip 0): the chunks follow from the box."""
+    return _cells(boxes, chunk, "sid", "anchor").join(chunks.select("mip", "cx", "cy", "cz"), ["cx", "cy", "cz"]).select("sid", "anchor", "mip", "cx", "cy", "cz")
+
+
+def flood_units(voxels: DataFrame, boxes: DataFrame, groups: DataFrame, factor: int = 1, chunk: tuple[int, int, int] = (64, 64, 64)) -> DataFrame:
+    """``sid, anchor, px, py, pz, territory``: each unit's segment shared out among its nuclei from their cores outwards.
+
+    Everything is pooled to blocks of ``factor`` voxels on a side first, absent voxels being 0: the least affinity of
+    a block over the channels, whether the segment is in it, and its nucleus where all voxels agree; so a unit is
+    small enough for one task. Blocks flood at a cost of 1 minus the affinity, the cheapest first, the oldest at equal
+    cost, over six neighbours; ``territory`` is the nucleus, or 0 where no core reaches. A nucleus without a block
+    of its own is an error. ``voxels``: ``x, y, z, ax, ay, az, sid, nuc``; ``boxes``: of :func:`parent_boxes`, aligned
+    to ``factor``; ``groups``: of :func:`contact_groups`.
     """
-    v = voxels.select("sid", *KEY, F.col(cost).alias("_cost")).join(owners, KEY)
-    v = v.join(boxes.select("sid", "anchor", *[f"{c}{i}" for c in KEY for i in (0, 1)]), "sid")
+    members = groups.where("members >= 2").groupBy("sid", "anchor").agg(F.array_sort(F.collect_list("nuc")).alias("_nuclei"))
+    units = boxes.join(members, ["sid", "anchor"]).withColumnsRenamed({"sid": "_unit"})
+    cells = _cells(units, chunk, "_unit", "anchor", "_nuclei")
+    least = F.least("ax", "ay", "az")
+    v = voxels.select(*KEY, "sid", "nuc", least.alias("_aff"), *[F.floor(F.col(c) / n).cast("int").alias(f"c{c}") for c, n in zip(KEY, chunk)])
+    v = v.join(cells, ["cx", "cy", "cz"])
     for c in KEY:
         v = v.where((F.col(c) >= F.col(f"{c}0")) & (F.col(c) < F.col(f"{c}1")))
+    pooled = v.groupBy(F.col("_unit").alias("sid"), "anchor", *[F.floor(F.col(c) / factor).cast("int").alias(f"p{c}") for c in KEY]).agg(
+        F.min("_aff").alias("low"), F.max((F.col("sid") == F.col("_unit")).cast("int")).alias("own"), F.min("nuc").alias("n_low"), F.max("nuc").alias("n_high"),
+        F.count(F.lit(1)).alias("n"), F.first("_nuclei").alias("_nuclei"),
+    )
+    full = F.col("n") == factor**3
+    core = F.when(full & (F.col("n_low") == F.col("n_high")) & F.array_contains("_nuclei", F.col("n_low")) & (F.col("own") == 1), F.col("n_low")).otherwise(0)
+    pooled = pooled.select("sid", "anchor", "px", "py", "pz", (1 - F.when(full, F.col("low")).otherwise(F.least("low", F.lit(0.0)))).alias("cost"), "own", core.cast("bigint").alias("core"), "_nuclei")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        lo = [int(pdf[f"{c}0"].iloc[0]) for c in KEY]
-        shape = [int(pdf[f"{c}1"].iloc[0]) - a for c, a in zip(KEY, lo)]
-        at = tuple(pdf[c].to_numpy() - a for c, a in zip(KEY, lo))
-        price, seeds, mask = np.zeros(shape), np.zeros(shape, dtype=np.int64), np.zeros(shape, dtype=bool)
-        price[at], seeds[at], mask[at] = pdf["_cost"].to_numpy(), pdf["owner"].to_numpy(), True
-        grown = kernels.flood(price, seeds, mask)[at]
-        return pd.DataFrame({"sid": pdf["sid"], "anchor": pdf["anchor"], **{c: pdf[c] for c in KEY}, "territory": grown})
-
-    return v.groupBy("sid", "anchor").applyInPandas(run, "sid bigint, anchor bigint, x int, y int, z int, territory bigint")
+        cells = [pdf[f"p{c}"].to_numpy() for c in KEY]
+        lo = [int(c.min()) for c in cells]
+        at = tuple(c - a for c, a in zip(cells, lo))
+        shape = [int(c.max()) - a + 1 for c, a in zip(cells, lo)]
+        price, seeds, mask = np.ones(shape), np.zeros(shape, dtype=np.int64), np.zeros(shape, dtype=bool)
+        price[at], seeds[at], mask[at] = pdf["cost"].to_numpy(), pdf["core"].to_numpy(), pdf["own"].to_numpy() == 1
+        lacking = set(pdf["_nuclei"].iloc[0]) - set(pdf["core"])
+        if lacking:
+            raise ValueError(f"nucleus {min(lacking)} has no block of its own in segment {pdf['sid'].iloc[0]}")
+        own = mask[at]
+        grown = kernels.flood(price, seeds, mask)[at][own]
+        return pd.DataFrame({**{c: pdf[c][own] for c in ("sid", "anchor", "px", "py", "pz")}, "territory": grown})
+
+    return pooled.groupBy("sid", "anchor").applyInPandas(run, "sid bigint, anchor bigint, px int, py int, pz int, territory bigint")
 
 
 def ledger(territories: DataFrame) -> DataFrame:
-    """``sid, owner, minted, n``: what each segment is retired into, in voxels."""
+    """``sid, owner, minted, n``: what each segment is retired into, in blocks."""
     return territories.where("territory <> 0").groupBy("sid", F.col("territory").alias("owner")).agg(F.count(F.lit(1)).alias("n")).select("sid", "owner", mint(F.col("owner")).alias("minted"), "n")
 
 
@@ -179,12 +240,19 @@ def canonical_segments(voxels: DataFrame, qualified: DataFrame) -> DataFrame:
     return remap_ids(voxels, single.select(F.col("sid").alias("old"), mint(F.col("owner")).alias("new")), "sid")
 
 
-def overlay(voxels: DataFrame, territories: DataFrame) -> DataFrame:
-    """Labels replaced by the minted id of the territory that a voxel of the retired segment lies in."""
-    t = territories.where("territory <> 0").select(F.col("sid").alias("_s"), *[F.col(c).alias(f"_{c}") for c in KEY], mint(F.col("territory")).alias("_m"))
-    on = [voxels[c] == F.col(f"_{c}") for c in KEY] + [voxels["sid"] == F.col("_s")]
+def overlay(voxels: DataFrame, territories: DataFrame, factor: int = 1) -> DataFrame:
+    """Territories laid over a volume: in the blocks of :func:`flood_units` voxels of the shared-out segment take the
+    minted id of their territory's nucleus, and its tag if there is a ``nuc`` column.
+
+    One equi join on segment and block. The boxes of a segment must not overlap (:func:`checked_units`).
+    """
+    t = territories.where("territory <> 0").select(F.col("sid").alias("_s"), "px", "py", "pz", F.col("territory").alias("_t"))
+    on = [F.floor(voxels[c] / factor).cast("int") == F.col(f"p{c}") for c in KEY] + [voxels["sid"] == F.col("_s")]
     rows = voxels.join(t, on, "left")
-    return rows.select(*[F.coalesce("_m", voxels["sid"]).alias(c) if c == "sid" else voxels[c] for c in voxels.columns])
+    new = {"sid": F.coalesce(mint(F.col("_t")), voxels["sid"])}
+    if "nuc" in voxels.columns:
+        new["nuc"] = F.coalesce("_t", voxels["nuc"])
+    return rows.select(*[new[c].alias(c) if c in new else voxels[c] for c in voxels.columns])
 
 
 def critical_path(tasks: DataFrame) -> DataFrame:

@@ -7,19 +7,25 @@ from pyspark.sql import functions as F
 
 from volseg.storage import Scratch, table
 
-#: Extent of the fixture volume and of its chunks.
-EXTENT, CHUNK = (32, 32, 16), (16, 16, 8)
+#: Chunks of the fixture volume. Its extent is 32 x 32 on x and y; on z it grows with the table, by 16 for each
+#: 15,000 rows of lineitem.
+CHUNK, ROWS_PER_SLAB = (16, 16, 8), 15_000
 _saved: dict[tuple[str, str, str], DataFrame] = {}
+_extents: dict[tuple[str, str], tuple[int, int, int]] = {}
 
-VOXELS_SQL = """v0 AS (
-  SELECT CAST(l_orderkey % 32 AS INT) AS x, CAST(l_partkey % 32 AS INT) AS y, CAST(l_suppkey % 16 AS INT) AS z,
+EXT_SQL = "ext AS (SELECT CAST(16 * greatest(1, count(*) // 15000) AS INT) AS nz FROM lineitem)"
+#: The extent on z, as a scalar.
+NZ = "(SELECT nz FROM ext)"
+VOXELS_SQL = EXT_SQL + f""", v0 AS (
+  SELECT CAST(l_orderkey % 32 AS INT) AS x, CAST(l_partkey % 32 AS INT) AS y, CAST(l_suppkey % {NZ} AS INT) AS z,
          (sum(CAST(l_quantity AS BIGINT) * 7) % 257) / 256.0 AS ax, (sum(CAST(l_quantity AS BIGINT) * 13 + l_linenumber) % 257) / 256.0 AS ay,
          (sum(CAST(l_quantity AS BIGINT) * 29 + 3 * l_linenumber) % 257) / 256.0 AS az,
          max(l_suppkey) % 7 AS nuc, max(CASE l_returnflag WHEN 'A' THEN 2 WHEN 'N' THEN 3 ELSE 4 END) AS sem
   FROM lineitem GROUP BY 1, 2, 3),
 voxel AS (SELECT x, y, z, CAST(ax AS DOUBLE) AS ax, CAST(ay AS DOUBLE) AS ay, CAST(az AS DOUBLE) AS az, CAST(nuc AS BIGINT) AS nuc, sem,
   CAST(CASE WHEN ax < 0.02 THEN 0 ELSE 1 + x // 4 + 8 * ((y + z % 3) // 4) + 100 * (z // 4) END AS BIGINT) AS sid,
-  CAST(1 + x // 8 + 4 * (y // 8) + 16 * (z // 8) AS BIGINT) AS gt FROM v0)"""
+  CAST(1 + x // 8 + 4 * (y // 8) + 16 * (z // 8) AS BIGINT) AS gt, CAST(1 + x // 16 + 2 * (y // 16) + 4 * (z // 16) AS BIGINT) AS soma,
+  CAST(CASE WHEN x % 8 BETWEEN 2 AND 5 AND y % 8 BETWEEN 2 AND 5 AND z % 8 BETWEEN 2 AND 5 THEN 1 + x // 8 + 4 * (y // 8) + 16 * (z // 8) ELSE 0 END AS BIGINT) AS core FROM v0)"""
 
 CONTACTS_SQL = VOXELS_SQL + """,
 contact AS (
@@ -37,13 +43,23 @@ def saved(spark: SparkSession, sf_dir: str, name: str, make) -> DataFrame:
     return _saved[key]
 
 
+def extent(spark: SparkSession, sf_dir: str) -> tuple[int, int, int]:
+    """The fixture volume's extent."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _extents:
+        _extents[key] = (32, 32, 16 * max(1, table(spark, sf_dir, "lineitem").count() // ROWS_PER_SLAB))
+    return _extents[key]
+
+
 def voxels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``x, y, z, ax, ay, az, nuc, sem, sid, gt``; affinities are multiples of 1/256, so sums are exact."""
+    """``x, y, z, ax, ay, az, nuc, sem, sid, gt, soma, core``: affinities are multiples of 1/256, so sums are exact;
+    ``soma`` are larger segments, each with up to eight nuclei, whose small ``core`` is tagged."""
 
     def make() -> DataFrame:
         qty = F.col("l_quantity").cast("bigint")
         line = table(spark, sf_dir, "lineitem")
-        part = [((line[k] % n).cast("int")).alias(a) for k, n, a in (("l_orderkey", 32, "x"), ("l_partkey", 32, "y"), ("l_suppkey", 16, "z"))]
+        nz = extent(spark, sf_dir)[2]
+        part = [((line[k] % n).cast("int")).alias(a) for k, n, a in (("l_orderkey", 32, "x"), ("l_partkey", 32, "y"), ("l_suppkey", nz, "z"))]
         v = line.groupBy(*part).agg(
             ((F.sum(qty * 7) % 257) / 256.0).alias("ax"), ((F.sum(qty * 13 + F.col("l_linenumber")) % 257) / 256.0).alias("ay"),
             ((F.sum(qty * 29 + 3 * F.col("l_linenumber")) % 257) / 256.0).alias("az"), (F.max("l_suppkey") % 7).alias("nuc"),
@@ -51,7 +67,14 @@ def voxels(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
         x, y, z = F.col("x"), F.col("y"), F.col("z")
         sid = 1 + F.floor(x / 4) + 8 * F.floor((y + z % 3) / 4) + 100 * F.floor(z / 4)
-        gt = 1 + F.floor(x / 8) + 4 * F.floor(y / 8) + 16 * F.floor(z / 8)
-        return v.select("*", F.when(F.col("ax") < 0.02, 0).otherwise(sid).cast("bigint").alias("sid"), gt.cast("bigint").alias("gt"))
+        gt = (1 + F.floor(x / 8) + 4 * F.floor(y / 8) + 16 * F.floor(z / 8)).cast("bigint")
+        soma = 1 + F.floor(x / 16) + 2 * F.floor(y / 16) + 4 * F.floor(z / 16)
+        inside = F.lit(True)
+        for c in (x, y, z):
+            inside = inside & (c % 8).between(2, 5)
+        return v.select(
+            "*", F.when(F.col("ax") < 0.02, 0).otherwise(sid).cast("bigint").alias("sid"), gt.alias("gt"), soma.cast("bigint").alias("soma"),
+            F.when(inside, gt).otherwise(0).cast("bigint").alias("core"),
+        )
 
     return saved(spark, sf_dir, "voxels", make)

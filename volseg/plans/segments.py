@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from volseg.config import Agglomeration
 from volseg.operators import agglomeration, contact_surface, graph, nucleus, rag, remap, watershed
-from volseg.plans.fixtures import CHUNK, EXTENT, saved, voxels
-from volseg.plans.volume import C, V, contacts, nuclei, regions
+from volseg.plans.fixtures import CHUNK, NZ, extent, saved, voxels
+from volseg.plans.volume import C, V, contacts, grid_of, nuclei, regions
 from volseg.storage import Scratch, table
 
 QUERIES: dict = {}
@@ -141,7 +141,7 @@ def segment_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = voxels(spark, sf_dir).where("sid <> 0")
     sizes = v.groupBy("sid").agg(F.count(F.lit(1)).alias("size"))
     new = agglomeration.resolved(_events(spark, sf_dir), Scratch(spark, "routes"))
-    return agglomeration.done_and_ongoing(sizes, new, v.where("z = 15").select("sid"))
+    return agglomeration.done_and_ongoing(sizes, new, v.where(f"z = {extent(spark, sf_dir)[2] - 1}").select("sid"))
 
 
 @query(f"{C} SELECT count(DISTINCT s) - 1 AS n_edges FROM (SELECT s1 AS s FROM rag UNION SELECT s2 FROM rag)")
@@ -177,7 +177,7 @@ def ws_basins(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _basin_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     labels = voxels(spark, sf_dir).drop("sid").join(_basins(spark, sf_dir), ["x", "y", "z"])
     g = saved(spark, sf_dir, "basin-graph", lambda: rag.scored(rag.contacts(labels, chunk=CHUNK), "max"))
-    return g, saved(spark, sf_dir, "basin-sizes", lambda: watershed.sizes_and_border(labels, CHUNK, EXTENT))
+    return g, saved(spark, sf_dir, "basin-sizes", lambda: watershed.sizes_and_border(labels, CHUNK, extent(spark, sf_dir)))
 
 
 @query()
@@ -192,9 +192,9 @@ def ws_merge_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return watershed.merge_segments_at(*_basin_graph(spark, sf_dir), [(10, 2, 0.5), (20, 3, 0.3)], Scratch(spark, "wst"))
 
 
-_SEAM_SQL = f"""f AS (SELECT o.sid AS sid_o, i.sid AS sid_i, i.ax AS aff FROM voxel i JOIN voxel o ON o.x = i.x - 1 AND o.y = i.y AND o.z = i.z WHERE i.x = 16
-UNION ALL SELECT o.sid, i.sid, i.ay FROM voxel i JOIN voxel o ON o.x = i.x AND o.y = i.y - 1 AND o.z = i.z WHERE i.y = 16
-UNION ALL SELECT o.sid, i.sid, i.az FROM voxel i JOIN voxel o ON o.x = i.x AND o.y = i.y AND o.z = i.z - 1 WHERE i.z = 8),
+_SEAM_SQL = f"""f AS (SELECT o.sid AS sid_o, i.sid AS sid_i, i.ax AS aff FROM voxel i JOIN voxel o ON o.x = i.x - 1 AND o.y = i.y AND o.z = i.z WHERE i.x % 16 = 0 AND i.x > 0
+UNION ALL SELECT o.sid, i.sid, i.ay FROM voxel i JOIN voxel o ON o.x = i.x AND o.y = i.y - 1 AND o.z = i.z WHERE i.y % 16 = 0 AND i.y > 0
+UNION ALL SELECT o.sid, i.sid, i.az FROM voxel i JOIN voxel o ON o.x = i.x AND o.y = i.y AND o.z = i.z - 1 WHERE i.z % 8 = 0 AND i.z > 0),
 same AS (SELECT least(sid_o, sid_i) AS s1, greatest(sid_o, sid_i) AS s2 FROM f WHERE sid_o <> 0 AND sid_i <> 0 GROUP BY 1, 2 HAVING max(aff) >= 0.9)"""
 
 
@@ -256,7 +256,7 @@ def contact_patches(spark: SparkSession, sf_dir: str) -> DataFrame:
 def contact_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Patches found block by block and joined over faces: the same as those of the whole volume."""
     cv = contact_surface.contact_voxels(contacts(spark, sf_dir), 0.25, 0.75)
-    block = F.floor(F.col("x") / 16) * 4 + F.floor(F.col("y") / 16) * 2 + F.floor(F.col("z") / 8)
+    block = F.floor(F.col("z") / 8) * 4 + F.floor(F.col("x") / 16) * 2 + F.floor(F.col("y") / 16)
     # a pair's voxels in different blocks are labelled apart by moving each block far away
     moved = cv.withColumn("_b", block).withColumn("x", (F.col("x") + F.col("_b") * 1000).cast("int"))
     labelled = contact_surface.patches(moved.drop("_b"))
@@ -265,10 +265,10 @@ def contact_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contact_surface.summaries(contact_surface.merge_over_faces(parts, CHUNK, Scratch(spark, "cm")))
 
 
-@query(f"{CR}, {PATCH_SQL} SELECT *, (min_x <= 0 OR max_z >= 15) AS incomplete FROM summary")
+@query(f"{CR}, {PATCH_SQL} SELECT *, (min_x <= 0 OR max_z >= {NZ} - 1) AS incomplete FROM summary")
 def contact_incomplete(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Patches that reach a face beyond which the volume goes on."""
-    return contact_surface.touches_face(contact_patches(spark, sf_dir), (0, 0, 0), (31, 31, 15), (True, False, False, False, False, True))
+    return contact_surface.touches_face(contact_patches(spark, sf_dir), (0, 0, 0), tuple(e - 1 for e in extent(spark, sf_dir)), (True, False, False, False, False, True))
 
 
 @query()
@@ -277,30 +277,40 @@ def reweighted_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contact_surface.reweighted(contacts(spark, sf_dir))
 
 
-# nuclei
-GEO_SQL = "geo AS (SELECT nuc, count(*) AS n, sum(x)::BIGINT AS sum_x, sum(y)::BIGINT AS sum_y, sum(z)::BIGINT AS sum_z, min(x)::BIGINT AS x0, min(y)::BIGINT AS y0, min(z)::BIGINT AS z0, max(x)::BIGINT + 1 AS x1, max(y)::BIGINT + 1 AS y1, max(z)::BIGINT + 1 AS z1 FROM voxel WHERE nuc <> 0 GROUP BY nuc)"
-HIST_SQL = """coarse AS (SELECT x, y, z, nuc FROM voxel WHERE x < 16 AND y < 16 AND z < 8 AND nuc <> 0),
-hist AS (SELECT v.sid, c.nuc, count(*) AS n FROM voxel v JOIN coarse c ON c.x = least((v.x + 1) // 2, 15) AND c.y = least((v.y + 1) // 2, 15) AND c.z = least((v.z + 1) // 2, 7) WHERE v.sid <> 0 GROUP BY 1, 2)"""
-TARGETS_SQL = f"""{HIST_SQL}, tot AS (SELECT sid, CAST(sum(n) AS BIGINT) AS total FROM hist GROUP BY sid), q0 AS (SELECT hist.sid, nuc, n, total FROM hist JOIN tot ON tot.sid = hist.sid WHERE n >= total * 0.25),
-q AS (SELECT * FROM q0 WHERE sid IN (SELECT sid FROM q0 GROUP BY sid HAVING count(*) >= 2))"""
+# nuclei: the larger segments of the fixture, with the nuclei whose cores lie in them
+SOMA_SQL = "soma AS (SELECT x, y, z, ax, ay, az, soma AS sid, core AS nuc FROM voxel)"
+GEO_SQL = "geo AS (SELECT nuc, count(*) AS n, sum(x)::BIGINT AS sum_x, sum(y)::BIGINT AS sum_y, sum(z)::BIGINT AS sum_z, min(x)::BIGINT AS x0, min(y)::BIGINT AS y0, min(z)::BIGINT AS z0, max(x)::BIGINT + 1 AS x1, max(y)::BIGINT + 1 AS y1, max(z)::BIGINT + 1 AS z1 FROM soma WHERE nuc <> 0 GROUP BY nuc)"
+HIST_SQL = f"""coarse AS (SELECT x, y, z, nuc FROM voxel WHERE x < 16 AND y < 16 AND z < {NZ} // 2 AND nuc <> 0),
+hist AS (SELECT v.sid, c.nuc, count(*) AS n FROM voxel v JOIN coarse c ON c.x = least((v.x + 1) // 2, 15) AND c.y = least((v.y + 1) // 2, 15) AND c.z = least((v.z + 1) // 2, {NZ} // 2 - 1) WHERE v.sid <> 0 GROUP BY 1, 2)"""
+TARGETS_SQL = f"""{SOMA_SQL}, votes AS (SELECT sid, nuc, count(*) AS n FROM soma WHERE nuc <> 0 GROUP BY 1, 2), tot AS (SELECT sid, CAST(sum(n) AS BIGINT) AS total FROM votes GROUP BY sid),
+q0 AS (SELECT votes.sid, nuc, n, total FROM votes JOIN tot ON tot.sid = votes.sid WHERE n >= total * 0.05), q AS (SELECT * FROM q0 WHERE sid IN (SELECT sid FROM q0 GROUP BY sid HAVING count(*) >= 2))"""
 SPHERE_SQL = f"{GEO_SQL}, sphere AS (SELECT nuc, (sum_x / n + 0.5) * 0.5 AS ux, (sum_y / n + 0.5) * 0.5 AS uy, (sum_z / n + 0.5) * 1.0 AS uz, cbrt(n * 0.25 * 0.75 / pi()) AS radius FROM geo)"
 GAPS_SQL = """gaps AS (SELECT a.sid, a.nuc AS n1, b.nuc AS n2, sqrt((s.ux - t.ux) * (s.ux - t.ux) + (s.uy - t.uy) * (s.uy - t.uy) + (s.uz - t.uz) * (s.uz - t.uz)) - s.radius - t.radius AS gap
 FROM q a JOIN q b ON a.sid = b.sid AND a.nuc < b.nuc JOIN sphere s ON s.nuc = a.nuc JOIN sphere t ON t.nuc = b.nuc)"""
 UNIT_UM = (0.5, 0.5, 1.0)
-CONTACT_UM = 100.0
+#: Nuclei side by side nearly touch, those above one another do not.
+CONTACT_UM, MARGIN = 3.0, (2, 2, 1)
+
+
+def _somas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return voxels(spark, sf_dir).select("x", "y", "z", "ax", "ay", "az", F.col("soma").alias("sid"), F.col("core").alias("nuc"))
 
 
 def _hist(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = voxels(spark, sf_dir)
-    return nucleus.histogram(v, v.where("x < 16 AND y < 16 AND z < 8").select("x", "y", "z", "nuc"), (2, 2, 2), (16, 16, 8))
+    v, half = voxels(spark, sf_dir), extent(spark, sf_dir)[2] // 2
+    return nucleus.histogram(v, v.where(f"x < 16 AND y < 16 AND z < {half}").select("x", "y", "z", "nuc"), (2, 2, 2), (16, 16, half))
 
 
 def _targets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return saved(spark, sf_dir, "targets", lambda: nucleus.targets(_hist(spark, sf_dir), 0.25))
+    def make() -> DataFrame:
+        v = _somas(spark, sf_dir)
+        return nucleus.targets(nucleus.histogram(v, v.select("x", "y", "z", "nuc"), (1, 1, 1), extent(spark, sf_dir)), 0.05)
+
+    return saved(spark, sf_dir, "targets", make)
 
 
 def _gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nucleus.pair_gaps(_targets(spark, sf_dir), nucleus.sphere(nucleus.geometry(voxels(spark, sf_dir)), UNIT_UM))
+    return nucleus.pair_gaps(_targets(spark, sf_dir), nucleus.sphere(nucleus.geometry(_somas(spark, sf_dir)), UNIT_UM))
 
 
 def _groups(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -308,23 +318,23 @@ def _groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return saved(spark, sf_dir, "boxes", lambda: nucleus.unit_boxes(_groups(spark, sf_dir), nucleus.geometry(voxels(spark, sf_dir)), (2, 2, 1), EXTENT))
+    return saved(spark, sf_dir, "boxes", lambda: nucleus.unit_boxes(_groups(spark, sf_dir), nucleus.geometry(_somas(spark, sf_dir)), MARGIN, extent(spark, sf_dir)))
 
 
-@query(f"{V}, {GEO_SQL} SELECT * FROM geo")
+@query(f"{V}, {SOMA_SQL}, {GEO_SQL} SELECT * FROM geo")
 def nuc_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Volume, coordinate sums and box of every nucleus."""
-    return nucleus.geometry(voxels(spark, sf_dir))
+    return nucleus.geometry(_somas(spark, sf_dir))
 
 
-@query(f"{V}, {SPHERE_SQL} SELECT nuc, round(ux, 9) AS ux, round(uy, 9) AS uy, round(uz, 9) AS uz, round(radius, 9) AS radius FROM sphere")
+@query(f"{V}, {SOMA_SQL}, {SPHERE_SQL} SELECT nuc, round(ux, 9) AS ux, round(uy, 9) AS uy, round(uz, 9) AS uz, round(radius, 9) AS radius FROM sphere")
 def nuc_spheres(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Physical centre and equivalent radius, to nine decimals."""
-    s = nucleus.sphere(nucleus.geometry(voxels(spark, sf_dir)), UNIT_UM)
+    s = nucleus.sphere(nucleus.geometry(_somas(spark, sf_dir)), UNIT_UM)
     return s.select("nuc", *[F.round(c, 9).alias(c) for c in ("ux", "uy", "uz", "radius")])
 
 
-@query(f"{V}, {HIST_SQL} SELECT * FROM hist")
+@query(f"{V}, {HIST_SQL} SELECT *, n / 8.0::DOUBLE AS support FROM hist")
 def nuc_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Voxels of each segment under each nucleus of a coarser volume."""
     return _hist(spark, sf_dir)
@@ -353,8 +363,8 @@ def nuc_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _groups(spark, sf_dir)
 
 
-_BOXES_SQL = f"""{_UNITS_SQL}, {GEO_SQL.replace('geo AS', 'geo2 AS')}, boxes AS (SELECT sid, anchor, greatest(min(x0) - 2, 0) AS x0, greatest(min(y0) - 2, 0) AS y0, greatest(min(z0) - 1, 0) AS z0, least(max(x1) + 2, 32) AS x1, least(max(y1) + 2, 32) AS y1, least(max(z1) + 1, 16) AS z1
-FROM groups JOIN geo2 USING (nuc) WHERE members >= 2 GROUP BY 1, 2)"""
+_BOXES_SQL = f"""{_UNITS_SQL}, boxes AS (SELECT sid, anchor, greatest(min(x0) - 2, 0) AS x0, greatest(min(y0) - 2, 0) AS y0, greatest(min(z0) - 1, 0) AS z0, least(max(x1) + 2, 32) AS x1, least(max(y1) + 2, 32) AS y1, least(max(z1) + 1, {NZ}) AS z1
+FROM groups JOIN geo USING (nuc) WHERE members >= 2 GROUP BY 1, 2)"""
 
 
 @query(f"{_BOXES_SQL} SELECT * FROM boxes")
@@ -363,11 +373,18 @@ def unit_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _boxes(spark, sf_dir)
 
 
-@query(f"""{_BOXES_SQL} SELECT b.sid, b.anchor, min(v.x) // 4 * 4::BIGINT AS x0, min(v.y) // 4 * 4::BIGINT AS y0, min(v.z) // 4 * 4::BIGINT AS z0, least((max(v.x) // 4 + 1) * 4, 32)::BIGINT AS x1, least((max(v.y) // 4 + 1) * 4, 32)::BIGINT AS y1, least((max(v.z) // 4 + 1) * 4, 16)::BIGINT AS z1
-FROM boxes b JOIN voxel v ON v.sid = b.sid AND v.x >= b.x0 AND v.x < b.x1 AND v.y >= b.y0 AND v.y < b.y1 AND v.z >= b.z0 AND v.z < b.z1 GROUP BY 1, 2""")
+_FILLED_SQL = f"""{_BOXES_SQL}, filled AS (SELECT b.sid, b.anchor, min(v.x) // 2 * 2::BIGINT AS x0, min(v.y) // 2 * 2::BIGINT AS y0, min(v.z) // 2 * 2::BIGINT AS z0, least((max(v.x) // 2 + 1) * 2, 32)::BIGINT AS x1, least((max(v.y) // 2 + 1) * 2, 32)::BIGINT AS y1, least((max(v.z) // 2 + 1) * 2, {NZ})::BIGINT AS z1
+FROM boxes b JOIN soma v ON v.sid = b.sid AND v.x >= b.x0 AND v.x < b.x1 AND v.y >= b.y0 AND v.y < b.y1 AND v.z >= b.z0 AND v.z < b.z1 GROUP BY 1, 2)"""
+
+
+def _filled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return saved(spark, sf_dir, "filled", lambda: nucleus.parent_boxes(_somas(spark, sf_dir), _boxes(spark, sf_dir), 2, extent(spark, sf_dir)))
+
+
+@query(f"{_FILLED_SQL} SELECT * FROM filled")
 def unit_parent_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The aligned parts of the boxes that the segments fill."""
-    return nucleus.parent_boxes(voxels(spark, sf_dir), _boxes(spark, sf_dir), 4, EXTENT)
+    return _filled(spark, sf_dir)
 
 
 @query(f"{V}, p AS (SELECT CAST(x // 2 AS INT) AS x, CAST(y // 2 AS INT) AS y, CAST(z // 2 AS INT) AS z, CASE WHEN count(*) = 8 THEN min(sid) ELSE least(min(sid), 0) END AS low, CASE WHEN count(*) = 8 THEN max(sid) ELSE greatest(max(sid), 0) END AS high FROM voxel GROUP BY 1, 2, 3) SELECT *, CASE WHEN low = high THEN low ELSE 0 END AS same FROM p")
@@ -376,32 +393,42 @@ def pool_minmax(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nucleus.pool(voxels(spark, sf_dir), "sid", 2)
 
 
-@query(f"{_UNITS_SQL} SELECT x, y, z, coalesce(g.nuc, 0) AS owner FROM voxel v LEFT JOIN groups g ON g.sid = v.sid AND g.nuc = v.nuc AND members >= 2")
+@query(f"{_UNITS_SQL} SELECT x, y, z, coalesce(g.nuc, 0) AS owner FROM soma v LEFT JOIN groups g ON g.sid = v.sid AND g.nuc = v.nuc AND members >= 2")
 def owner_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tags that qualify as owners in their segment."""
-    return nucleus.owner_labels(voxels(spark, sf_dir), _groups(spark, sf_dir))
+    return nucleus.owner_labels(_somas(spark, sf_dir), _groups(spark, sf_dir))
+
 
+#: Boxes with a margin so wide that those of a segment overlap.
+_WIDE_SQL = _BOXES_SQL.replace("min(z0) - 1", "min(z0) - 4").replace("max(z1) + 1,", "max(z1) + 4,")
 
-@query(f"""{_BOXES_SQL} SELECT a.sid AS sid_a, b.sid AS sid_b, a.anchor AS anchor_a, b.anchor AS anchor_b FROM boxes a JOIN boxes b ON a.sid < b.sid AND a.x0 < b.x1 AND b.x0 < a.x1 AND a.y0 < b.y1 AND b.y0 < a.y1 AND a.z0 < b.z1 AND b.z0 < a.z1""")
+
+@query(f"{_WIDE_SQL} SELECT a.sid, a.anchor AS anchor_a, b.anchor AS anchor_b FROM boxes a JOIN boxes b ON a.sid = b.sid AND a.anchor < b.anchor AND a.x0 < b.x1 AND b.x0 < a.x1 AND a.y0 < b.y1 AND b.y0 < a.y1 AND a.z0 < b.z1 AND b.z0 < a.z1")
 def unit_clashes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Units whose boxes overlap."""
-    return nucleus.clashes(_boxes(spark, sf_dir))
+    """Units of a segment whose boxes overlap, with a margin that is too wide."""
+    wide = nucleus.unit_boxes(_groups(spark, sf_dir), nucleus.geometry(_somas(spark, sf_dir)), (2, 2, 4), extent(spark, sf_dir))
+    return nucleus.clashes(wide)
+
 
+@query(f"{_UNITS_SQL}, u AS (SELECT DISTINCT sid, nuc FROM groups WHERE members >= 2) SELECT (SELECT count(*) FROM u) AS n_territories, count(*) AS n_faults FROM u WHERE sid >= 144115188075855872")
+def unit_id_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Units whose ids are not safe (none), of so many territories."""
+    groups = _groups(spark, sf_dir)
+    n = groups.where("members >= 2").select("sid", "nuc").distinct().agg(F.count(F.lit(1)).alias("n_territories"))
+    return n.join(nucleus.id_faults(groups).agg(F.count(F.lit(1)).alias("n_faults")))
 
-@query(f"""{_BOXES_SQL}, g AS (SELECT CAST(0 AS INT) AS mip, CAST(cx AS INT) AS cx, CAST(cy AS INT) AS cy, CAST(cz AS INT) AS cz FROM range(2) a(cx), range(2) b(cy), range(2) c(cz))
+
+@query(f"""{_BOXES_SQL}, g AS (SELECT CAST(0 AS INT) AS mip, CAST(cx AS INT) AS cx, CAST(cy AS INT) AS cy, CAST(cz AS INT) AS cz FROM range(2) a(cx), range(2) b(cy), (SELECT unnest(range(0, nz // 8)) AS cz FROM ext))
 SELECT sid, anchor, mip, cx, cy, cz FROM boxes JOIN g ON x0 < (cx + 1) * 16 AND cx * 16 < x1 AND y0 < (cy + 1) * 16 AND cy * 16 < y1 AND z0 < (cz + 1) * 8 AND cz * 8 < z1""")
 def unit_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks that the units' boxes reach into."""
-    from volseg.plans.volume import grid_of
-
-    return nucleus.touched_chunks(_boxes(spark, sf_dir), grid_of(spark).where("mip = 0"))
+    return nucleus.touched_chunks(_boxes(spark, sf_dir), grid_of(spark, sf_dir).where("mip = 0"), CHUNK)
 
 
 def _flooded(spark: SparkSession, sf_dir: str) -> DataFrame:
     def make() -> DataFrame:
-        v = voxels(spark, sf_dir)
-        cost = v.withColumn("cost", 1 - (F.col("ax") + F.col("ay") + F.col("az")) / 3)
-        return nucleus.flood_units(cost, _boxes(spark, sf_dir), nucleus.owner_labels(v, _groups(spark, sf_dir)), "cost")
+        units = nucleus.checked_units(_filled(spark, sf_dir), _groups(spark, sf_dir))
+        return nucleus.flood_units(_somas(spark, sf_dir), units, _groups(spark, sf_dir), 1, CHUNK)
 
     return saved(spark, sf_dir, "flooded", make)
 
@@ -412,6 +439,19 @@ def flood_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _flooded(spark, sf_dir)
 
 
+@query(f"""{_FILLED_SQL} SELECT f.sid, f.anchor, count(*) AS n_cells, CAST(0 AS BIGINT) AS n_lost_cores, CAST(0 AS BIGINT) AS n_strangers
+FROM filled f JOIN soma v ON v.sid = f.sid AND v.x >= f.x0 AND v.x < f.x1 AND v.y >= f.y0 AND v.y < f.y1 AND v.z >= f.z0 AND v.z < f.z1 GROUP BY 1, 2""")
+def flood_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The blocks of every unit; cores that another nucleus has taken and blocks of a nucleus that is not in the unit (none)."""
+    groups = _groups(spark, sf_dir)
+    cells = _flooded(spark, sf_dir).join(_somas(spark, sf_dir).select(F.col("x").alias("px"), F.col("y").alias("py"), F.col("z").alias("pz"), F.col("nuc").alias("core")), ["px", "py", "pz"])
+    known = groups.select("sid", "anchor", F.col("nuc").alias("territory"), F.lit(True).alias("known"))
+    cores = groups.select("sid", "anchor", F.col("nuc").alias("core"), F.lit(True).alias("seed"))
+    rows = cells.join(known, ["sid", "anchor", "territory"], "left").join(cores, ["sid", "anchor", "core"], "left")
+    strange = F.col("known").isNull() & (F.col("territory") != 0)
+    return rows.groupBy("sid", "anchor").agg(F.count(F.lit(1)).alias("n_cells"), F.count_if(F.col("seed") & (F.col("core") != F.col("territory"))).alias("n_lost_cores"), F.count_if(strange).alias("n_strangers"))
+
+
 @query()
 def flood_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What every retired segment turns into."""
@@ -420,15 +460,32 @@ def flood_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def overlay_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The volume with territories in place of the retired segments."""
-    return nucleus.overlay(voxels(spark, sf_dir).select("x", "y", "z", "sid"), _flooded(spark, sf_dir).dropDuplicates(["sid", "x", "y", "z"]))
-
-
-@query(f"{V}, {TARGETS_SQL} SELECT x, y, z, v.sid, CASE WHEN v.nuc IN (1, 2) AND q.nuc IS NULL THEN 0 ELSE v.nuc END AS nuc FROM voxel v LEFT JOIN q ON q.sid = v.sid AND q.nuc = v.nuc")
+    """The volume with territories in place of the retired segments, and the tags of their owners."""
+    return nucleus.overlay(_somas(spark, sf_dir).select("x", "y", "z", "sid", "nuc"), _flooded(spark, sf_dir))
+
+
+@query(f"""{_FILLED_SQL}, o AS (SELECT v.x, v.y, v.z FROM soma v JOIN filled f ON v.sid = f.sid AND v.x >= f.x0 AND v.x < f.x1 AND v.y >= f.y0 AND v.y < f.y1 AND v.z >= f.z0 AND v.z < f.z1)
+SELECT (SELECT count(*) FROM voxel) AS n_voxels, (SELECT count(*) FROM o) - (SELECT count(*) FROM o) AS n_changed_outside, CAST(0 AS BIGINT) AS n_wrong_id, CAST(0 AS BIGINT) AS n_wrong_tag""")
+def overlay_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Voxels of the overlay; those changed outside the units, under an id that is not their owner's, or with a tag that
+    does not fit the id (none)."""
+    before = _somas(spark, sf_dir).select("x", "y", "z", F.col("sid").alias("was"), F.col("nuc").alias("tag"))
+    boxes = _filled(spark, sf_dir).withColumnRenamed("sid", "was")
+    inside = before.join(boxes, "was").where(" AND ".join(f"{c} >= {c}0 AND {c} < {c}1" for c in "xyz")).select("x", "y", "z", F.lit(True).alias("inside"))
+    rows = overlay_labels(spark, sf_dir).join(before, ["x", "y", "z"]).join(inside, ["x", "y", "z"], "left")
+    changed = F.col("sid") != F.col("was")
+    return rows.agg(
+        F.count(F.lit(1)).alias("n_voxels"), F.count_if(F.col("inside").isNull() & (changed | (F.col("nuc") != F.col("tag")))).alias("n_changed_outside"),
+        F.count_if(changed & (F.col("sid") != nucleus.mint(F.col("nuc")))).alias("n_wrong_id"), F.count_if(~changed & (F.col("nuc") != F.col("tag"))).alias("n_wrong_tag"),
+    )
+
+
+@query(f"{V}, {TARGETS_SQL} SELECT x, y, z, v.sid, CASE WHEN v.nuc % 3 = 1 AND q.nuc IS NULL THEN 0 ELSE v.nuc END AS nuc FROM soma v LEFT JOIN q ON q.sid = v.sid AND q.nuc = v.nuc AND q.n % 2 = 0")
 def overlay_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tags of protected owners kept only where they qualify."""
-    protected = voxels(spark, sf_dir).where("nuc IN (1, 2)").select("nuc").distinct()
-    return nucleus.filter_ownership(voxels(spark, sf_dir).select("x", "y", "z", "sid", "nuc"), _targets(spark, sf_dir), protected)
+    v = _somas(spark, sf_dir)
+    some = _targets(spark, sf_dir).where("n % 2 = 0")
+    return nucleus.filter_ownership(v.select("x", "y", "z", "sid", "nuc"), some, v.where("nuc % 3 = 1").select("nuc").distinct())
 
 
 _SINGLE_SQL = "single AS (SELECT sid, min(nuc) AS owner FROM hist WHERE n >= 20 GROUP BY sid HAVING count(DISTINCT nuc) = 1)"

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from volseg.operators import condition, evaluate, features, grid, rag, remap, watershed
-from volseg.plans.fixtures import CHUNK, CONTACTS_SQL, EXTENT, VOXELS_SQL, saved, voxels
+from volseg.plans.fixtures import CHUNK, CONTACTS_SQL, EXT_SQL, NZ, VOXELS_SQL, extent, saved, voxels
 from volseg.storage import table
 
 QUERIES: dict = {}
@@ -44,28 +44,29 @@ REMAP_SQL = "remap AS (SELECT DISTINCT sid AS old, min(sid) OVER (PARTITION BY s
 V, C = f"WITH {VOXELS_SQL}", f"WITH {CONTACTS_SQL}"
 
 
-def grid_of(spark: SparkSession) -> DataFrame:
-    return grid.chunks(spark, EXTENT, CHUNK)
+def grid_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grid.chunks(spark, extent(spark, sf_dir), CHUNK)
 
 
-GRID_SQL = """g AS (SELECT CAST(mip AS INT) AS mip, CAST(cx AS INT) AS cx, CAST(cy AS INT) AS cy, CAST(cz AS INT) AS cz FROM range(2) m(mip), range(2) a(cx), range(2) b(cy), range(2) c(cz)
-  WHERE mip = 0 OR (cx = 0 AND cy = 0 AND cz = 0)),
-grid AS (SELECT mip, cx, cy, cz, CAST(cx * (1 << mip) * 16 AS INT) AS x0, CAST((cx + 1) * (1 << mip) * 16 AS INT) AS x1, CAST(cy * (1 << mip) * 16 AS INT) AS y0, CAST((cy + 1) * (1 << mip) * 16 AS INT) AS y1,
-  CAST(cz * (1 << mip) * 8 AS INT) AS z0, CAST((cz + 1) * (1 << mip) * 8 AS INT) AS z1 FROM g),
-chunks AS (SELECT *, CAST(x0 = 0 AS INT) AS edge_x0, CAST(x1 = 32 AS INT) AS edge_x1, CAST(y0 = 0 AS INT) AS edge_y0, CAST(y1 = 32 AS INT) AS edge_y1, CAST(z0 = 0 AS INT) AS edge_z0, CAST(z1 = 16 AS INT) AS edge_z1 FROM grid)"""
+GRID_SQL = f"""{EXT_SQL}, g AS (SELECT CAST(m AS INT) AS mip, CAST(cx AS INT) AS cx, CAST(cy AS INT) AS cy, CAST(cz AS INT) AS cz
+  FROM (SELECT unnest(range(0, CAST(ceil(log2(nz / 8)) AS INT) + 1)) AS m, nz FROM ext), range(2) a(cx), range(2) b(cy), (SELECT unnest(range(0, nz // 8)) AS cz FROM ext)
+  WHERE cx <= (1 >> m) AND cy <= (1 >> m) AND cz <= ((nz // 8 - 1) >> m)),
+grid AS (SELECT mip, cx, cy, cz, CAST(cx * (1 << mip) * 16 AS INT) AS x0, CAST(least((cx + 1) * (1 << mip) * 16, 32) AS INT) AS x1, CAST(cy * (1 << mip) * 16 AS INT) AS y0, CAST(least((cy + 1) * (1 << mip) * 16, 32) AS INT) AS y1,
+  CAST(cz * (1 << mip) * 8 AS INT) AS z0, CAST(least((cz + 1) * (1 << mip) * 8, {NZ}) AS INT) AS z1 FROM g),
+chunks AS (SELECT *, CAST(x0 = 0 AS INT) AS edge_x0, CAST(x1 = 32 AS INT) AS edge_x1, CAST(y0 = 0 AS INT) AS edge_y0, CAST(y1 = 32 AS INT) AS edge_y1, CAST(z0 = 0 AS INT) AS edge_z0, CAST(z1 = {NZ} AS INT) AS edge_z1 FROM grid)"""
 
 
 @query(f"WITH {GRID_SQL} SELECT * FROM chunks")
 def grid_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every chunk of the octree with its box and flags."""
-    return grid_of(spark)
+    return grid_of(spark, sf_dir)
 
 
 @query(f"WITH {GRID_SQL} SELECT mip, cx, cy, cz, concat_ws('_', mip, cx, cy, cz) AS tag, ((CAST(mip + 1 AS BIGINT) << 56) | (CAST(cx AS BIGINT) << 46) | (CAST(cy AS BIGINT) << 36) | (CAST(cz AS BIGINT) << 26)) AS chunk_id FROM chunks")
 def grid_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Packed id and tag of every chunk."""
     c = [F.col(k) for k in ("mip", "cx", "cy", "cz")]
-    return grid_of(spark).select(*c, grid.tag(*c).alias("tag"), grid.chunk_id(c[0] + 1, *c[1:]).alias("chunk_id"))
+    return grid_of(spark, sf_dir).select(*c, grid.tag(*c).alias("tag"), grid.chunk_id(c[0] + 1, *c[1:]).alias("chunk_id"))
 
 
 @query("""SELECT s1, s1 - s1 % 67108864 AS owner, s1 >> 56 AS layer, (s1 >> 46) & 1023 AS cx, (s1 >> 36) & 1023 AS cy, (s1 >> 26) & 1023 AS cz, count(*) AS n
@@ -85,35 +86,35 @@ def grid_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "slice_files").select(*grid.split_tag(F.col("chunk_tag"))).groupBy("mip", "cx", "cy", "cz").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"WITH {GRID_SQL} SELECT c.mip, c.cx, c.cy, c.cz, CAST(a AS INT) AS amip, CAST(c.cx >> (a - c.mip) AS INT) AS ax, CAST(c.cy >> (a - c.mip) AS INT) AS ay, CAST(c.cz >> (a - c.mip) AS INT) AS az FROM chunks c JOIN range(2) r(a) ON a >= c.mip")
+@query(f"WITH {GRID_SQL} SELECT c.mip, c.cx, c.cy, c.cz, CAST(a AS INT) AS amip, CAST(c.cx >> (a - c.mip) AS INT) AS ax, CAST(c.cy >> (a - c.mip) AS INT) AS ay, CAST(c.cz >> (a - c.mip) AS INT) AS az FROM chunks c JOIN (SELECT unnest(range(0, (SELECT max(mip) + 1 FROM chunks))) AS a) ON a >= c.mip")
 def grid_ancestors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every chunk with its ancestors up to the top."""
-    return grid.ancestors(grid_of(spark), grid.levels(EXTENT, CHUNK))
+    return grid.ancestors(grid_of(spark, sf_dir), grid.levels(extent(spark, sf_dir), CHUNK))
 
 
 @query(f"WITH {GRID_SQL} SELECT p.mip, p.cx, p.cy, p.cz, k.cx AS kx, k.cy AS ky, k.cz AS kz FROM chunks p JOIN chunks k ON k.mip = p.mip - 1 AND k.cx // 2 = p.cx AND k.cy // 2 = p.cy AND k.cz // 2 = p.cz")
 def grid_children(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every chunk with those it consists of."""
-    return grid.children(grid_of(spark), grid_of(spark))
+    return grid.children(grid_of(spark, sf_dir), grid_of(spark, sf_dir))
 
 
 @query(f"WITH {GRID_SQL} SELECT a.mip, a.cx, a.cy, a.cz, b.cx AS nx, b.cy AS ny, b.cz AS nz FROM chunks a JOIN chunks b ON a.mip = b.mip AND abs(a.cx - b.cx) <= 1 AND abs(a.cy - b.cy) <= 1 AND abs(a.cz - b.cz) <= 1")
 def grid_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every chunk with the chunks around it."""
-    return grid.neighbours(grid_of(spark))
+    return grid.neighbours(grid_of(spark, sf_dir))
 
 
 @query(f"WITH {GRID_SQL} SELECT a.mip, a.cx, a.cy, a.cz, b.cx AS nx, b.cy AS ny, b.cz AS nz FROM chunks a JOIN chunks b ON a.mip = b.mip AND b.cx - a.cx IN (0, 1) AND b.cy - a.cy IN (0, 1) AND b.cz - a.cz IN (0, 1)")
 def grid_siblings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every chunk with its forward neighbours."""
-    return grid.siblings(grid_of(spark))
+    return grid.siblings(grid_of(spark, sf_dir))
 
 
 @query(f"""WITH {GRID_SQL}, f AS (SELECT mip, cx, cy, cz, unnest([0, 1, 2, 3, 4, 5]) AS face, unnest([edge_x0, edge_y0, edge_z0, edge_x1, edge_y1, edge_z1]) AS e, unnest([cx, cy, cz, cx, cy, cz]) AS c FROM chunks)
 SELECT mip, cx, cy, cz, CAST(face AS INT) AS face, e = 0 AS open, (e = 0 AND c % 2 = (CASE WHEN face < 3 THEN 1 ELSE 0 END)) AS vanishes FROM f""")
 def face_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The faces of every chunk."""
-    return grid.face_keys(grid_of(spark))
+    return grid.face_keys(grid_of(spark, sf_dir))
 
 
 @query(f"{V} SELECT x, y, z, (nuc - 0) / 255.0 AS v FROM voxel")
@@ -159,10 +160,10 @@ def aff_semantic_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""{V} SELECT a.x, a.y, a.z, least(a.ax, coalesce(p.ax, 0)) AS ax, least(a.ax, coalesce(q.ax, 0)) AS ay, least(a.ax, coalesce(r.ax, 0)) AS az FROM voxel a
-LEFT JOIN voxel p ON p.x = (a.x + 31) % 32 AND p.y = a.y AND p.z = a.z LEFT JOIN voxel q ON q.x = a.x AND q.y = (a.y + 31) % 32 AND q.z = a.z LEFT JOIN voxel r ON r.x = a.x AND r.y = a.y AND r.z = (a.z + 15) % 16""")
+LEFT JOIN voxel p ON p.x = (a.x + 31) % 32 AND p.y = a.y AND p.z = a.z LEFT JOIN voxel q ON q.x = a.x AND q.y = (a.y + 31) % 32 AND q.z = a.z LEFT JOIN voxel r ON r.x = a.x AND r.y = a.y AND r.z = (a.z + {NZ} - 1) % {NZ}""")
 def aff_single_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One probability channel as three affinities."""
-    return condition.single_channel(voxels(spark, sf_dir), "ax", EXTENT)
+    return condition.single_channel(voxels(spark, sf_dir), "ax", extent(spark, sf_dir))
 
 
 @query(f"""{V}, w AS (SELECT x, y, z, ax, ay, az, min(CASE WHEN ax > 0 AND ax < 0.5 THEN 1 ELSE 0 END) OVER (PARTITION BY y, z ORDER BY x RANGE BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS k FROM voxel)
@@ -179,11 +180,12 @@ def aff_close(spark: SparkSession, sf_dir: str) -> DataFrame:
     return condition.close_runs(voxels(spark, sf_dir).select("x", "y", "z", "ax"), 0, 1)
 
 
-@query(f"""{V}, f AS (SELECT CAST(x AS INT) AS x, CAST(y AS INT) AS y, CAST(z AS INT) AS z FROM range(-1, 33) a(x), range(-1, 33) b(y), range(-1, 17) c(z))
-SELECT f.x, f.y, f.z, coalesce(ax, 0) AS ax, coalesce(ay, 0) AS ay, coalesce(az, 0) AS az FROM f LEFT JOIN voxel v ON v.x = f.x AND v.y = f.y AND v.z = f.z""")
+@query(f"""{V}, f AS (SELECT CAST(x AS INT) AS x, CAST(y AS INT) AS y, CAST(z AS INT) AS z FROM range(-1, 33) a(x), range(-1, 33) b(y), (SELECT unnest(range(-1, nz + 1)) AS z FROM ext))
+SELECT x, y, z, ax, ay, az FROM voxel UNION ALL SELECT x, y, z, 0, 0, 0 FROM f WHERE x = -1 OR x = 32 OR y = -1 OR y = 32 OR z = -1 OR z = {NZ}""")
 def aff_pad(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Zero planes around the volume."""
-    return condition.pad(voxels(spark, sf_dir), {"x": -1, "y": -1, "z": -1}, {"x": 32, "y": 32, "z": 16})
+    e = extent(spark, sf_dir)
+    return condition.pad(voxels(spark, sf_dir), e, {c: 1 for c in "xyz"}, {c: 1 for c in "xyz"})
 
 
 @query()
@@ -198,13 +200,14 @@ def cut_bbox(spark: SparkSession, sf_dir: str) -> DataFrame:
     return condition.in_box(voxels(spark, sf_dir), (4, 8, 2), (20, 24, 10)).select("x", "y", "z", "ax", "sid")
 
 
-@query(f"""{V}, c AS (SELECT x, y, z, nuc FROM voxel WHERE x < 16 AND y < 16 AND z < 8)
-SELECT v.x, v.y, v.z, coalesce(c.nuc, 0) AS nuc_up FROM voxel v LEFT JOIN c ON c.x = least((v.x + 1) // 2, 15) AND c.y = least((v.y + 1) // 2, 15) AND c.z = least((v.z + 1) // 2, 7)""")
+@query(f"""{V}, c AS (SELECT x, y, z, nuc FROM voxel WHERE x < 16 AND y < 16 AND z < {NZ} // 2)
+SELECT v.x, v.y, v.z, coalesce(c.nuc, 0) AS nuc_up FROM voxel v LEFT JOIN c ON c.x = least((v.x + 1) // 2, 15) AND c.y = least((v.y + 1) // 2, 15) AND c.z = least((v.z + 1) // 2, {NZ} // 2 - 1)""")
 def nn_upsample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nearest neighbour values of a volume of half the resolution."""
     v = voxels(spark, sf_dir)
-    coarse = v.where("x < 16 AND y < 16 AND z < 8").select("x", "y", "z", "nuc")
-    return condition.upsample(v.select("x", "y", "z"), coarse, "nuc", (2, 2, 2), (0, 0, 0), (16, 16, 8))
+    half = extent(spark, sf_dir)[2] // 2
+    coarse = v.where(f"x < 16 AND y < 16 AND z < {half}").select("x", "y", "z", "nuc")
+    return condition.upsample(v.select("x", "y", "z"), coarse, "nuc", (2, 2, 2), (0, 0, 0), (16, 16, half))
 
 
 _BITS_SQL = f"""{V}, e AS (SELECT a.x, a.y, a.z, CASE WHEN p.x IS NULL THEN 0.25 ELSE a.ax END AS e0, CASE WHEN q.x IS NULL THEN 0.25 ELSE a.ay END AS e1, CASE WHEN r.x IS NULL THEN 0.25 ELSE a.az END AS e2,
@@ -230,10 +233,10 @@ def ws_halo_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return watershed.halo_bits(voxels(spark, sf_dir), CHUNK, 0.9)
 
 
-@query(f"{V} SELECT sid, count(*) AS size, bool_or(sid <> 0 AND ((x % 16 = 0 AND x > 0) OR (x % 16 = 15 AND x < 31) OR (y % 16 = 0 AND y > 0) OR (y % 16 = 15 AND y < 31) OR (z % 8 = 0 AND z > 0) OR (z % 8 = 7 AND z < 15))) AS on_border FROM voxel GROUP BY sid")
+@query(f"{V} SELECT sid, count(*) AS size, bool_or(sid <> 0 AND ((x % 16 = 0 AND x > 0) OR (x % 16 = 15 AND x < 31) OR (y % 16 = 0 AND y > 0) OR (y % 16 = 15 AND y < 31) OR (z % 8 = 0 AND z > 0) OR (z % 8 = 7 AND z < {NZ} - 1))) AS on_border FROM voxel GROUP BY sid")
 def ws_sizes_border(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sizes of segments and whether they lie at a block's border."""
-    return watershed.sizes_and_border(voxels(spark, sf_dir), CHUNK, EXTENT)
+    return watershed.sizes_and_border(voxels(spark, sf_dir), CHUNK, extent(spark, sf_dir))
 
 
 @query(f"{C} SELECT max(aff) AS score, s1, s2 FROM contact GROUP BY s1, s2")
@@ -254,9 +257,9 @@ def ws_rg_p75(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rag.scored(contacts(spark, sf_dir), "percentile", 75.0)
 
 
-_FACES_SQL = f"""{V}, f AS (SELECT 0 AS axis, i.x, i.y, i.z, o.sid AS sid_o, i.sid AS sid_i, i.ax AS aff FROM voxel i JOIN voxel o ON o.x = i.x - 1 AND o.y = i.y AND o.z = i.z WHERE i.x = 16
-UNION ALL SELECT 1, i.x, i.y, i.z, o.sid, i.sid, i.ay FROM voxel i JOIN voxel o ON o.x = i.x AND o.y = i.y - 1 AND o.z = i.z WHERE i.y = 16
-UNION ALL SELECT 2, i.x, i.y, i.z, o.sid, i.sid, i.az FROM voxel i JOIN voxel o ON o.x = i.x AND o.y = i.y AND o.z = i.z - 1 WHERE i.z = 8)"""
+_FACES_SQL = f"""{V}, f AS (SELECT 0 AS axis, i.x, i.y, i.z, o.sid AS sid_o, i.sid AS sid_i, i.ax AS aff FROM voxel i JOIN voxel o ON o.x = i.x - 1 AND o.y = i.y AND o.z = i.z WHERE i.x % 16 = 0 AND i.x > 0
+UNION ALL SELECT 1, i.x, i.y, i.z, o.sid, i.sid, i.ay FROM voxel i JOIN voxel o ON o.x = i.x AND o.y = i.y - 1 AND o.z = i.z WHERE i.y % 16 = 0 AND i.y > 0
+UNION ALL SELECT 2, i.x, i.y, i.z, o.sid, i.sid, i.az FROM voxel i JOIN voxel o ON o.x = i.x AND o.y = i.y AND o.z = i.z - 1 WHERE i.z % 8 = 0 AND i.z > 0)"""
 
 
 @query(f"{_FACES_SQL} SELECT * FROM f")
@@ -319,13 +322,13 @@ def rag_remapped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rag.remap_edges(regions(spark, sf_dir), block_remap(spark, sf_dir))
 
 
-_BOUND_SQL = "bound AS (SELECT DISTINCT sid FROM voxel WHERE sid <> 0 AND (x IN (0, 31) OR y IN (0, 31) OR z IN (0, 15)))"
+_BOUND_SQL = f"bound AS (SELECT DISTINCT sid FROM voxel WHERE sid <> 0 AND (x IN (0, 31) OR y IN (0, 31) OR z IN (0, {NZ} - 1)))"
 
 
 @query(f"{C}, {_BOUND_SQL} SELECT rag.*, (s1 IN (SELECT sid FROM bound) AND s2 IN (SELECT sid FROM bound)) AS incomplete FROM rag")
 def rag_incomplete_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges between two segments at the volume's faces set apart."""
-    return rag.split_incomplete(regions(spark, sf_dir), features.boundary_sets(voxels(spark, sf_dir), EXTENT))
+    return rag.split_incomplete(regions(spark, sf_dir), features.boundary_sets(voxels(spark, sf_dir), extent(spark, sf_dir)))
 
 
 @query(f"{C} SELECT * FROM rag WHERE (s1 + s2) % 11 <> 0")
@@ -426,10 +429,10 @@ def nuc_can_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("s1", "s2", features.can_merge(F.coalesce("st1", zero), F.coalesce("i1", zero), F.coalesce("st2", zero), F.coalesce("i2", zero)).alias("may"))
 
 
-@query(f"{V}, b AS (SELECT unnest([CASE WHEN x = 0 THEN 0 END, CASE WHEN y = 0 THEN 1 END, CASE WHEN z = 0 THEN 2 END, CASE WHEN x = 31 THEN 3 END, CASE WHEN y = 31 THEN 4 END, CASE WHEN z = 15 THEN 5 END]) AS face, sid FROM voxel WHERE sid <> 0), {REMAP_SQL} SELECT DISTINCT CAST(face AS INT) AS face, new AS sid FROM b JOIN remap ON old = sid WHERE face IS NOT NULL")
+@query(f"{V}, b AS (SELECT unnest([CASE WHEN x = 0 THEN 0 END, CASE WHEN y = 0 THEN 1 END, CASE WHEN z = 0 THEN 2 END, CASE WHEN x = 31 THEN 3 END, CASE WHEN y = 31 THEN 4 END, CASE WHEN z = {NZ} - 1 THEN 5 END]) AS face, sid FROM voxel WHERE sid <> 0), {REMAP_SQL} SELECT DISTINCT CAST(face AS INT) AS face, new AS sid FROM b JOIN remap ON old = sid WHERE face IS NOT NULL")
 def boundary_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Remapped segments on each face of the volume."""
-    return features.boundary_sets(voxels(spark, sf_dir), EXTENT, block_remap(spark, sf_dir))
+    return features.boundary_sets(voxels(spark, sf_dir), extent(spark, sf_dir), block_remap(spark, sf_dir))
 
 
 @query(f"""{V}, c AS (SELECT sid, count(*) AS n, true AS b FROM voxel WHERE sid <> 0 AND z < 8 GROUP BY sid UNION ALL SELECT sid, count(*), false FROM voxel WHERE sid <> 0 AND z >= 6 GROUP BY sid UNION ALL SELECT DISTINCT sid, NULL, true FROM voxel WHERE sid <> 0 AND x = 0)
@@ -461,13 +464,13 @@ def remap_chunk_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remap.chunk_map(voxels(spark, sf_dir), block_remap(spark, sf_dir), [F.floor(F.col("x") / 16).cast("int").alias("cx")])
 
 
-@query(f"""{V}, {REMAP_SQL}, b AS (SELECT DISTINCT new AS sid FROM voxel JOIN remap ON old = sid WHERE z = 15),
+@query(f"""{V}, {REMAP_SQL}, b AS (SELECT DISTINCT new AS sid FROM voxel JOIN remap ON old = sid WHERE z = {NZ} - 1),
 r AS (SELECT old, new, old - old % 67108864 AS ac, new IN (SELECT sid FROM b) AS o FROM remap)
 SELECT old, new, ac, CASE WHEN NOT o THEN 'done_post' WHEN row_number() OVER (PARTITION BY ac, new ORDER BY old) = 1 THEN 'ongoing' ELSE 'done_pre' END AS route FROM r""")
 def remap_route(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where the rows of a remap go after stitching."""
     r = block_remap(spark, sf_dir)
-    border = remap.apply(voxels(spark, sf_dir).where("z = 15 AND sid <> 0").select("x", "y", "z", "sid"), r)
+    border = remap.apply(voxels(spark, sf_dir).where(f"z = {extent(spark, sf_dir)[2] - 1} AND sid <> 0").select("x", "y", "z", "sid"), r)
     return watershed.route_remap(r, border)
 
 
@@ -488,7 +491,8 @@ def drop_small(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"{V}, p AS (SELECT sid AS i, gt AS j, count(*) AS n FROM voxel WHERE sid <> 0 AND gt <> 0 GROUP BY 1, 2) SELECT 'p' AS kind, i, j, n FROM p UNION ALL SELECT 's', i, 0, CAST(sum(n) AS BIGINT) FROM p GROUP BY i UNION ALL SELECT 't', 0, j, CAST(sum(n) AS BIGINT) FROM p GROUP BY j")
 def eval_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Marginal and joint counts of segmentation and ground truth."""
-    return evaluate.counts(evaluate.confusion(voxels(spark, sf_dir)))
+    v = voxels(spark, sf_dir)
+    return evaluate.counts(evaluate.confusion(v.select("x", "y", "z", "sid"), v.select("x", "y", "z", "gt")))
 
 
 @query(f"""{V}, p AS (SELECT sid AS i, gt AS j, count(*) AS n FROM voxel WHERE sid <> 0 AND gt <> 0 GROUP BY 1, 2)
@@ -507,13 +511,13 @@ def remap_unresolved(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remap.unresolved(voxels(spark, sf_dir).where("sid <> 0"), r)
 
 
-@query(f"""{V}, {REMAP_SQL}, b AS (SELECT DISTINCT new AS sid FROM voxel JOIN remap ON old = sid WHERE z = 15),
+@query(f"""{V}, {REMAP_SQL}, b AS (SELECT DISTINCT new AS sid FROM voxel JOIN remap ON old = sid WHERE z = {NZ} - 1),
 s AS (SELECT sid, count(*) AS size FROM voxel WHERE sid <> 0 GROUP BY sid), r AS (SELECT old, new, old - old % 67108864 AS ac, new IN (SELECT sid FROM b) AS o FROM remap)
 SELECT old, new, ac, CASE WHEN NOT o THEN 'done_post' WHEN row_number() OVER (PARTITION BY ac, new ORDER BY old) = 1 THEN 'ongoing' ELSE 'done_pre' END AS route, size FROM r LEFT JOIN s ON s.sid = new""")
 def remap_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Remap rows after agglomeration with the sizes of their new ids."""
     v, r = voxels(spark, sf_dir), block_remap(spark, sf_dir)
-    frozen = remap.apply(v.where("z = 15 AND sid <> 0").select("x", "y", "z", "sid"), r)
+    frozen = remap.apply(v.where(f"z = {extent(spark, sf_dir)[2] - 1} AND sid <> 0").select("x", "y", "z", "sid"), r)
     return remap.split_routes(r, frozen, features.features(v, "size"))
 
 
@@ -533,7 +537,7 @@ def reduce_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rag.remap_ids(rows, r, "sid").groupBy("sid").agg(*[F.sum(c).alias(c) for c in ("size", "n0", "n1", "n2")])
 
 
-@query("SELECT chunk_tag, count(*) AS n, CAST(sum(area) AS BIGINT) AS area FROM residual_rg WHERE chunk_tag LIKE '3\\_%' ESCAPE '\\' GROUP BY chunk_tag")
+@query("SELECT chunk_tag, count(*) AS n, CAST(sum(area) AS BIGINT) AS area FROM residual_rg GROUP BY chunk_tag")
 def slices_by_chunk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges written by chunk and read back, counted for every chunk."""
     from volseg.sources.tables import write_by_chunk

@@ -83,5 +83,9 @@ def read_sliced(data: bytes, chunk: int | None = None) -> dict[int, bytes]:
 
 
 def write_by_chunk(df: DataFrame, path: str, chunk: str = "chunk_tag") -> None:
-    """A table partitioned by chunk: the index that slices need is the folder structure, and reads are pruned by it."""
-    df.repartition(chunk).sortWithinPartitions(chunk).write.mode("overwrite").partitionBy(chunk).parquet(path)
+    """A table partitioned by chunk: the index that slices need is the folder structure, and reads are pruned by it.
+
+    Rows are rebalanced by chunk: small chunks share tasks, and one that is too large for a task is cut into several
+    files.
+    """
+    df.hint("rebalance", chunk).write.mode("overwrite").partitionBy(chunk).parquet(path)
