@@ -202,15 +202,14 @@ tops AS (SELECT id FROM ids WHERE id NOT IN (SELECT id FROM p)),
 down AS (SELECT id, id AS root, CAST(0 AS BIGINT) AS n, [id] AS path FROM tops UNION ALL SELECT p.id, d.root, d.n + 1, list_append(d.path, p.id) FROM down d JOIN p ON p.up = d.id)"""
 
 #: The walk from each looped node is followed until it returns; loops in the tables are short.
-P5_FOUND_SQL = f"""
-WITH RECURSIVE {_P5_UP},
-bad AS (SELECT p.id, p.up FROM p WHERE p.id NOT IN (SELECT id FROM down)),
+_P5_LOOPS = """bad AS (SELECT p.id, p.up FROM p WHERE p.id NOT IN (SELECT id FROM down)),
 walk AS (SELECT id AS src, id AS pos FROM bad UNION SELECT w.src, b.up FROM walk w JOIN bad b ON b.id = w.pos),
 back AS (SELECT b.id AS src, b.up AS pos FROM bad b UNION SELECT w.src, b.up FROM back w JOIN bad b ON b.id = w.pos),
 ring AS (SELECT src AS id FROM back WHERE src = pos),
-low AS (SELECT r.id, min(w.pos) AS low FROM ring r JOIN walk w ON w.src = r.id GROUP BY 1)
-SELECT id AS seg_id, root AS root_id, n AS n_links FROM down
-UNION ALL SELECT src, min(low), CAST(-1 AS BIGINT) FROM walk JOIN low ON low.id = walk.pos GROUP BY src"""
+low AS (SELECT r.id, min(w.pos) AS low FROM ring r JOIN walk w ON w.src = r.id GROUP BY 1),
+lost AS (SELECT src AS seg_id, min(low) AS root_id, CAST(-1 AS BIGINT) AS n_links FROM walk JOIN low ON low.id = walk.pos GROUP BY src)"""
+P5_FOUND_SQL = f"""
+WITH RECURSIVE {_P5_UP}, {_P5_LOOPS} SELECT id AS seg_id, root AS root_id, n AS n_links FROM down UNION ALL SELECT * FROM lost"""
 
 
 def p5_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -220,7 +219,8 @@ def p5_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 P5_PATHS_SQL = f"""
-WITH RECURSIVE {_P5_UP} SELECT id AS seg_id, root AS root_id, n AS n_links, array_to_string(path, '/') AS path FROM down"""
+WITH RECURSIVE {_P5_UP}, {_P5_LOOPS} SELECT id AS seg_id, root AS root_id, n AS n_links, array_to_string(path, '/') AS path FROM down
+UNION ALL SELECT *, NULL FROM lost"""
 
 
 def p5_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -232,8 +232,11 @@ def p5_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 P5_DESCENDANTS_SQL = f"""
 WITH RECURSIVE {_P5_UP},
-pairs AS (SELECT id AS seg_id, n, unnest(path) AS ancestor, unnest(range(len(path))) AS pos FROM down)
-SELECT ancestor, seg_id, CAST(n - pos AS BIGINT) AS distance FROM pairs WHERE pos < n"""
+pairs AS (SELECT id AS seg_id, n, unnest(path) AS ancestor, unnest(range(len(path))) AS pos FROM down),
+bad AS (SELECT p.id, p.up FROM p WHERE p.id NOT IN (SELECT id FROM down)),
+climb AS (SELECT id AS src, up AS pos, CAST(1 AS BIGINT) AS far, [id] AS seen FROM bad
+          UNION ALL SELECT c.src, b.up, c.far + 1, list_append(c.seen, c.pos) FROM climb c JOIN bad b ON b.id = c.pos WHERE NOT list_contains(c.seen, b.up))
+SELECT ancestor, seg_id, CAST(n - pos AS BIGINT) AS distance FROM pairs WHERE pos < n UNION ALL SELECT pos, src, far FROM climb"""
 
 QUERIES = {f.__name__: f for f in (p2_found, p2_key_totals, p2_key_quantiles, p3_found, p3_compacted, p3_records, p3_listing, p5_found, p5_paths, p5_descendants)}
 SQL = {
