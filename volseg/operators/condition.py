@@ -112,10 +112,16 @@ def close_runs(df: DataFrame, axis: int, radius: int) -> DataFrame:
 
 
 def noise(df: DataFrame, sigma: float, seed: int) -> DataFrame:
-    """Gaussian noise on affinities other than 0, the same for a voxel whatever the partitioning; clipped to 0..1."""
+    """Gaussian noise on affinities other than 0, the same for a voxel whatever the partitioning; clipped to 0..1.
+
+    Two uniform numbers come from the first 52 bits of the MD5 of ``seed:channel:number:x:y:z``.
+    """
+    def uniform(i: int, j: int) -> Column:
+        digest = F.md5(F.concat_ws(":", F.lit(f"{seed}:{i}:{j}"), *[F.col(c).cast("string") for c in KEY]))
+        return (F.conv(F.substring(digest, 1, 13), 16, 10).cast("bigint").cast("double") + 0.5) / float(1 << 52)
+
     def gauss(i: int) -> Column:
-        u = [(F.pmod(F.xxhash64(F.lit(seed), F.lit(i), F.lit(j), *KEY), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52) for j in (0, 1)]
-        return F.sqrt(-2 * F.ln(u[0])) * F.cos(2 * F.pi() * u[1])
+        return F.sqrt(-2 * F.ln(uniform(i, 0))) * F.cos(2 * F.pi() * uniform(i, 1))
 
     out = {a: F.when(F.col(a) != 0, clip(F.col(a) + sigma * gauss(i))).otherwise(0.0) for i, a in enumerate(AFFINITIES)}
     return df.select(*[out[c].alias(c) if c in out else F.col(c) for c in df.columns])

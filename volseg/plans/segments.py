@@ -7,9 +7,10 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from volseg.config import Agglomeration
+from volseg.config import Agglomeration, Watershed
 from volseg.operators import agglomeration, contact_surface, graph, nucleus, rag, remap, watershed
 from volseg.plans.fixtures import CHUNK, NZ, extent, saved, voxels
+from volseg.plans.volume import _BITS_SQL as BITS_SQL
 from volseg.plans.volume import C, V, contacts, grid_of, nuclei, regions
 from volseg.storage import Scratch, table
 
@@ -110,21 +111,47 @@ def agglomerate_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whole.agg(*[F.sum(c).alias(c) for c in ("apart", "above", "area", "sum_aff")])
 
 
+def _frozen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return voxels(spark, sf_dir).where("x = 0 AND sid <> 0").select("sid").distinct()
+
+
+def _frozen_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def make() -> DataFrame:
+        e = regions(spark, sf_dir)
+        nodes = agglomeration.nodes_of(e, nuclei=nuclei(spark, sf_dir), frozen=_frozen(spark, sf_dir))
+        return agglomeration.agglomerate(e, nodes, PARAMETERS, Scratch(spark, "aggf"), most=500)
+
+    return saved(spark, sf_dir, "frozen-events", make)
+
+
 @query()
 def agglomerate_frozen(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Agglomeration with nuclei and with the segments at the volume's low x face frozen: all events."""
-    e = regions(spark, sf_dir)
-    frozen = voxels(spark, sf_dir).where("x = 0 AND sid <> 0").select("sid").distinct()
-    nodes = agglomeration.nodes_of(e, nuclei=nuclei(spark, sf_dir), frozen=frozen)
-    return agglomeration.agglomerate(e, nodes, PARAMETERS, Scratch(spark, "aggf"))
+    return _frozen_events(spark, sf_dir)
+
+
+@query(f"{C} SELECT CAST(sum(area) AS BIGINT) AS area, sum(sum_aff) AS sum_aff, CAST(0 AS BIGINT) AS n_mixed, CAST(0 AS BIGINT) AS n_thawed FROM rag")
+def agglomerate_vetoes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contact area and affinity inside merged segments and of all edges set aside, together; merged segments of several
+    nuclei or of a conflict and a nucleus (none); frozen segments that were merged (none)."""
+    events, edges = _frozen_events(spark, sf_dir), regions(spark, sf_dir)
+    scratch = Scratch(spark, "veto")
+    new = scratch.save(agglomeration.resolved(events, scratch))
+    inner = rag.remap_ids(edges, new, "s1", "s2").where("s1 = s2").select("sum_aff", "area")
+    aside = events.where("kind NOT IN ('remap', 'twig')").select("sum_aff", "area")
+    whole = inner.unionByName(aside).agg(F.sum("area").alias("area"), F.sum("sum_aff").alias("sum_aff"))
+    tags = rag.remap_ids(nuclei(spark, sf_dir).where("state <> 0").select("sid", "state", "id", F.lit(1).alias("one")), new, "sid")
+    mixed = tags.groupBy("sid").agg(F.count_distinct(F.when(F.col("state") == 1, F.col("id"))).alias("k"), F.count_if(F.col("state") == 2).alias("c")).where("k > 1 OR c > 1 OR (k > 0 AND c > 0)")
+    thawed = new.join(_frozen(spark, sf_dir), F.col("old") == F.col("sid"), "left_semi")
+    return whole.join(mixed.agg(F.count(F.lit(1)).alias("n_mixed"))).join(thawed.agg(F.count(F.lit(1)).alias("n_thawed")))
 
 
 def _staged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same agglomeration in stages that no component of more than fifty edges gets through in one piece."""
+    """The same agglomeration in stages that no component of more than 400 edges gets through in one piece."""
 
     def make() -> DataFrame:
         e = regions(spark, sf_dir)
-        return agglomeration.agglomerate(e, agglomeration.nodes_of(e), PARAMETERS, Scratch(spark, "aggs"), most=50)
+        return agglomeration.agglomerate(e, agglomeration.nodes_of(e), PARAMETERS, Scratch(spark, "aggs"), by_degree=False, most=400)
 
     return saved(spark, sf_dir, "staged", make)
 
@@ -135,6 +162,16 @@ def agglomerate_staged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return agglomeration.resolved(_staged(spark, sf_dir), Scratch(spark, "aggs"))
 
 
+@query("SELECT CAST(0 AS BIGINT) AS n_apart, CAST(0 AS BIGINT) AS n_unknown")
+def agglomerate_staged_same(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments that one run and the run in stages put into different groups, or that only one of them merges (none)."""
+    e, scratch = regions(spark, sf_dir), Scratch(spark, "same")
+    alone = scratch.save(agglomeration.resolved(agglomeration.agglomerate(e, agglomeration.nodes_of(e), PARAMETERS, scratch, by_degree=False), scratch))
+    staged = scratch.save(agglomeration.resolved(_staged(spark, sf_dir), scratch))
+    both = alone.join(staged.withColumnRenamed("new", "staged"), "old", "full")
+    return both.agg(F.count_if(F.col("new") != F.col("staged")).alias("n_apart"), F.count_if(F.col("new").isNull() | F.col("staged").isNull()).alias("n_unknown"))
+
+
 @query()
 def segment_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sizes of merged segments, done or ongoing by the volume's high z face."""
@@ -158,24 +195,63 @@ def spanning_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.spanning_forest(scored, Scratch(spark, "forest"))
 
 
+@query(f"""{C}, e AS (SELECT s1, s2, sum_aff / area AS score FROM rag), b AS (SELECT s1 AS sid, s1, s2, score FROM e UNION ALL SELECT s2, s1, s2, score FROM e)
+SELECT sid, s1, s2, score FROM (SELECT *, row_number() OVER (PARTITION BY sid ORDER BY score DESC, s1, s2) AS rn FROM b) WHERE rn = 1""")
+def forest_best(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best edge of every segment in the maximum spanning forest; it is its best edge of all."""
+    kept = spanning_forest(spark, sf_dir).withColumn("key", F.struct("score", F.bitwise_not("s1"), F.bitwise_not("s2")))
+    ends = kept.select(F.explode(F.array("s1", "s2")).alias("sid"), "s1", "s2", "score", "key")
+    return ends.groupBy("sid").agg(F.max_by(F.struct("s1", "s2", "score"), "key").alias("e")).select("sid", "e.s1", "e.s2", "e.score")
+
+
 def _basins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return saved(spark, sf_dir, "basins", lambda: watershed.basins(voxels(spark, sf_dir), CHUNK, 0.25, 0.97))
 
 
-@query(f"{V} SELECT x, y, z FROM voxel")
+@query(f"SELECT count(*) AS n_voxels, count(*) FILTER (WHERE bits = 0) AS n_background, CAST(0 AS BIGINT) AS n_adrift FROM ({BITS_SQL.replace('0.9 ', '0.97 ')})")
 def ws_basins_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every voxel is labelled exactly once."""
-    return _basins(spark, sf_dir).select("x", "y", "z")
+    """Voxels and those without a basin; voxels in another basin than all the voxels that they drain to (none)."""
+    b = saved(spark, sf_dir, "basin-bits", lambda: _basins(spark, sf_dir).select("x", "y", "z", "sid", "bits"))
+    steps = F.array(*[F.struct(F.lit(k % 3).alias("axis"), F.lit(-1 if k < 3 else 1).alias("by"), F.lit(1 << k).alias("bit")) for k in range(6)])
+    looks = b.where("sid <> 0").select("x", "y", "z", "sid", "bits", F.explode(steps).alias("s")).where("bits & s.bit <> 0")
+    to = [(F.col(c) + F.when(F.col("s.axis") == i, F.col("s.by")).otherwise(0)).alias(f"n{c}") for i, c in enumerate("xyz")]
+    out_of_block = F.lit(False)
+    for c, n in zip("xyz", CHUNK):
+        out_of_block = out_of_block | (F.floor(F.col(c) / n) != F.floor(F.col(f"n{c}") / n))
+    met = looks.select("x", "y", "z", "sid", *to).join(b.select(*[F.col(c).alias(f"n{c}") for c in "xyz"], F.col("sid").alias("other")), ["nx", "ny", "nz"])
+    fine = met.groupBy("x", "y", "z").agg(F.max((F.col("sid") == F.col("other")) | out_of_block).alias("fine"))
+    return b.agg(F.count(F.lit(1)).alias("n_voxels"), F.count_if(F.col("sid") == 0).alias("n_background")).join(fine.agg(F.count_if(~F.col("fine")).alias("n_adrift")))
+
+
+@query(f"{V} SELECT count(*) AS n_voxels, CAST(0 AS BIGINT) AS n_cut, CAST(0 AS BIGINT) AS n_joined FROM voxel")
+def ws_stitched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Basins of all blocks stitched, against those of the volume as one block: basins that stitching leaves cut, and
+    groups that it makes of several (none). Affinities are told apart by place, since equal ones leave a choice."""
+    e = extent(spark, sf_dir)
+    scratch = Scratch(spark, "stitched")
+    place = (F.col("x") * e[1] + F.col("y")) * e[2] + F.col("z")
+    aff = [((F.col(a) * 256 + (place * 3 + i) / float(3 * e[0] * e[1] * e[2])) / 257).alias(a) for i, a in enumerate(("ax", "ay", "az"))]
+    v = scratch.save(voxels(spark, sf_dir).select("x", "y", "z", *aff))
+    p = replace(Watershed(), high=0.97, low=0.25, size=0, dust=0)
+    labels = scratch.save(v.join(watershed.basins(v, CHUNK, p.low, p.high), ["x", "y", "z"]))
+    parts = rag.scored(rag.contacts(watershed.inside(labels, CHUNK), chunk=CHUNK), "max")
+    level = watershed.stitch(watershed.face_planes(labels, CHUNK, "bits"), parts, watershed.sizes_and_border(labels, e, e), p, scratch)
+    whole = watershed.basins(v, e, p.low, p.high).select("x", "y", "z", F.col("sid").alias("one"))
+    pairs = rag.remap_ids(labels.select("x", "y", "z", "sid"), level.remap, "sid").join(whole, ["x", "y", "z"])
+    met = scratch.save(pairs.groupBy("sid", "one").agg(F.count(F.lit(1)).alias("n")))
+    cut = met.groupBy("one").agg(F.count(F.lit(1)).alias("k")).agg(F.count_if(F.col("k") > 1).alias("n_cut"))
+    joined = met.groupBy("sid").agg(F.count(F.lit(1)).alias("k")).agg(F.count_if(F.col("k") > 1).alias("n_joined"))
+    return met.agg(F.sum("n").alias("n_voxels")).join(cut).join(joined)
 
 
 @query()
 def ws_basins(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Watershed basins of every block."""
-    return _basins(spark, sf_dir)
+    return _basins(spark, sf_dir).select("x", "y", "z", "sid")
 
 
 def _basin_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    labels = voxels(spark, sf_dir).drop("sid").join(_basins(spark, sf_dir), ["x", "y", "z"])
+    labels = voxels(spark, sf_dir).drop("sid").join(_basins(spark, sf_dir).drop("bits"), ["x", "y", "z"])
     g = saved(spark, sf_dir, "basin-graph", lambda: rag.scored(rag.contacts(labels, chunk=CHUNK), "max"))
     return g, saved(spark, sf_dir, "basin-sizes", lambda: watershed.sizes_and_border(labels, CHUNK, extent(spark, sf_dir)))
 
@@ -221,13 +297,42 @@ def match_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.agg(F.count_if(remaps).alias("n_ids"), F.count_distinct(F.when(remaps, F.col("b"))).alias("n_groups"), F.count_if(~remaps).alias("n_cuts"))
 
 
+def _made_up(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A nucleus of three for every seventh segment of the matches."""
+    some = table(spark, sf_dir, "matching_faces").select(F.explode(F.array("oid", "nid")).alias("sid")).where("sid <> 0 AND sid % 7 = 0").distinct()
+    return some.select("sid", F.lit(1).alias("state"), (1 + F.pmod(F.col("sid"), F.lit(3))).alias("id"), F.lit(60).cast("bigint").alias("count"), F.lit(60).cast("bigint").alias("total"))
+
+
+def _matched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return saved(spark, sf_dir, "matched", lambda: agglomeration.match(table(spark, sf_dir, "matching_faces"), _made_up(spark, sf_dir), Scratch(spark, "match")))
+
+
 @query()
 def match_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Matches with made-up nuclei that forbid some."""
-    faces = table(spark, sf_dir, "matching_faces")
-    some = faces.select(F.explode(F.array("oid", "nid")).alias("sid")).where("sid <> 0 AND sid % 7 = 0").distinct()
-    tags = some.select("sid", F.lit(1).alias("state"), (1 + F.pmod(F.col("sid"), F.lit(3))).alias("id"), F.lit(60).cast("bigint").alias("count"), F.lit(60).cast("bigint").alias("total"))
-    return agglomeration.match(faces, tags, Scratch(spark, "match"))
+    return _matched(spark, sf_dir)
+
+
+@query("""WITH RECURSIVE pairs AS (SELECT DISTINCT oid AS s1, nid AS s2 FROM matching_faces WHERE oid <> 0 AND nid <> 0), """ + reach("pairs") + """
+SELECT (SELECT count(*) FROM cc) AS n_ids, count(*) AS n_pairs, CAST(0 AS BIGINT) AS n_mixed, CAST(0 AS BIGINT) AS n_cut_inside, CAST(0 AS BIGINT) AS n_apart, CAST(0 AS BIGINT) AS n_needless FROM pairs""")
+def match_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids and pairs of the matches; groups of several nuclei, cuts inside a group, pairs in two groups that are not cut,
+    and cuts between groups of which one has no nucleus or both the same (none of these)."""
+    out = _matched(spark, sf_dir)
+    to = out.where("kind = 'remap'").select(F.col("a").alias("id"), F.col("b").alias("g"))
+    tags = _made_up(spark, sf_dir).select(F.col("sid").alias("id"), F.col("id").alias("nucleus")).join(to, "id")
+    kinds = tags.groupBy("g").agg(F.count_distinct("nucleus").alias("k"), F.min("nucleus").alias("nucleus"))
+    rows = table(spark, sf_dir, "matching_faces").where("oid <> 0 AND nid <> 0").select("oid", "nid").distinct()
+    cuts = out.where("kind = 'cut'").select(F.col("a").alias("oid"), F.col("b").alias("nid"), F.lit(True).alias("cut"))
+    ends = rows.join(cuts, ["oid", "nid"], "left").join(to.select(F.col("id").alias("oid"), F.col("g").alias("g1")), "oid").join(to.select(F.col("id").alias("nid"), F.col("g").alias("g2")), "nid")
+    for i in (1, 2):
+        ends = ends.join(kinds.select(F.col("g").alias(f"g{i}"), F.col("nucleus").alias(f"k{i}")), f"g{i}", "left")
+    cut, apart = F.col("cut").isNotNull(), F.col("g1") != F.col("g2")
+    pairs = ends.agg(
+        F.count(F.lit(1)).alias("n_pairs"), F.count_if(cut & ~apart).alias("n_cut_inside"), F.count_if(~cut & apart).alias("n_apart"),
+        F.count_if(cut & (F.col("k1").isNull() | F.col("k2").isNull() | (F.col("k1") == F.col("k2")))).alias("n_needless"),
+    )
+    return pairs.join(to.agg(F.count(F.lit(1)).alias("n_ids"))).join(kinds.agg(F.count_if(F.col("k") > 1).alias("n_mixed")))
 
 
 # contact surfaces

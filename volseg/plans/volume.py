@@ -188,10 +188,16 @@ def aff_pad(spark: SparkSession, sf_dir: str) -> DataFrame:
     return condition.pad(voxels(spark, sf_dir), e, {c: 1 for c in "xyz"}, {c: 1 for c in "xyz"})
 
 
-@query()
+def _noisy(i: int, a: str) -> str:
+    u = [f"((('0x' || substr(md5('7:{i}:{j}:' || x || ':' || y || ':' || z), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0)" for j in (0, 1)]
+    return f"round(CASE WHEN {a} <> 0 THEN least(greatest({a} + 0.05::DOUBLE * (sqrt(-2 * ln({u[0]})) * cos(2 * pi() * {u[1]})), 0), 1) ELSE 0 END, 9) AS {a}"
+
+
+@query(f"{V} SELECT x, y, z, {', '.join(_noisy(i, a) for i, a in enumerate(('ax', 'ay', 'az')))} FROM voxel")
 def aff_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Seeded noise on affinities other than 0."""
-    return condition.noise(voxels(spark, sf_dir).select("x", "y", "z", "ax", "ay", "az"), 0.05, 7)
+    """Seeded noise on affinities other than 0, to nine decimals."""
+    noisy = condition.noise(voxels(spark, sf_dir).select("x", "y", "z", "ax", "ay", "az"), 0.05, 7)
+    return noisy.select("x", "y", "z", *[F.round(a, 9).alias(a) for a in ("ax", "ay", "az")])
 
 
 @query(f"{V} SELECT x, y, z, ax, sid FROM voxel WHERE x >= 4 AND x < 20 AND y >= 8 AND y < 24 AND z >= 2 AND z < 10")
