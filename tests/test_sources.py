@@ -7,6 +7,7 @@ import pytest
 
 from volseg.sources import tables as T
 from volseg.sources import volume as V
+from volseg.sources import zarr_store as Z
 
 
 def test_paths_and_options():
@@ -21,23 +22,97 @@ def test_paths_and_options():
         V.check_aligned((0, 2), (4, 6), (4, 4), (8, 6))
 
 
-def test_chunk_store():
-    whole = np.random.default_rng(1).random((2, 12, 12, 12), dtype=np.float32)
+class Stub:
+    """What h5py gives for a file with one dataset."""
+
+    def __init__(self, data, start):
+        self.data, self.start, self.closed = data, start, False
+        self.shape, self.dtype, self.attrs = data.shape, data.dtype, {"chunk_start_zyx": start}
+
+    def keys(self):
+        return ["main"]
+
+    def __getitem__(self, key):
+        return self if key == "main" else self.data[key]
+
+    def close(self):
+        self.closed = True
+
+
+def store(whole, cells, **how):
     opened = []
 
     def opener(path):
-        z, y, x = map(int, V.CHUNK_NAME.search(path).groups())
-        if (z, y, x) == (6, 6, 6):
-            raise OSError(path)
-        opened.append(path)
-        return whole[:, z : z + 6, y : y + 6, x : x + 6]
-
-    store = V.ChunkStore("s", (12, 12, 12), (6, 6, 6), opener)
-    assert np.array_equal(store.read((2, 3, 0), (9, 6, 10)), whole[:, 2:9, 3:6, 0:10])
-    with pytest.raises(OSError):
-        store.read((0, 0, 0), (12, 12, 12))
-    loose = V.ChunkStore("s", (12, 12, 12), (6, 6, 6), opener, required=False).read((0, 0, 0), (12, 12, 12))
-    assert not loose[:, 6:, 6:, 6:].any() and np.array_equal(loose[:, :6], whole[:, :6])
+        cell = tuple(map(int, V.CHUNK_NAME.match(os.path.basename(path)).groups()))
+        if cell not in cells:
+            raise FileNotFoundError(path)
+        lo = [i * 6 for i in cell]
+        stub = Stub(whole[(slice(None), *[slice(a, a + 6) for a in lo])], str(how.pop("start", lo)))
+        opened.append(stub)
+        return stub
+
+    names = [f"chunk_z{z}_y{y}_x{x}.h5" for z, y, x in cells] + ["other.h5"]
+    return V.ChunkStore("s", opener=opener, names=names, **{k: v for k, v in how.items() if k != "start"}), opened
+
+
+def test_chunk_store():
+    whole = np.random.default_rng(1).random((2, 12, 12, 12), dtype=np.float32)
+    every = {(z, y, x) for z in (0, 1) for y in (0, 1) for x in (0, 1)}
+    s, opened = store(whole, every)
+    assert s.shape == whole.shape and np.array_equal(s[:], whole) and np.array_equal(s[1, 2:9, 3:6, :10], whole[1, 2:9, 3:6, :10])
+    assert np.array_equal(s[..., 7, 2:8, 0:12], whole[:, 7, 2:8])
+    some = every - {(1, 1, 1)}
+    s, _ = store(whole, some)
+    assert not s[:, 6:, 6:, 6:].any() and np.array_equal(s[:, :6], whole[:, :6])  # listed: an absent cell is zero
+    s, _ = store(whole, some, bbox=(0, 0, 0, 12, 12, 12))
+    assert np.array_equal(s[:, :6], whole[:, :6])
+    with pytest.raises(FileNotFoundError):  # with a box it must be there
+        s[:]
+    with pytest.raises(ValueError, match="starts at"):
+        store(whole, every, start="[0, 0, 6]")
+    with pytest.raises(ValueError, match="no chunk"):
+        store(whole, set())
+    with pytest.raises(ValueError, match="strided"):
+        store(whole, every)[0][:, ::2]
+
+
+def test_handles_are_closed():
+    files = {}
+    h = V.Handles(lambda p: files.setdefault(p, Stub(np.zeros((1, 1, 1, 1)), "[0, 0, 0]")), most=2)
+    for p in ("a", "b", "a", "c"):
+        h.get(p)
+    assert [f.closed for f in files.values()] == [False, True, False]
+
+
+def test_chunk_store_as_a_table(spark, monkeypatch, tmp_path):
+    pytest.importorskip("h5py")
+    import h5py
+
+    whole = np.random.default_rng(3).random((1, 6, 6, 12), dtype=np.float32)
+    for x in (0, 1):
+        with h5py.File(tmp_path / f"chunk_z0_y0_x{x}.h5", "w") as f:
+            f.create_dataset("main", data=whole[..., x * 6 : x * 6 + 6]).attrs["chunk_start_zyx"] = f"[0, 0, {x * 6}]"
+    V.register(spark)
+    rows = spark.read.format("volume").option("path", str(tmp_path)).load().collect()
+    assert len(rows) == 432 and all(abs(r.c0 - whole[0, r.z, r.y, r.x]) < 1e-6 for r in rows)
+
+
+def test_zarr_round_trip(spark, tmp_path):
+    data = np.random.default_rng(4).random((2, 6, 5, 8))
+    rows = [(x, y, z, float(data[0, z, y, x]), float(data[1, z, y, x])) for z in range(6) for y in range(5) for x in range(8)]
+    df = spark.createDataFrame(rows, "x int, y int, z int, a double, b double")
+    path = str(tmp_path / "v.zarr")
+    Z.create(path, data.shape, (4, 4, 4), "float64")
+    assert Z.write(df, path, ["a", "b"]) == 8
+    assert np.array_equal(Z.ZarrArray(path)[:], data)
+    assert Z.write(df.withColumn("a", df.a * 0), path, ["a", "b"], (4, 0, 0, 8, 4, 4)) == 1
+    data[0, :4, :4, 4:] = 0
+    assert np.array_equal(Z.ZarrArray(path)[:], data)
+    with pytest.raises(ValueError):
+        Z.write(df, path, ["a", "b"], (2, 0, 0, 8, 4, 4))
+    V.register(spark)
+    back = spark.read.format("volume").option("path", path).option("box", "1,0,1,5,3,4").load().collect()
+    assert len(back) == 4 * 3 * 3 and all(r.c1 == data[1, r.z, r.y, r.x] for r in back)
 
 
 def test_volume_format(spark):
