@@ -42,3 +42,20 @@ def test_refused(path, value):
 def test_other_inputs():
     with pytest.raises(ValueError):
         M.validate(example(), {"watershed": "other"})
+
+
+def test_migration():
+    new = example()
+    old = {"version": "1.2", "owners": new["owners"], "repairs": [{
+        "parent_id": 50, "box": [0, 0, 0, 4, 4, 4], "marker_nucleus_ids": {"1": 1, "2": 2}, "marker_labels": {str(i): mint_id(i) for i in (1, 2)},
+    }]}
+    got = M.migrate(old, {"50": {1, 2}}, {"watershed": "abc"})
+    assert got["ledger"] == new["ledger"] and got["plan_digest"] == new["plan_digest"] and got["migrated_from"]["version"] == "1.2"
+    with pytest.raises(ValueError, match="cannot be migrated"):
+        M.migrate({**old, "version": "1.0"}, {"50": {1, 2}}, {})
+    with pytest.raises(ValueError, match="not those"):
+        M.migrate(old, {"50": {1, 2, 3}}, {})
+    opaque = copy.deepcopy(old)
+    opaque["repairs"][0]["marker_labels"]["1"] = 77
+    with pytest.raises(ValueError, match="not the id"):
+        M.migrate(opaque, {"50": {1, 2}}, {})

@@ -1,6 +1,7 @@
 import os
 import struct
 import tempfile
+import zlib
 
 import numpy as np
 import pytest
@@ -142,13 +143,34 @@ def test_packed_tables(spark):
     assert sorted(map(tuple, got)) == sorted(rows * 2)
 
 
-def test_sliced_files():
+def test_sliced_files(spark, tmp_path):
     slices = {7: b"abc", 3: b"", 9: b"xyz" * 50}
     data = T.write_sliced(slices)
-    assert T.read_sliced(data) == slices and T.read_sliced(data, 9) == {9: slices[9]}
+    assert T.read_sliced(data) == {7: b"abc", 9: slices[9]} and T.read_sliced(data, 9) == {9: slices[9]}
+    assert data[:4] == T.MAGIC and T.read_sliced(T.write_sliced({})) == {} and T.read_sliced(data, 8) == {}
     broken = bytearray(data)
-    broken[5] ^= 1
-    with pytest.raises(ValueError):
+    broken[22] ^= 1
+    with pytest.raises(ValueError, match="chunk 7"):
         T.read_sliced(bytes(broken))
     with pytest.raises(ValueError):
         T.read_sliced(b"none" + data)
+    with pytest.raises(ValueError):
+        T.read_sliced(data, record=8)
+    # older footers: a checksum and four zeros, or eight zeros
+    for foot in (struct.pack("<I", zlib.crc32(b"abcd")) + bytes(4), bytes(8)):
+        index = T._sealed(struct.pack("<QQQ", 5, 20, 4 + len(foot)))
+        old = T.MAGIC + struct.pack("<QQ", 24 + len(foot), len(index)) + b"abcd" + foot + index
+        assert T.read_sliced(old, record=4) == {5: b"abcd"}
+    remap = {1: struct.pack("<QQQQ", 4, 2, 6, 2), 2: struct.pack("<QQ", 9, 8)}
+    for name in "ab":
+        (tmp_path / f"{name}.data").write_bytes(T.write_sliced(remap))
+    every = T.read_sliced_files(spark, str(tmp_path), "remap")
+    assert sorted((r.old, r.new, r.chunk) for r in every.collect()) == sorted([(4, 2, 1), (6, 2, 1), (9, 8, 2)] * 2)
+    assert T.read_sliced_files(spark, str(tmp_path), "remap", 2).count() == 2
+
+
+def test_large_chunks_are_cut(spark, tmp_path):
+    df = spark.range(1000).selectExpr("id", "CASE WHEN id < 900 THEN 'big' ELSE concat('c', id % 5) END AS chunk_tag")
+    T.write_by_chunk(df, str(tmp_path / "t"))
+    back = spark.read.parquet(str(tmp_path / "t"))
+    assert {r.chunk_tag: r["count"] for r in back.groupBy("chunk_tag").count().collect()} == {"big": 900, **{f"c{i}": 20 for i in range(5)}}

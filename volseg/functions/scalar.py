@@ -6,21 +6,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def ordered_pair(a: str, b: str) -> list[Column]:
-    """The two columns as s1 <= s2."""
-    return [F.least(a, b).alias("s1"), F.greatest(a, b).alias("s2")]
-
-
-def floor_div(a: Column, b: int) -> Column:
-    """Division rounded down, also for negative numbers."""
-    return F.floor(a / F.lit(b)).cast("bigint")
-
-
-def first_max(array: Column) -> Column:
-    """0-based place of the greatest element, the first at ties."""
-    return F.array_position(array, F.array_max(array)) - 1
-
-
 def percent_decode(c: Column) -> Column:
     """Percent codes decoded; a plus sign stays one."""
     return F.url_decode(F.regexp_replace(c, r"\+", "%2B"))

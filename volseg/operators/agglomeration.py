@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 
 from volseg.config import Agglomeration
 from volseg.operators import graph, kernels
-from volseg.operators.features import join_records
+from volseg.operators.features import join_records, merge_counts
 from volseg.operators.graph import component_labels, per_component, relabel, spanning_forest
-from volseg.operators.rag import region_graph, remap_ids
+from volseg.operators.rag import drop_vetoed, region_graph, remap_edges, remap_ids
 from volseg.schema import NONE, PROPER
 from volseg.storage import Scratch
 
@@ -194,6 +194,42 @@ def match(rows: DataFrame, nuclei: DataFrame | None, scratch: Scratch) -> DataFr
     return remap.unionByName(ends.where("g1 <> g2").select(F.lit("cut").alias("kind"), F.col("oid").alias("a"), F.col("nid").alias("b")))
 
 
+def stand_ins(matches: DataFrame, extra: DataFrame | None = None) -> DataFrame:
+    """``old, new`` of the ``remap`` rows of :func:`match`; ``extra`` remaps (``old, new``) are followed by them."""
+    own = matches.where("kind = 'remap'").select(F.col("a").alias("old"), F.col("b").alias("new"))
+    if extra is None:
+        return own
+    moved = remap_ids(extra.select("old", "new"), own, "new")
+    return own.unionByName(moved.join(own.select("old"), "old", "left_anti"))
+
+
+def matched(stand: DataFrame, edges: DataFrame | None = None, cuts: DataFrame | None = None, boundary: DataFrame | None = None, counts: DataFrame | None = None, sizes: DataFrame | None = None, semantics: DataFrame | None = None, nuclei: DataFrame | None = None) -> dict[str, DataFrame]:
+    """What is known of the parts of segments, for the matched segments; each table that is given comes back merged.
+
+    ``stand``: ``old, new``. ``edges`` lose those that have become loops and the pairs in ``cuts`` (``s1, s2``);
+    ``boundary`` (``face, sid``) is made distinct; ``counts`` (``sid, n, boundary``) of overlapping parts share a
+    supervoxel; ``sizes`` and ``semantics`` add up; ``nuclei`` are joined as records.
+    """
+    def moved(df: DataFrame) -> DataFrame:
+        return remap_ids(df, stand, "sid")
+
+    out = {}
+    if edges is not None:
+        merged = remap_edges(edges, stand)
+        out["edges"] = merged if cuts is None else drop_vetoed(merged, remap_ids(cuts.select("s1", "s2"), stand, "s1", "s2"))
+    if boundary is not None:
+        out["boundary"] = moved(boundary).select("face", "sid").distinct()
+    if counts is not None:
+        out["counts"] = merge_counts(moved(counts))
+    if sizes is not None:
+        out["sizes"] = moved(sizes).groupBy("sid").agg(F.sum("size").alias("size"))
+    if semantics is not None:
+        out["semantics"] = moved(semantics).groupBy("sid").agg(*[F.sum(f"n{i}").alias(f"n{i}") for i in range(3)])
+    if nuclei is not None:
+        out["nuclei"] = join_records(moved(nuclei))
+    return out
+
+
 def _regroup(labels: DataFrame, left: DataFrame, tree: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Labels, matches between groups, and the groups' nuclei once the groups of ``tree`` (``id, cc``) are one."""
     moved = labels.join(tree.select(F.col("id").alias("_g"), F.col("cc").alias("_to")), F.col("cc") == F.col("_g"), "left").select("id", F.coalesce("_to", "cc").alias("cc"), "state", "nucleus")
@@ -204,4 +240,4 @@ def _regroup(labels: DataFrame, left: DataFrame, tree: DataFrame, scratch: Scrat
     return moved, scratch.save(left.groupBy("a", "b").agg(F.max("key").alias("key"))), groups
 
 
-__all__ = ["MOST_EDGES", "agglomerate", "done_and_ongoing", "match", "nodes_of", "region_graph", "resolved", "spanning_forest"]
+__all__ = ["MOST_EDGES", "agglomerate", "done_and_ongoing", "match", "matched", "nodes_of", "region_graph", "resolved", "spanning_forest", "stand_ins"]

@@ -6,9 +6,13 @@ counts as zero. Neighbours are met by equi joins on shifted coordinates.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from volseg.operators import kernels
+from volseg.operators.blocks import CHUNK, Block, per_block
+
 AXES = ("x", "y", "z")
 KEY = ["x", "y", "z"]
 AFFINITIES = ["ax", "ay", "az"]
@@ -111,6 +115,20 @@ def close_runs(df: DataFrame, axis: int, radius: int) -> DataFrame:
     return df.drop("_max")
 
 
+def close_gaps(df: DataFrame, radii: tuple[int, int, int], factors: tuple[float, float, float] = (0.7, 0.7, 0.7), threshold: float = WEAK, chunk: tuple[int, int, int] = CHUNK) -> DataFrame:
+    """Gaps between weak edges lessened (see :func:`kernels.close_affinities`), block by block.
+
+    A block sees the voxels that its radii can bring into play, twice the greatest on each side, also across corners.
+    """
+    def run(block: Block) -> dict:
+        aff = np.stack([block.array(a) for a in AFFINITIES])
+        out = kernels.close_affinities(aff, radii, factors, threshold)
+        at = np.nonzero(block.there[block.inner])
+        return {**block.coordinates(at), **{a: out[i][block.inner][at] for i, a in enumerate(AFFINITIES)}}
+
+    return per_block(df, chunk, AFFINITIES, run, "x int, y int, z int, ax double, ay double, az double", halo=2 * max(radii), corners=True)
+
+
 def noise(df: DataFrame, sigma: float, seed: int) -> DataFrame:
     """Gaussian noise on affinities other than 0, the same for a voxel whatever the partitioning; clipped to 0..1.
 

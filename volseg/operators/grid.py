@@ -111,3 +111,71 @@ def face_keys(df: DataFrame) -> DataFrame:
     rows = df.select("mip", "cx", "cy", "cz", faces)
     inner = F.when(F.col("f.face") < 3, F.col("f.c") % 2 == 1).otherwise(F.col("f.c") % 2 == 0)
     return rows.select("mip", "cx", "cy", "cz", F.col("f.face").alias("face"), (F.col("f.edge") == 0).alias("open"), (inner & (F.col("f.edge") == 0)).alias("vanishes"))
+
+
+def descendants(df: DataFrame, grid: DataFrame, target: int | None = None) -> DataFrame:
+    """``mip, cx, cy, cz`` with every chunk below, ``dmip, dx, dy, dz``, of all mips or of ``target``."""
+    below = ancestors(grid, int(grid.agg(F.max("mip")).first()[0] or 0)).where("amip > mip")
+    below = below.select(F.col("amip").alias("mip"), F.col("ax").alias("cx"), F.col("ay").alias("cy"), F.col("az").alias("cz"), F.col("mip").alias("dmip"), F.col("cx").alias("dx"), F.col("cy").alias("dy"), F.col("cz").alias("dz"))
+    if target is not None:
+        below = below.where(F.col("dmip") == target)
+    return df.select("mip", "cx", "cy", "cz").join(below, ["mip", "cx", "cy", "cz"])
+
+
+def branch(df: DataFrame, grid: DataFrame, top: int) -> DataFrame:
+    """``mip, cx, cy, cz`` with its whole branch, ``bmip, bx, by, bz``: ancestors, the chunk itself, descendants."""
+    up = ancestors(df, top).select("mip", "cx", "cy", "cz", F.col("amip").alias("bmip"), F.col("ax").alias("bx"), F.col("ay").alias("by"), F.col("az").alias("bz"))
+    down = descendants(df, grid).select("mip", "cx", "cy", "cz", F.col("dmip").alias("bmip"), F.col("dx").alias("bx"), F.col("dy").alias("by"), F.col("dz").alias("bz"))
+    return up.unionByName(down)
+
+
+def files_of(df: DataFrame, prefix: str, suffix: str = ".data") -> DataFrame:
+    """``file``: the name of each chunk's file, ``prefix_mip_x_y_z`` and the suffix."""
+    parts = [F.col(c) for c in ("mip", "cx", "cy", "cz")]
+    return df.select("mip", "cx", "cy", "cz", F.concat(F.lit(f"{prefix}_"), tag(*parts), F.lit(suffix)).alias("file"))
+
+
+def face_cells(spark: SparkSession) -> DataFrame:
+    """``face, kind, dx, dy, dz`` for each face 0..5: ``sub``, the four children that lie at the face by their place in
+    the parent, and ``super``, the nine chunks beyond it by their distance."""
+    def cells(kind: str, low: int, high: int, values: tuple[int, ...]) -> DataFrame:
+        free = F.array(*[F.lit(v) for v in values])
+        rows = spark.range(6).select(F.col("id").cast("int").alias("face"), F.lit(kind).alias("kind"))
+        for i, c in enumerate("xyz"):
+            fixed = F.array(F.when(F.col("face") < 3, low).otherwise(high))
+            rows = rows.withColumn(f"d{c}", F.explode(F.when(F.col("face") % 3 == i, fixed).otherwise(free)))
+        return rows
+
+    return cells("sub", 0, 1, (0, 1)).unionByName(cells("super", -1, 1, (-1, 0, 1)))
+
+
+def vanished_faces(children: DataFrame) -> DataFrame:
+    """``mip, cx, cy, cz, kx, ky, kz, face``: faces of the children that the parent no longer has, as they lie between two
+    of them; ``children`` as of :func:`children`. A child at the low side of its parent loses its high face."""
+    rows = children
+    faces = F.array(*[F.when(F.col(f"k{c}") % 2 == 0, F.lit(i + 3)).otherwise(F.lit(i)) for i, c in enumerate("xyz")])
+    return rows.select("mip", "cx", "cy", "cz", "kx", "ky", "kz", F.explode(faces).alias("face"))
+
+
+def lift(rows: DataFrame) -> DataFrame:
+    """Rows of chunks (``mip, cx, cy, cz, ...``) as rows of their parents: what the files of the children hold together."""
+    half = {f"c{c}": F.floor(F.col(f"c{c}") / 2).cast("int") for c in "xyz"}
+    return rows.select(*[half[c].alias(c) if c in half else (F.col(c) + 1).alias(c) if c == "mip" else F.col(c) for c in rows.columns])
+
+
+def gather(rows: DataFrame, near: DataFrame) -> DataFrame:
+    """For each chunk of ``near`` (``mip, cx, cy, cz, nx, ny, nz``, as of :func:`siblings` or :func:`neighbours`) the rows
+    (``mip, cx, cy, cz, ...``) of the chunks named beside it."""
+    here = rows.select("mip", *[F.col(f"c{c}").alias(f"n{c}") for c in "xyz"], *[c for c in rows.columns if c not in ("mip", "cx", "cy", "cz")])
+    return near.select("mip", "cx", "cy", "cz", "nx", "ny", "nz").join(here, ["mip", "nx", "ny", "nz"])
+
+
+def gather_slices(slices: DataFrame, chunks: DataFrame, top: int) -> DataFrame:
+    """For each chunk what its ancestors, itself included, hold for it: ``mip, cx, cy, cz, old, new``.
+
+    ``slices``: ``mip, cx, cy, cz, old, new`` of the levels at which a remap was settled; a row is for the chunk that
+    handed out its old id.
+    """
+    up = ancestors(chunks, top).join(chunks.select("mip", "cx", "cy", "cz", "ac"), ["mip", "cx", "cy", "cz"])
+    held = slices.select(F.col("mip").alias("amip"), F.col("cx").alias("ax"), F.col("cy").alias("ay"), F.col("cz").alias("az"), owner(F.col("old")).alias("ac"), "old", "new")
+    return up.join(held, ["amip", "ax", "ay", "az", "ac"]).select("mip", "cx", "cy", "cz", "old", "new")

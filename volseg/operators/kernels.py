@@ -407,3 +407,50 @@ def reweighted_mean(contact: dict[tuple[int, int, int], tuple[float, int, float]
             found.append(((a + wa) * n / wn, n))
     found.append((affinity * area / weight, area))
     return max(found, key=lambda r: r[0] / r[1])
+
+
+def _grown(mask: np.ndarray, steps: list[tuple[int, int, int]], full: bool) -> np.ndarray:
+    """The mask widened by the steps (``full`` False) or narrowed to where all of them stay within it (True)."""
+    r = max((abs(d) for s in steps for d in s), default=0)
+    wide = np.pad(mask, r, constant_values=full)
+    parts = [wide[tuple(slice(r + d, r + d + n) for d, n in zip(s, mask.shape))] for s in steps]
+    return np.logical_and.reduce(parts) if full else np.logical_or.reduce(parts)
+
+
+def closed(mask: np.ndarray, steps: list[tuple[int, int, int]]) -> np.ndarray:
+    """Binary closing by a set of steps that holds the opposite of each; beyond the array there is nothing to close."""
+    r = max((abs(d) for s in steps for d in s), default=0)
+    wide = np.pad(mask, r)
+    out = _grown(_grown(wide, steps, False), steps, True)
+    return out[tuple(slice(r, r + n) for n in mask.shape)]
+
+
+def element(shape: str, r: int) -> list[tuple[int, int, int]]:
+    """Structuring elements of radius r: lines along ``x``, ``y``, ``z``, the diagonals ``d`` and ``a`` of the plane x, y,
+    and the ``diamond`` in it."""
+    line = range(-r, r + 1)
+    if shape == "diamond":
+        return [(i, j, 0) for i in line for j in line if abs(i) + abs(j) <= r]
+    along = {"x": (1, 0, 0), "y": (0, 1, 0), "z": (0, 0, 1), "d": (1, 1, 0), "a": (1, -1, 0)}[shape]
+    return [tuple(i * d for d in along) for i in line]
+
+
+def close_affinities(affinities: np.ndarray, radii: tuple[int, int, int], factors: tuple[float, float, float], threshold: float) -> np.ndarray:
+    """Gaps between weak edges (0 < a < threshold) of ``affinities[3, x, y, z]`` lessened channel by channel, by falling radius.
+
+    On z a gap is what closing along z fills. On x and y it is what the diamond fills, and beyond radius 1 not both
+    the lines along x and y or both diagonals. The weak edges are those before any change to the channel.
+    """
+    out = affinities.copy()
+    for i in range(3):
+        weak = (out[i] > 0) & (out[i] < threshold)
+        for r in range(radii[i], 0, -1):
+            if i == 2:
+                gap = closed(weak, element("z", r)) & ~weak
+            else:
+                gap = closed(weak, element("diamond", r))
+                if r > 1:
+                    small = (closed(weak, element("x", r)) & closed(weak, element("y", r))) | (closed(weak, element("d", r)) & closed(weak, element("a", r)))
+                    gap &= ~small
+            out[i] = np.where(gap, out[i] * factors[i], out[i])
+    return out

@@ -88,3 +88,27 @@ def validate(manifest: dict, inputs: dict[str, str] | None = None) -> dict:
     if manifest.get("ledger") != ledger(plan["repairs"], plan["owners"]):
         raise ValueError("the ledger does not fit the repairs")
     return manifest
+
+
+def migrate(legacy: dict, markers: dict[str, set[int]], inputs: dict[str, str]) -> dict:
+    """A manifest of version 1.2 as one of this version, without flooding again.
+
+    In 1.2 a repair names its territories by markers 1, 2, ...: ``marker_nucleus_ids`` and ``marker_labels`` give
+    each one's nucleus and emitted id. ``markers``: for each parent id the markers found in its stored territory,
+    which must be just those named. Ids must be the nuclei's own, so manifests of other versions, whose ids are
+    opaque, are refused.
+    """
+    if str(legacy.get("version")) != "1.2":
+        raise ValueError(f"manifests of version {legacy.get('version')!r} cannot be migrated")
+    repairs = []
+    for r in legacy["repairs"]:
+        parent, nuclei, labels = str(r["parent_id"]), r.get("marker_nucleus_ids"), r.get("marker_labels")
+        if not isinstance(nuclei, dict) or not isinstance(labels, dict):
+            raise ValueError(f"the repair of {parent} names no markers")
+        found = markers.get(parent, set())
+        if {int(k) for k in nuclei} != found or {int(k) for k in labels} != found:
+            raise ValueError(f"the markers of {parent} are not those of its territory")
+        territories = [{"anchor_id": str(nuclei[str(m)]), "emitted_id": str(labels[str(m)])} for m in sorted(found)]
+        repairs.append({"parent_id": parent, "box": r["box"], "territories": territories})
+    out = build(repairs, legacy.get("owners", {}), inputs)
+    return validate({**out, "migrated_from": {"version": "1.2", "digest": digest(legacy)}})

@@ -43,6 +43,14 @@ def saved(spark: SparkSession, sf_dir: str, name: str, make) -> DataFrame:
     return _saved[key]
 
 
+def side_by_side(*frames: DataFrame) -> DataFrame:
+    """Frames of one row each as one row."""
+    whole = frames[0]
+    for f in frames[1:]:
+        whole = whole.unionByName(f, allowMissingColumns=True)
+    return whole.agg(*[F.max(c).alias(c) for c in whole.columns])
+
+
 def extent(spark: SparkSession, sf_dir: str) -> tuple[int, int, int]:
     """The fixture volume's extent."""
     key = (spark.sparkContext.applicationId, sf_dir)

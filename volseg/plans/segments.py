@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from volseg.config import Agglomeration, Watershed
 from volseg.operators import agglomeration, contact_surface, graph, nucleus, rag, remap, watershed
-from volseg.plans.fixtures import CHUNK, NZ, extent, saved, voxels
+from volseg.plans.fixtures import CHUNK, NZ, extent, saved, side_by_side, voxels
 from volseg.plans.volume import _BITS_SQL as BITS_SQL
 from volseg.plans.volume import C, V, contacts, grid_of, nuclei, regions
 from volseg.storage import Scratch, table
@@ -143,7 +143,7 @@ def agglomerate_vetoes(spark: SparkSession, sf_dir: str) -> DataFrame:
     tags = rag.remap_ids(nuclei(spark, sf_dir).where("state <> 0").select("sid", "state", "id", F.lit(1).alias("one")), new, "sid")
     mixed = tags.groupBy("sid").agg(F.count_distinct(F.when(F.col("state") == 1, F.col("id"))).alias("k"), F.count_if(F.col("state") == 2).alias("c")).where("k > 1 OR c > 1 OR (k > 0 AND c > 0)")
     thawed = new.join(_frozen(spark, sf_dir), F.col("old") == F.col("sid"), "left_semi")
-    return whole.join(mixed.agg(F.count(F.lit(1)).alias("n_mixed"))).join(thawed.agg(F.count(F.lit(1)).alias("n_thawed")))
+    return side_by_side(whole, mixed.agg(F.count(F.lit(1)).alias("n_mixed")), thawed.agg(F.count(F.lit(1)).alias("n_thawed")))
 
 
 def _staged(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -220,7 +220,7 @@ def ws_basins_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
         out_of_block = out_of_block | (F.floor(F.col(c) / n) != F.floor(F.col(f"n{c}") / n))
     met = looks.select("x", "y", "z", "sid", *to).join(b.select(*[F.col(c).alias(f"n{c}") for c in "xyz"], F.col("sid").alias("other")), ["nx", "ny", "nz"])
     fine = met.groupBy("x", "y", "z").agg(F.max((F.col("sid") == F.col("other")) | out_of_block).alias("fine"))
-    return b.agg(F.count(F.lit(1)).alias("n_voxels"), F.count_if(F.col("sid") == 0).alias("n_background")).join(fine.agg(F.count_if(~F.col("fine")).alias("n_adrift")))
+    return side_by_side(b.agg(F.count(F.lit(1)).alias("n_voxels"), F.count_if(F.col("sid") == 0).alias("n_background")), fine.agg(F.count_if(~F.col("fine")).alias("n_adrift")))
 
 
 @query(f"{V} SELECT count(*) AS n_voxels, CAST(0 AS BIGINT) AS n_cut, CAST(0 AS BIGINT) AS n_joined FROM voxel")
@@ -241,7 +241,7 @@ def ws_stitched(spark: SparkSession, sf_dir: str) -> DataFrame:
     met = scratch.save(pairs.groupBy("sid", "one").agg(F.count(F.lit(1)).alias("n")))
     cut = met.groupBy("one").agg(F.count(F.lit(1)).alias("k")).agg(F.count_if(F.col("k") > 1).alias("n_cut"))
     joined = met.groupBy("sid").agg(F.count(F.lit(1)).alias("k")).agg(F.count_if(F.col("k") > 1).alias("n_joined"))
-    return met.agg(F.sum("n").alias("n_voxels")).join(cut).join(joined)
+    return side_by_side(met.agg(F.sum("n").alias("n_voxels")), cut, joined)
 
 
 @query()
@@ -332,7 +332,7 @@ def match_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.count(F.lit(1)).alias("n_pairs"), F.count_if(cut & ~apart).alias("n_cut_inside"), F.count_if(~cut & apart).alias("n_apart"),
         F.count_if(cut & (F.col("k1").isNull() | F.col("k2").isNull() | (F.col("k1") == F.col("k2")))).alias("n_needless"),
     )
-    return pairs.join(to.agg(F.count(F.lit(1)).alias("n_ids"))).join(kinds.agg(F.count_if(F.col("k") > 1).alias("n_mixed")))
+    return side_by_side(pairs, to.agg(F.count(F.lit(1)).alias("n_ids")), kinds.agg(F.count_if(F.col("k") > 1).alias("n_mixed")))
 
 
 # contact surfaces
@@ -520,7 +520,7 @@ def unit_id_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Units whose ids are not safe (none), of so many territories."""
     groups = _groups(spark, sf_dir)
     n = groups.where("members >= 2").select("sid", "nuc").distinct().agg(F.count(F.lit(1)).alias("n_territories"))
-    return n.join(nucleus.id_faults(groups).agg(F.count(F.lit(1)).alias("n_faults")))
+    return side_by_side(n, nucleus.id_faults(groups).agg(F.count(F.lit(1)).alias("n_faults")))
 
 
 @query(f"""{_BOXES_SQL}, g AS (SELECT CAST(0 AS INT) AS mip, CAST(cx AS INT) AS cx, CAST(cy AS INT) AS cy, CAST(cz AS INT) AS cz FROM range(2) a(cx), range(2) b(cy), (SELECT unnest(range(0, nz // 8)) AS cz FROM ext))
@@ -607,3 +607,33 @@ def owner_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Minted ids of owners."""
     return voxels(spark, sf_dir).where("nuc <> 0").select("nuc").distinct().select("nuc", nucleus.mint(F.col("nuc")).alias("minted"))
 
+
+
+@query(f"{_FILLED_SQL}, t AS (SELECT (x1 - x0) * (y1 - y0) * (z1 - z0) AS n FROM filled) SELECT CAST(sum(n) AS DOUBLE) AS serial_s, CAST(max(n) AS DOUBLE) AS longest_s, CAST(sum(n) AS DOUBLE) / max(n) AS speedup FROM t")
+def flood_speedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What running the units side by side can gain, at a second for each voxel of a box."""
+    size = (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0")) * (F.col("z1") - F.col("z0"))
+    return nucleus.critical_path(_filled(spark, sf_dir).select(F.col("anchor").alias("unit"), size.cast("double").alias("seconds")))
+
+
+#: What stands for each matched segment: the nid of its group's first match.
+_STAND_SQL = """WITH RECURSIVE pairs AS (SELECT oid AS s1, nid AS s2, coalesce(agg_size, -1) AS agg FROM matching_faces WHERE oid <> 0 AND nid <> 0), """ + reach("pairs") + """,
+best AS (SELECT cc, nid FROM (SELECT c.cc, p.s2 AS nid, row_number() OVER (PARTITION BY c.cc ORDER BY agg DESC, p.s2, p.s1) AS rn FROM pairs p JOIN cc c ON c.id = p.s1) WHERE rn = 1),
+stand AS (SELECT id AS old, nid AS new FROM cc JOIN best USING (cc))"""
+
+
+@query(f"{_STAND_SQL} SELECT coalesce(new, sid) AS sid, CAST(sum(size) AS BIGINT) AS size FROM ongoing_supervoxel_counts LEFT JOIN stand ON old = sid WHERE sid <> 0 GROUP BY 1")
+def match_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes of the open segments once their parts are matched."""
+    stand = agglomeration.stand_ins(agglomeration.match(table(spark, sf_dir, "matching_faces"), None, Scratch(spark, "matchs")))
+    counts = table(spark, sf_dir, "ongoing_supervoxel_counts").where("sid <> 0").select("sid", "size")
+    return agglomeration.matched(stand, sizes=counts)["sizes"]
+
+
+@query(f"""{_STAND_SQL}, e AS (SELECT coalesce(a.new, s1) AS u, coalesce(b.new, s2) AS v, area FROM residual_rg LEFT JOIN stand a ON a.old = s1 LEFT JOIN stand b ON b.old = s2 WHERE s1 <> 0 AND s2 <> 0)
+SELECT least(u, v) AS s1, greatest(u, v) AS s2, CAST(sum(area) AS BIGINT) AS area FROM e WHERE u <> v GROUP BY 1, 2""")
+def match_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Areas of the residual edges between matched segments."""
+    stand = agglomeration.stand_ins(agglomeration.match(table(spark, sf_dir, "matching_faces"), None, Scratch(spark, "matche")))
+    edges = table(spark, sf_dir, "residual_rg").where("s1 <> 0 AND s2 <> 0").select("s1", "s2", F.lit(0.0).alias("sum_aff"), "area")
+    return agglomeration.matched(stand, edges=edges)["edges"].select("s1", "s2", "area")

@@ -117,6 +117,72 @@ def face_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid.face_keys(grid_of(spark, sf_dir))
 
 
+@query(f"""WITH {GRID_SQL} SELECT c.mip, c.cx, c.cy, c.cz, d.mip AS bmip, d.cx AS bx, d.cy AS by, d.cz AS bz FROM chunks c JOIN chunks d
+ON (d.mip <= c.mip AND d.cx >> (c.mip - d.mip) = c.cx AND d.cy >> (c.mip - d.mip) = c.cy AND d.cz >> (c.mip - d.mip) = c.cz)
+OR (d.mip > c.mip AND c.cx >> (d.mip - c.mip) = d.cx AND c.cy >> (d.mip - c.mip) = d.cy AND c.cz >> (d.mip - c.mip) = d.cz)""")
+def grid_branch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every chunk with its branch: ancestors, itself and descendants."""
+    return grid.branch(grid_of(spark, sf_dir), grid_of(spark, sf_dir), grid.levels(extent(spark, sf_dir), CHUNK))
+
+
+@query(f"WITH {GRID_SQL} SELECT mip, cx, cy, cz, 'edges_' || mip || '_' || cx || '_' || cy || '_' || cz || '.data' AS file FROM chunks")
+def grid_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The file name of every chunk."""
+    return grid.files_of(grid_of(spark, sf_dir), "edges")
+
+
+@query("""SELECT CAST(f AS INT) AS face, 'sub' AS kind, CAST(dx AS INT) AS dx, CAST(dy AS INT) AS dy, CAST(dz AS INT) AS dz FROM range(6) a(f), range(2) b(dx), range(2) c(dy), range(2) d(dz) WHERE [dx, dy, dz][f % 3 + 1] = f // 3
+UNION ALL SELECT CAST(f AS INT), 'super', CAST(dx AS INT), CAST(dy AS INT), CAST(dz AS INT) FROM range(6) a(f), range(-1, 2) b(dx), range(-1, 2) c(dy), range(-1, 2) d(dz) WHERE [dx, dy, dz][f % 3 + 1] = f // 3 * 2 - 1""")
+def face_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Children at each face and chunks beyond it."""
+    return grid.face_cells(spark)
+
+
+@query(f"""WITH {GRID_SQL} SELECT p.mip, p.cx, p.cy, p.cz, k.cx AS kx, k.cy AS ky, k.cz AS kz, unnest([3 - 3 * (k.cx % 2), 4 - 3 * (k.cy % 2), 5 - 3 * (k.cz % 2)])::INT AS face
+FROM chunks p JOIN chunks k ON k.mip = p.mip - 1 AND k.cx // 2 = p.cx AND k.cy // 2 = p.cy AND k.cz // 2 = p.cz""")
+def vanished_faces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faces of children that the parent no longer has."""
+    g = grid_of(spark, sf_dir)
+    return grid.vanished_faces(grid.children(g, g))
+
+
+_MAPS_SQL = f"""{V}, {REMAP_SQL}, maps AS (SELECT CAST(x // 16 AS INT) AS cx, CAST(y // 16 AS INT) AS cy, CAST(z // 8 AS INT) AS cz, min(sid) AS old, new FROM voxel JOIN remap ON old = sid GROUP BY 1, 2, 3, new)"""
+
+
+def _maps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    place = [F.floor(F.col(c) / n).cast("int").alias(f"c{c}") for c, n in zip("xyz", CHUNK)]
+    return remap.chunk_map(voxels(spark, sf_dir), block_remap(spark, sf_dir), [F.lit(0).alias("mip"), *place])
+
+
+@query(f"""{_MAPS_SQL} SELECT 0 AS mip, CAST(a.cx AS INT) AS cx, CAST(a.cy AS INT) AS cy, CAST(a.cz AS INT) AS cz, m.cx AS nx, m.cy AS ny, m.cz AS nz, old, new
+FROM (SELECT cx, cy, cz FROM range(2) a(cx), range(2) b(cy), (SELECT unnest(range(0, nz // 8)) AS cz FROM ext)) a JOIN maps m ON m.cx - a.cx IN (0, 1) AND m.cy - a.cy IN (0, 1) AND m.cz - a.cz IN (0, 1)""")
+def gather_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chunk maps of every chunk and its forward neighbours."""
+    near = grid.siblings(grid_of(spark, sf_dir).where("mip = 0"))
+    return grid.gather(_maps(spark, sf_dir), near)
+
+
+@query(f"""{_MAPS_SQL} SELECT mip, cx, cy, cz, min(old) AS old, new FROM (SELECT 1 AS mip, cx // 2 AS cx, cy // 2 AS cy, cz // 2 AS cz, old, new FROM maps) GROUP BY 1, 2, 3, 4, new""")
+def lift_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chunk maps of the children as those of their parents."""
+    return grid.lift(_maps(spark, sf_dir)).groupBy("mip", "cx", "cy", "cz", "new").agg(F.min("old").alias("old")).select("mip", "cx", "cy", "cz", "old", "new")
+
+
+_SLICES_SQL = f"""WITH {GRID_SQL}, ids AS (SELECT mip, cx, cy, cz, (CAST(1 AS BIGINT) << 56) | (CAST(cx AS BIGINT) << 46) | (CAST(cy AS BIGINT) << 36) | (CAST(cz AS BIGINT) << 26) AS ac FROM chunks WHERE mip = 0),
+up AS (SELECT i.*, c.mip AS amip, c.cx AS ax, c.cy AS ay, c.cz AS az FROM ids i JOIN chunks c ON i.cx >> c.mip = c.cx AND i.cy >> c.mip = c.cy AND i.cz >> c.mip = c.cz)"""
+
+
+@query(f"{_SLICES_SQL} SELECT mip, cx, cy, cz, ac + 1 + amip AS old, ac + 100 * amip AS new FROM up WHERE (cx + cy + cz + amip) % 2 = 0")
+def gather_remaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the ancestors of every chunk have settled for it; the slices are made up, one id for a chunk and level."""
+    g = grid_of(spark, sf_dir)
+    low = g.where("mip = 0").select("mip", "cx", "cy", "cz", grid.chunk_id(F.lit(1), F.col("cx"), F.col("cy"), F.col("cz")).alias("ac"))
+    top = grid.levels(extent(spark, sf_dir), CHUNK)
+    held = grid.ancestors(low, top).join(low, ["mip", "cx", "cy", "cz"]).where("(cx + cy + cz + amip) % 2 = 0")
+    slices = held.select(F.col("amip").alias("mip"), F.col("ax").alias("cx"), F.col("ay").alias("cy"), F.col("az").alias("cz"), (F.col("ac") + 1 + F.col("amip")).alias("old"), (F.col("ac") + 100 * F.col("amip")).alias("new"))
+    return grid.gather_slices(slices, low, top)
+
+
 @query(f"{V} SELECT x, y, z, (nuc - 0) / 255.0 AS v FROM voxel")
 def aff_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An integer column as 0..1."""
@@ -166,11 +232,25 @@ def aff_single_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return condition.single_channel(voxels(spark, sf_dir), "ax", extent(spark, sf_dir))
 
 
-@query(f"""{V}, w AS (SELECT x, y, z, ax, ay, az, min(CASE WHEN ax > 0 AND ax < 0.5 THEN 1 ELSE 0 END) OVER (PARTITION BY y, z ORDER BY x RANGE BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS k FROM voxel)
-SELECT x, y, z, CASE WHEN k = 1 THEN ax * 0.75 ELSE ax END AS ax, CASE WHEN k = 1 THEN ay * 0.75 ELSE ay END AS ay, CASE WHEN k = 1 THEN az * 0.75 ELSE az END AS az FROM w""")
+def _eroded(source: str, to: str, channel: str, line: str, r: int) -> str:
+    """One erosion in SQL: where all of a line's voxels within the radius are weak, every channel is lessened."""
+    across = ", ".join(c for c in "xyz" if c != line)
+    weak = f"min(CASE WHEN {channel} > 0 AND {channel} < 0.5 THEN 1 ELSE 0 END) OVER (PARTITION BY {across} ORDER BY {line} RANGE BETWEEN {r} PRECEDING AND {r} FOLLOWING)"
+    return f"{to} AS (SELECT x, y, z, {', '.join(f'CASE WHEN k = 1 THEN {a} * 0.75 ELSE {a} END AS {a}' for a in ('ax', 'ay', 'az'))} FROM (SELECT x, y, z, ax, ay, az, {weak} AS k FROM {source}))"
+
+
+@query(f"{V}, {_eroded('voxel', 'e1', 'ax', 'x', 2)}, {_eroded('e1', 'e2', 'ax', 'x', 1)}, {_eroded('e2', 'e3', 'ay', 'y', 1)}, {_eroded('e3', 'e4', 'az', 'z', 1)} SELECT * FROM e4")
 def aff_erode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Runs of weak edges along x lessened."""
-    return condition.erode(voxels(spark, sf_dir).select("x", "y", "z", "ax", "ay", "az"), {0: [1]}, factor=0.75)
+    """Runs of weak edges lessened along all axes, larger radii first."""
+    return condition.erode(voxels(spark, sf_dir).select("x", "y", "z", "ax", "ay", "az"), {0: [1, 2], 1: [1], 2: [1]}, factor=0.75)
+
+
+@query(f"""{V}, w AS (SELECT x, y, z, az > 0 AND az < 0.5 AS w FROM voxel), n AS (SELECT x, y, z + d AS z, bool_or(w) AS hit FROM w, range(-1, 2) r(d) GROUP BY 1, 2, 3),
+f AS (SELECT a.x, a.y, a.z, count(*) FILTER (WHERE b.hit) = 3 AS filled FROM voxel a JOIN n b ON b.x = a.x AND b.y = a.y AND b.z BETWEEN a.z - 1 AND a.z + 1 GROUP BY 1, 2, 3)
+SELECT v.x, v.y, v.z, ax, ay, CASE WHEN filled AND NOT (az > 0 AND az < 0.5) THEN az * 0.5 ELSE az END AS az FROM voxel v JOIN f ON f.x = v.x AND f.y = v.y AND f.z = v.z""")
+def aff_close_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gaps between weak edges along z lessened, block by block."""
+    return condition.close_gaps(voxels(spark, sf_dir), (0, 0, 1), (0.5, 0.5, 0.5), 0.5, CHUNK)
 
 
 @query(f"""{V}, m AS (SELECT x, y, z, max(ax) OVER (PARTITION BY y, z ORDER BY x RANGE BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS k FROM voxel)

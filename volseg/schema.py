@@ -1,16 +1,7 @@
-"""Explicit schemas of the tables; nothing is inferred."""
+"""States of a nucleus record and the bound of ids."""
 
 from __future__ import annotations
 
-VOXEL = "x int, y int, z int, ax double, ay double, az double, sid bigint"
-CONTACT = "s1 bigint, s2 bigint, axis int, x int, y int, z int, aff double"
-EDGE = "s1 bigint, s2 bigint, sum_aff double, area bigint"
-REGION_GRAPH = "score double, s1 bigint, s2 bigint"
-REMAP = "old bigint, new bigint"
-MATCH = "oid bigint, boundary_size bigint, nid bigint, agg_size bigint"
-NUCLEUS = "sid bigint, state int, id bigint, count bigint, total bigint"
-SIZE = "sid bigint, size bigint"
-
 #: States of a nucleus record.
 NONE, PROPER, CONFLICT = 0, 1, 2
 #: Ids are non-negative 64-bit integers below this bound; unsigned ids beyond it are refused at the source.
