@@ -1,9 +1,11 @@
 """Many tiny files into few well-sized ones, every record kept and none twice.
 
 A file whose distinct records all lie in one other file of the same table and chunk is left out and listed with the
-file that holds them. The remaining files are assigned to a fixed number of output groups, longest first to the least
-loaded group, each group is streamed through pyarrow into one file, and a manifest of files and groups is published
-once the counts and checksums of what was read, written and read back agree.
+file that holds them. The others are dealt by a hash into shards, each with a fixed number of output groups. The task
+of a shard first meets the sizes of its files, assigns them longest first to the least loaded group, then streams the
+records through pyarrow into one file for each group. A manifest of files and groups is published once the counts and
+checksums of what was read, written and read back agree. The records are shuffled once and joined with nothing that
+grows.
 """
 
 from __future__ import annotations
@@ -15,23 +17,22 @@ from decimal import Decimal
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from volseg.storage import Scratch, broadcast_if_small, delete
 
-#: Bytes of an output group; groups of a table at least, so that a small one has several writers; files that one
-#: scheduling task may hold.
-TARGET_BYTES, LEAST_GROUPS, FILES_PER_SHARD = 128 << 20, 16, 200_000
+#: Bytes of an output group; groups of a table at least, so that a small one has several writers; groups of a shard;
+#: rows that a group gathers before it writes them.
+TARGET_BYTES, LEAST_GROUPS, SHARD_GROUPS, HELD_ROWS = 128 << 20, 32, 4, 1 << 17
 #: Rows of two numbers up to which a counted table may be broadcast.
 NARROW_ROWS = 1_000_000
 GROUPS = "group_id bigint, path string, n_files bigint, n_records bigint, n_repeats bigint, n_bytes bigint, checksum bigint, stored_checksum bigint"
 GROUPS_ARROW = pa.schema([(c.split()[0], pa.string() if c.endswith("string") else pa.int64()) for c in GROUPS.split(", ")])
-FILES = "file_id bigint, n_rows bigint, n_groups bigint, kept_in bigint"
+FILES = "file_id bigint, n_rows bigint, n_parts bigint, kept_in bigint"
 
 
 def record_hash(scope: list[str], record: list[str]) -> Column:
@@ -123,32 +124,6 @@ def longest_first(sizes: np.ndarray, groups: int) -> np.ndarray:
     return out
 
 
-def assign_groups(files: DataFrame, record_bytes: int, target_bytes: int = TARGET_BYTES, least: int = LEAST_GROUPS) -> DataFrame:
-    """``file_id, groups`` for files with ``file_id, n``, groups being numbered 0, 1, ...
-
-    As many groups as the target asks for, and ``least`` if that is more. A file beyond the size of a group is cut
-    into equal parts, each with a group of its own choice: ``groups`` has an entry for each part. Files are scheduled
-    in shards of about 200,000, each with its share of the groups, so no task holds the listing of the whole table.
-    """
-    n, total = files.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
-    wanted = max(1, least, -(-total * record_bytes // target_bytes))
-    shards = max(1, min(-(-n // FILES_PER_SHARD), wanted))
-    each = -(-wanted // shards)
-    room = max(1, -(-total * record_bytes // wanted))
-
-    def schedule(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["file_id", "part"], kind="stable")
-        return pd.DataFrame({"file_id": pdf["file_id"], "part": pdf["part"], "at": longest_first(pdf["size"].to_numpy(), each) * shards + int(key[0])})
-
-    parts = F.greatest(F.ceil(F.col("n") * record_bytes / room), F.lit(1)).cast("int")
-    units = files.select("file_id", (F.col("n") * record_bytes / parts).cast("bigint").alias("size"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
-    units = units.withColumn("shard", F.pmod(F.xxhash64("file_id", "part"), F.lit(shards)).cast("int"))
-    placed = units.groupBy("shard").applyInPandas(schedule, "file_id bigint, part int, at bigint")
-    # groups that got a file, numbered without gaps: one row for each group, a list as long as the output's
-    numbers = placed.select("at").distinct().withColumn("no", (F.row_number().over(Window.orderBy("at")) - 1).cast("int"))
-    return placed.join(numbers, "at").groupBy("file_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("part", "no"))), lambda p: p["no"]).alias("groups"))
-
-
 def _bits(column: pa.Array) -> np.ndarray:
     """Values as integers of which two are equal if the values are, nulls aside."""
     if pa.types.is_floating(column.type):
@@ -156,63 +131,104 @@ def _bits(column: pa.Array) -> np.ndarray:
     return pc.fill_null(column, 0).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
+class _Group:
+    """One output file: rows are gathered, then written as a row group."""
+
+    def __init__(self, number: int, path: str, where):
+        self.number, self.path, self.where = number, path, where
+        self.writer, self.held, self.n_held = None, [], 0
+        self.files = self.stored = self.repeats = self.check = self.kept = 0
+
+    def add(self, rows: pa.RecordBatch) -> None:
+        if rows.num_rows:
+            self.held.append(rows)
+            self.n_held += rows.num_rows
+            if self.n_held >= HELD_ROWS:
+                self.flush()
+
+    def flush(self) -> None:
+        import pyarrow.parquet as pq
+
+        if self.held:
+            rows = pa.Table.from_batches(self.held)
+            if self.writer is None:
+                self.writer = pq.ParquetWriter(self.path, rows.schema, filesystem=self.where, compression="zstd")
+            self.writer.write_table(rows)
+            self.held, self.n_held = [], 0
+
+    def close(self) -> dict | None:
+        self.flush()
+        if self.writer is None:
+            return None
+        self.writer.close()
+        return {
+            "group_id": self.number, "path": self.path, "n_files": self.files, "n_records": self.stored, "n_repeats": self.repeats,
+            "n_bytes": self.where.get_file_info(self.path).size, "checksum": self.check, "stored_checksum": self.kept,
+        }
+
+
+def _wrapped(total: int, more: np.ndarray) -> int:
+    with np.errstate(over="ignore"):
+        return int(np.int64(total) + more.sum(dtype=np.int64))
+
+
 def _writer(folder: str, columns: list[str], identity: list[str]):
-    """Stream sorted rows into one file for each ``_group``; rows that repeat the one before are left out.
+    """Write the files of a shard's groups from one sorted stream, in which the sizes of its files come first.
 
-    A repeat agrees in hash and in every column of ``identity``.
+    Rows that repeat the one before, in hash and in every column of ``identity``, are left out, and so are those of
+    files marked as left out (a negative size).
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import pyarrow.parquet as pq
         from pyarrow import fs
 
         where, base = fs.FileSystem.from_uri(folder)
         attempt = TaskContext.get().taskAttemptId()
-        current = writer = path = last = None
-        stored = repeats = check = kept_check = files = 0
-
-        def wrapped(total: int, more: np.ndarray) -> int:
-            with np.errstate(over="ignore"):
-                return int(np.int64(total) + more.sum(dtype=np.int64))
-
-        def close() -> pa.RecordBatch:
-            writer.close()
-            row = {
-                "group_id": current, "path": path, "n_files": files, "n_records": stored, "n_repeats": repeats, "n_bytes": where.get_file_info(path).size,
-                "checksum": check, "stored_checksum": kept_check,
-            }
-            return pa.RecordBatch.from_pylist([row], schema=GROUPS_ARROW)
+        sizes: dict[tuple[int, int], int] = {}
+        groups: list[_Group] | None = None
+        place: dict[tuple[int, int], int] = {}
+        last = None
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            groups = batch.column("_group").to_numpy(zero_copy_only=False)
+            size = batch.column("_size")
+            heads = size.is_valid().to_numpy(zero_copy_only=False)
+            f, part = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("_f", "_part"))
+            if heads.any():
+                sizes.update(zip(zip(f[heads].tolist(), part[heads].tolist()), size.drop_null().to_pylist()))
+                batch = batch.filter(pa.array(~heads))
+                if not batch.num_rows:
+                    continue
+                f, part = f[~heads], part[~heads]
+            if groups is None:
+                shard = batch.column("_shard")[0].as_py()
+                units = sorted(u for u, n in sizes.items() if n >= 0)
+                at = longest_first(np.array([sizes[u] for u in units], dtype=np.int64), SHARD_GROUPS)
+                place = dict(zip(units, at.tolist()))
+                groups = [_Group(shard * SHARD_GROUPS + i, f"{base}/group-{shard * SHARD_GROUPS + i:08d}-{attempt}.parquet", where) for i in range(SHARD_GROUPS)]
             checks = batch.column("_check").to_numpy(zero_copy_only=False)
             marks = [batch.column(c) for c in identity]
-            table = np.stack([checks, *[f(c) for c in marks for f in (_bits, lambda c: c.is_null().to_numpy(zero_copy_only=False).astype(np.int64))]])
-            at = table[[1 + 2 * identity.index("file_id"), 2 + 2 * identity.index("file_id")]]
-            cuts = np.flatnonzero(np.diff(groups)) + 1
-            for lo, hi in zip([0, *cuts], [*cuts, batch.num_rows]):
-                if current != groups[lo]:
-                    if writer:
-                        yield close()
-                    current, last, stored, repeats, check, kept_check, files = int(groups[lo]), None, 0, 0, 0, 0, 0
-                    path = f"{base}/group-{current:08d}-{attempt}.parquet"
-                    writer = pq.ParquetWriter(path, batch.select(columns).schema, filesystem=where, compression="zstd")
-                fresh, new_file = np.ones(hi - lo, dtype=bool), np.ones(hi - lo, dtype=bool)
-                fresh[1:] = (table[:, lo + 1 : hi] != table[:, lo : hi - 1]).any(axis=0)
-                new_file[1:] = (at[:, lo + 1 : hi] != at[:, lo : hi - 1]).any(axis=0)
-                if last is not None:
-                    fresh[0] = (last[0] != table[:, lo]).any()
-                    new_file[0] = (last[1] != at[:, lo]).any()
-                last = table[:, hi - 1].copy(), at[:, hi - 1].copy()
-                writer.write_batch(batch.slice(lo, hi - lo).select(columns).filter(pa.array(fresh)))
-                stored += int(fresh.sum())
-                repeats += int((~fresh).sum())
-                files += int(new_file.sum())
-                check, kept_check = wrapped(check, checks[lo:hi]), wrapped(kept_check, checks[lo:hi][fresh])
-        if writer:
-            yield close()
+            table = np.stack([f, part, checks, *[g(c) for c in marks for g in (_bits, lambda c: c.is_null().to_numpy(zero_copy_only=False).astype(np.int64))]])
+            fresh, new_unit = np.ones(len(f), dtype=bool), np.ones(len(f), dtype=bool)
+            differ = table[:, 1:] != table[:, :-1]
+            fresh[1:], new_unit[1:] = differ.any(axis=0), differ[:2].any(axis=0)
+            if last is not None:
+                fresh[0], new_unit[0] = (last != table[:, 0]).any(), (last[:2] != table[:2, 0]).any()
+            last = table[:, -1].copy()
+            starts = np.unique(np.concatenate([[0], np.flatnonzero(new_unit)]))
+            to = np.repeat([place.get(u, -1) for u in zip(f[starts].tolist(), part[starts].tolist())], np.diff([*starts, len(f)]))
+            rows = batch.select(columns)
+            for i, group in enumerate(groups):
+                mine = to == i
+                stored = mine & fresh
+                group.add(rows.filter(pa.array(stored)))
+                group.files += int((mine & new_unit).sum())
+                group.stored += int(stored.sum())
+                group.repeats += int((mine & ~fresh).sum())
+                group.check, group.kept = _wrapped(group.check, checks[mine]), _wrapped(group.kept, checks[stored])
+        rows = [r for r in (g.close() for g in groups or []) if r]
+        yield pa.RecordBatch.from_pylist(rows, schema=GROUPS_ARROW)
 
     return run
 
@@ -221,7 +237,7 @@ def _writer(folder: str, columns: list[str], identity: list[str]):
 class Manifest:
     """What a compaction has published: ``groups`` (the files written) and ``files`` (where each input file went).
 
-    ``files``: ``file_id, n_rows, n_groups, kept_in``; a redundant file has a null ``n_rows`` and the file that holds
+    ``files``: ``file_id, n_rows, n_parts, kept_in``; a redundant file has a null ``n_rows`` and the file that holds
     its records in ``kept_in``; rows without a file id are listed under null.
     """
 
@@ -241,28 +257,43 @@ def compact(df: DataFrame, record: list[str], record_bytes: int, redundant: Data
     """Write the records of ``df`` to few files below ``out_dir`` and publish a manifest.
 
     Left out are the files in ``redundant`` (``file_id, kept_in``) and repeats of a row with the same file, slot and
-    record, of which the one that arrived first is kept. Rows without a file id are kept as if they lay in one file.
-    The manifest is renamed to ``out_dir/manifest`` only after counts and checksums of the rows agree with the input
-    and those of the files, read back, with what was written; a failed or repeated task leaves files that no manifest
-    names. The records cross the network once, each group to a task of its own.
+    record, of which the one that arrived first is kept. Rows without a file id are kept as if they lay in one file;
+    a file beyond the size of a group is cut into parts by the hash of its rows. There are as many groups as the
+    target asks for, rounded up to whole shards, and at least ``least``. The manifest is renamed to
+    ``out_dir/manifest`` only after counts and checksums of the rows agree with the input and those of the files,
+    read back, with what was written; a failed or repeated task leaves files that no manifest names.
     """
     spark = df.sparkSession
     times = [c for c in ("arrived_at", "written_at") if c in df.columns]
     columns = ["chunk_tag", "file_id", "slot", *record, *times]
     check = record_hash(["file_id", "slot"], record)
     wide = F.sum(F.col("_check").cast("decimal(20,0)"))
-    gone = redundant.select(F.col("file_id").alias("_gone"), "kept_in")
-    kept = df.join(broadcast_if_small(gone, gone.count(), NARROW_ROWS), F.col("file_id") == F.col("_gone"), "left_anti").select(*columns)
-    found = kept.select(F.col("file_id"), check.alias("_check")).groupBy(F.coalesce("file_id", F.lit(-1)).alias("file_id")).agg(F.count(F.lit(1)).alias("n"), wide.alias("check"))
-    files = scratch.save(found)
-    placed = scratch.save(assign_groups(files, record_bytes, target_bytes, least))
-    n_files, n_groups = placed.agg(F.count(F.lit(1)), F.max(F.array_max("groups"))).first()
-    to = placed.select(F.col("file_id").alias("_f"), "groups")
-    moved = kept.withColumn("_f", F.coalesce("file_id", F.lit(-1))).join(broadcast_if_small(to, n_files, NARROW_ROWS), "_f")
-    part = F.when(F.size("groups") > 1, F.pmod(check, F.size("groups"))).otherwise(F.lit(0)).cast("int")
-    moved = moved.select(*columns, F.element_at("groups", part + 1).alias("_group"))
-    moved = moved.repartitionById((n_groups or 0) + 1, "_group").withColumn("_check", check)
-    moved = moved.sortWithinPartitions("_group", "file_id", "slot", "_check", *record, *times)
+    rows = df.select(*columns, F.coalesce("file_id", F.lit(-1)).alias("_f"))
+    found = rows.select("_f", check.alias("_check")).groupBy("_f").agg(F.count(F.lit(1)).alias("n"), wide.alias("check"))
+    gone = redundant.select(F.col("file_id").alias("_f"), "kept_in")
+    files = scratch.save(found.join(gone, "_f", "left"))
+    kept = files.where("kept_in IS NULL")
+    n_files, total = kept.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    shards = -(-max(1, least, -(-total * record_bytes // target_bytes)) // SHARD_GROUPS)
+    room = max(1, -(-total * record_bytes // (shards * SHARD_GROUPS)))
+    # at most as many as there are groups: each of these files fills one and more
+    parts = F.ceil(F.col("n") * record_bytes / room).cast("int")
+    large = scratch.save(kept.where(F.col("n") * record_bytes > room).select("_f", parts.alias("_parts")))
+    n_large = large.count()
+
+    def shard(part: Column) -> Column:
+        return F.pmod(F.xxhash64("_f") + part, F.lit(shards)).cast("int")
+
+    no_part = F.lit(0)
+    sized = files.join(F.broadcast(large), "_f", "left").select("_f", "n", "kept_in", F.coalesce("_parts", F.lit(1)).alias("_parts"))
+    heads = sized.select("_f", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_part"), F.when(F.col("kept_in").isNull(), F.col("n") * record_bytes / F.col("_parts")).otherwise(-1).cast("bigint").alias("_size"))
+    if n_large:
+        rows = rows.join(F.broadcast(large), "_f", "left").withColumn("_part", F.when(F.col("_parts").isNotNull(), F.pmod(check, F.col("_parts"))).otherwise(no_part).cast("int")).drop("_parts")
+    else:
+        rows = rows.withColumn("_part", no_part)
+    both = rows.unionByName(heads, allowMissingColumns=True).drop("file_id").withColumn("_shard", shard(F.col("_part")))
+    moved = both.repartitionById(shards, "_shard").withColumn("file_id", F.when(F.col("_f") >= 0, F.col("_f"))).withColumn("_check", check)
+    moved = moved.sortWithinPartitions(F.col("_size").asc_nulls_last(), "_f", "_part", "slot", "_check", *record, *times)
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(f"{out_dir}/data")
     files_system = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -273,18 +304,15 @@ def compact(df: DataFrame, record: list[str], record_bytes: int, redundant: Data
     draft = f"{out_dir}/manifest-draft"
     moved.mapInArrow(_writer(f"{out_dir}/data", columns, ["file_id", "slot", *record]), GROUPS).write.mode("overwrite").parquet(f"{draft}/groups")
     groups = spark.read.schema(GROUPS).parquet(f"{draft}/groups")
-    whole = files.where("file_id >= 0").join(placed, "file_id").select("file_id", F.col("n").alias("n_rows"), F.size("groups").cast("bigint").alias("n_groups"), F.lit(None).cast("bigint").alias("kept_in"))
-    loose = files.where("file_id < 0").join(placed, "file_id").select(F.lit(None).cast("bigint").alias("file_id"), F.col("n").alias("n_rows"), F.size("groups").cast("bigint").alias("n_groups"), F.lit(None).cast("bigint").alias("kept_in"))
-    left_out = df.select("file_id").join(broadcast_if_small(gone, gone.count(), NARROW_ROWS), F.col("file_id") == F.col("_gone")).groupBy("file_id").agg(F.min("kept_in").alias("kept_in"))
-    left_out = left_out.select("file_id", F.lit(None).cast("bigint").alias("n_rows"), F.lit(None).cast("bigint").alias("n_groups"), "kept_in")
-    whole.unionByName(loose).unionByName(left_out).write.mode("overwrite").parquet(f"{draft}/files")
+    listed = sized.select(F.when(F.col("_f") >= 0, F.col("_f")).alias("file_id"), F.when(F.col("kept_in").isNull(), F.col("n")).alias("n_rows"), F.when(F.col("kept_in").isNull(), F.col("_parts")).cast("bigint").alias("n_parts"), "kept_in")
+    listed.write.mode("overwrite").parquet(f"{draft}/files")
     scratch.tidy()
 
-    def total(name: str) -> Column:
+    def summed(name: str) -> Column:
         return F.coalesce(F.sum(F.col(name).cast("decimal(20,0)")), F.lit(0)).cast("string")
 
-    have = groups.agg(F.coalesce(F.sum(F.col("n_records") + F.col("n_repeats")), F.lit(0)), total("checksum")).first()
-    want = files.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("check"), F.lit(0)).cast("string")).first()
+    have = groups.agg(F.coalesce(F.sum(F.col("n_records") + F.col("n_repeats")), F.lit(0)), summed("checksum")).first()
+    want = kept.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("check"), F.lit(0)).cast("string")).first()
     draft_manifest = Manifest(groups, spark.read.schema(FILES).parquet(f"{draft}/files"), out_dir)
     wrong = 0
     if n_files:
@@ -298,7 +326,7 @@ def compact(df: DataFrame, record: list[str], record_bytes: int, redundant: Data
         raise RuntimeError(f"compaction of {out_dir} is not published: {have} written, {want} expected, {wrong} files differ when read back")
     if not files_system.rename(jvm.org.apache.hadoop.fs.Path(draft), published):
         raise RuntimeError(f"{out_dir}/manifest could not be published")
-    scratch.drop(files, placed)
+    scratch.drop(files, large)
     return Manifest(spark.read.schema(GROUPS).parquet(f"{out_dir}/manifest/groups"), spark.read.schema(FILES).parquet(f"{out_dir}/manifest/files"), draft_manifest.path)
 
 

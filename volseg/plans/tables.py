@@ -153,7 +153,7 @@ _P3_KEPT = f"""gone AS ({P3_FOUND_SQL}),
 
 P3_COMPACTED_SQL = f"""
 WITH {_P3_KEPT}, t AS (SELECT family, count(*) AS n, count(DISTINCT file_id) AS f, any_value(CASE family WHEN 'residual_rg' THEN 32 ELSE 16 END) AS w FROM r GROUP BY family)
-SELECT family, CAST(greatest(16, ceil(n * w / 134217728.0)) AS BIGINT) AS n_outputs, n AS n_records FROM t"""
+SELECT family, CAST(greatest(32, ceil(ceil(n * w / 134217728.0) / 4) * 4) AS BIGINT) AS n_outputs, n AS n_records FROM t"""
 
 P3_RECORDS_SQL = f"""
 WITH {_P3_KEPT} SELECT family, chunk_tag, file_id, CAST(slot AS BIGINT) AS slot, a, b,
