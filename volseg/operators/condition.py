@@ -1,11 +1,13 @@
 """Affinities made ready: scaling, shifts, masks, erosion, noise.
 
 A voxel row holds the affinities of its three edges to the voxel before it on each axis. A voxel that is absent
-counts as zero. Neighbours are met by equi joins on shifted coordinates.
+counts as zero. Neighbours are met within blocks that see the voxels beside them.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -33,22 +35,27 @@ def sigmoid_restore(c: Column, scale: float, eps: float = 1e-6) -> Column:
     return 1 / (1 + F.exp(-F.ln(p / (1 - p)) / scale))
 
 
-def shifted(df: DataFrame, axis: int, columns: list[str], prefix: str) -> DataFrame:
-    """``KEY`` and the columns of the voxel before on an axis."""
-    a = AXES[axis]
-    return df.select(*[(F.col(c) + 1).alias(c) if c == a else F.col(c) for c in KEY], *[F.col(c).alias(prefix + c) for c in columns])
+_ROW = "x int, y int, z int, ax double, ay double, az double"
+
+
+def _with_before(df: DataFrame, columns: list[str], chunk: tuple[int, int, int], edit: Callable[[Block], list[np.ndarray]], label: str | None = None) -> DataFrame:
+    """``x, y, z`` with the affinities that ``edit`` makes of a block and the voxels before it, and ``label`` as it is."""
+    kind = f", {label} {df.schema[label].dataType.simpleString()}" if label else ""
+
+    def run(block: Block) -> dict:
+        at = np.nonzero(block.there[block.inner])
+        out = {**block.coordinates(at), **dict(zip(AFFINITIES, (a[at] for a in edit(block))))}
+        return {**out, label: block.array(label)[block.inner][at]} if label else out
 
+    return per_block(df, chunk, columns, run, _ROW + kind, after=False)
 
-def shift_channels(df: DataFrame) -> DataFrame:
+
+def shift_channels(df: DataFrame, chunk: tuple[int, int, int] = CHUNK) -> DataFrame:
     """Edges kept at their first voxel, with channels in reverse order, become edges at their second voxel.
 
     ``dst[c, v] = clip(src[reversed c, v - 1])``; where a voxel has no predecessor the edge is 0.
     """
-    out = df.select(*KEY)
-    for i, a in enumerate(AFFINITIES):
-        src = AFFINITIES[2 - i]
-        out = out.join(shifted(df, i, [src], "_").withColumnRenamed(f"_{src}", f"_{i}"), KEY, "left")
-    return out.select(*KEY, *[clip(F.coalesce(f"_{i}", F.lit(0.0))).alias(a) for i, a in enumerate(AFFINITIES)])
+    return _with_before(df, AFFINITIES, chunk, lambda b: [np.clip(b.array(AFFINITIES[2 - i])[b.shifted(i, -1)], 0.0, 1.0) for i in range(3)])
 
 
 def keep_mask(df: DataFrame, mask: DataFrame) -> DataFrame:
@@ -58,23 +65,26 @@ def keep_mask(df: DataFrame, mask: DataFrame) -> DataFrame:
     return rows.select(*[F.when(kept, F.col(c)).otherwise(0.0).alias(c) if c in AFFINITIES else F.col(c) for c in df.columns])
 
 
-def myelin_mask(df: DataFrame, myelin: str, threshold: float) -> DataFrame:
-    """An edge is zero if either of its voxels has at least ``threshold`` of ``myelin``."""
-    rows = df
-    for i in range(3):
-        rows = rows.join(shifted(df, i, [myelin], f"_{i}"), KEY, "left")
-    high = F.col(myelin) >= threshold
-    out = {a: F.when(high | F.coalesce(F.col(f"_{i}{myelin}") >= threshold, F.lit(False)), 0.0).otherwise(F.col(a)) for i, a in enumerate(AFFINITIES)}
-    return rows.select(*[out[c].alias(c) if c in out else F.col(c) for c in df.columns])
+def myelin_mask(df: DataFrame, myelin: str, threshold: float, chunk: tuple[int, int, int] = CHUNK) -> DataFrame:
+    """``x, y, z``, the affinities and ``myelin``: an edge is zero if either of its voxels has at least ``threshold`` of it."""
+    def edit(b: Block) -> list[np.ndarray]:
+        high = (b.array(myelin) >= threshold) & b.there
+        return [np.where(high[b.inner] | high[b.shifted(i, -1)], 0.0, b.array(a)[b.inner]) for i, a in enumerate(AFFINITIES)]
 
+    return _with_before(df, [*AFFINITIES, myelin], chunk, edit, myelin)
 
-def semantic_mask(df: DataFrame, label: str) -> DataFrame:
-    """An edge is zero if its voxels have different labels and neither is 0."""
-    rows = df
-    for i in range(3):
-        rows = rows.join(shifted(df, i, [label], f"_{i}"), KEY, "left")
-    out = {a: F.when((F.col(label) != 0) & (F.col(f"_{i}{label}") != 0) & (F.col(label) != F.col(f"_{i}{label}")), 0.0).otherwise(F.col(a)) for i, a in enumerate(AFFINITIES)}
-    return rows.select(*[out[c].alias(c) if c in out else F.col(c) for c in df.columns])
+
+def semantic_mask(df: DataFrame, label: str, chunk: tuple[int, int, int] = CHUNK) -> DataFrame:
+    """``x, y, z``, the affinities and ``label``: an edge is zero if its voxels have different labels and neither is 0."""
+    def edit(b: Block) -> list[np.ndarray]:
+        codes = b.array(label)
+        here, out = codes[b.inner], []
+        for i, a in enumerate(AFFINITIES):
+            before = codes[b.shifted(i, -1)]
+            out.append(np.where((here != 0) & (before != 0) & (here != before), 0.0, b.array(a)[b.inner]))
+        return out
+
+    return _with_before(df, [*AFFINITIES, label], chunk, edit, label)
 
 
 def single_channel(df: DataFrame, value: str, extent: tuple[int, int, int]) -> DataFrame:

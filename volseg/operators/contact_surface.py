@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,15 +33,13 @@ def patches(voxels: DataFrame) -> DataFrame:
     keyed = voxels.withColumn("_pair", F.xxhash64("s1", "s2"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for _, part in pdf.groupby(["s1", "s2"], sort=False):
-            coords = list(zip(part["x"].tolist(), part["y"].tolist(), part["z"].tolist()))
-            label = kernels.coordinate_components(coords)
-            code = pd.Series([(x << 42) + (y << 21) + z for x, y, z in coords])
-            out.append(part.assign(patch=code.groupby(label).transform("min").to_numpy()))
-        if not out:
-            return pd.DataFrame(columns=["s1", "s2", "x", "y", "z", "axes", "patch"])
-        return pd.concat(out)[["s1", "s2", "x", "y", "z", "axes", "patch"]]
+        group = pdf.groupby(["s1", "s2"], sort=False).ngroup().to_numpy()
+        xyz = pdf[["x", "y", "z"]].to_numpy(dtype=np.int64)
+        root = kernels.touching_groups(xyz, group)
+        code = (xyz[:, 0] << 42) + (xyz[:, 1] << 21) + xyz[:, 2]
+        least = np.full(len(code), np.iinfo(np.int64).max)
+        np.minimum.at(least, root, code)
+        return pdf.assign(patch=least[root])[["s1", "s2", "x", "y", "z", "axes", "patch"]]
 
     return per_component(keyed, "_pair", run, "s1 bigint, s2 bigint, x int, y int, z int, axes int, patch bigint")
 

@@ -12,28 +12,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from volseg.operators.kernels import stars
 from volseg.storage import Scratch
 
 #: Edges that a task folds into its stars at a time, and rows for which a kernel is called at once.
 FOLD_ROWS, CALL_ROWS = 1 << 20, 50_000
 
 
-def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct ids of the edges and the least id of each one's component."""
-    ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
-    u, v = at[: len(a)], at[len(a) :]
-    up = np.arange(len(ids))
-    while True:
-        x, y = up[u], up[v]
-        apart = x != y
-        if not apart.any():
-            return ids, ids[up]
-        u, v, x, y = u[apart], v[apart], x[apart], y[apart]
-        np.minimum.at(up, np.maximum(x, y), np.minimum(x, y))
-        while not np.array_equal(nxt := up[up], up):
-            up = nxt
-
-
 def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The edges of one partition as stars: each id with the least one it is linked to within the partition."""
     a = b = np.array([], dtype=np.int64)

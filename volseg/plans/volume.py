@@ -193,7 +193,7 @@ def aff_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
 LEFT JOIN voxel p ON p.x = a.x - 1 AND p.y = a.y AND p.z = a.z LEFT JOIN voxel q ON q.x = a.x AND q.y = a.y - 1 AND q.z = a.z LEFT JOIN voxel r ON r.x = a.x AND r.y = a.y AND r.z = a.z - 1""")
 def aff_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges kept at the first voxel, in reverse channel order, moved to the second."""
-    return condition.shift_channels(voxels(spark, sf_dir))
+    return condition.shift_channels(voxels(spark, sf_dir), CHUNK)
 
 
 @query(f"{V} SELECT x, y, z, round(1 / (1 + exp(-ln(least(greatest(ax, 1e-6), 1 - 1e-6) / (1 - least(greatest(ax, 1e-6), 1 - 1e-6))) / 0.5)), 9) AS v FROM voxel")
@@ -215,14 +215,14 @@ CASE WHEN a.nuc >= 5 OR coalesce(r.nuc >= 5, false) THEN 0 ELSE a.az END AS az F
 LEFT JOIN voxel p ON p.x = a.x - 1 AND p.y = a.y AND p.z = a.z LEFT JOIN voxel q ON q.x = a.x AND q.y = a.y - 1 AND q.z = a.z LEFT JOIN voxel r ON r.x = a.x AND r.y = a.y AND r.z = a.z - 1""")
 def aff_myelin(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges at or behind a myelin voxel zeroed."""
-    return condition.myelin_mask(voxels(spark, sf_dir).select("x", "y", "z", "ax", "ay", "az", "nuc"), "nuc", 5).drop("nuc")
+    return condition.myelin_mask(voxels(spark, sf_dir).select("x", "y", "z", "ax", "ay", "az", "nuc"), "nuc", 5, CHUNK).drop("nuc")
 
 
 @query(f"""{V} SELECT a.x, a.y, a.z, CASE WHEN a.sem <> p.sem THEN 0 ELSE a.ax END AS ax, CASE WHEN a.sem <> q.sem THEN 0 ELSE a.ay END AS ay, CASE WHEN a.sem <> r.sem THEN 0 ELSE a.az END AS az FROM voxel a
 LEFT JOIN voxel p ON p.x = a.x - 1 AND p.y = a.y AND p.z = a.z LEFT JOIN voxel q ON q.x = a.x AND q.y = a.y - 1 AND q.z = a.z LEFT JOIN voxel r ON r.x = a.x AND r.y = a.y AND r.z = a.z - 1""")
 def aff_semantic_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges between different semantic labels zeroed."""
-    return condition.semantic_mask(voxels(spark, sf_dir).select("x", "y", "z", "ax", "ay", "az", "sem"), "sem").drop("sem")
+    return condition.semantic_mask(voxels(spark, sf_dir).select("x", "y", "z", "ax", "ay", "az", "sem"), "sem", CHUNK).drop("sem")
 
 
 @query(f"""{V} SELECT a.x, a.y, a.z, least(a.ax, coalesce(p.ax, 0)) AS ax, least(a.ax, coalesce(q.ax, 0)) AS ay, least(a.ax, coalesce(r.ax, 0)) AS az FROM voxel a
