@@ -24,8 +24,8 @@ def parts(rows):
     return {frozenset(g) for s, g in groups.items() if s}, groups.get(0, set())
 
 
-@pytest.mark.parametrize("high", [2.0, 0.8])
-def test_stitched_blocks_are_the_whole(spark, high):
+@pytest.mark.parametrize("high,most", [(2.0, 10_000), (0.8, 120)])
+def test_stitched_blocks_are_the_whole(spark, high, most):
     shape, chunk, low = (11, 9, 8), (4, 5, 4), 0.3
     v = volume(spark, shape, 4)
     scratch = Scratch(spark, "t")
@@ -34,7 +34,7 @@ def test_stitched_blocks_are_the_whole(spark, high):
     graph = rag.scored(rag.contacts(watershed.inside(labels, chunk), chunk=chunk), "max")
     sizes = watershed.sizes_and_border(labels, shape, shape)
     p = replace(Watershed(), high=high, low=low, size=0, dust=0)
-    level = watershed.stitch(watershed.face_planes(labels, chunk, "bits"), graph, sizes, p, scratch, most=40)
+    level = watershed.stitch(watershed.face_planes(labels, chunk, "bits"), graph, sizes, p, scratch, most=most)
     new = {r.old: r.new for r in level.remap.collect()}
     got = [r.asDict() | {"sid": new.get(r.sid, 0)} for r in labels.collect()]
     one = {(r.x, r.y, r.z): r.sid for r in whole}
