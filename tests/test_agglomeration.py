@@ -32,7 +32,7 @@ def random_edges(seed, n=260, ids=150):
     return [(a, b, s, k) for (a, b), (s, k) in edges.items()]
 
 
-@pytest.mark.parametrize("most", [A.MOST_EDGES, 25])
+@pytest.mark.parametrize("most", [A.MOST_EDGES, 60])
 def test_components_and_stages_agree_with_one_queue(spark, most):
     rows = random_edges(12)
     df = spark.createDataFrame(rows, "s1 bigint, s2 bigint, sum_aff double, area bigint")
@@ -42,7 +42,7 @@ def test_components_and_stages_agree_with_one_queue(spark, most):
     assert abs(sum(e.sum_aff for e in events if e.kind == "final") - sum(w[2] for w in alone["final"])) < 1e-9
 
 
-@pytest.mark.parametrize("most", [A.MOST_EDGES, 20])
+@pytest.mark.parametrize("most", [A.MOST_EDGES, 80])
 def test_vetoes_hold_in_stages(spark, most):
     r = random.Random(5)
     rows = random_edges(7, 300, 120)

@@ -44,7 +44,7 @@ def test_stitched_blocks_are_the_whole(spark, high, most):
     assert level.edges.count() == 0  # nothing goes on beyond the volume
 
 
-@pytest.mark.parametrize("most", [watershed.MOST_EDGES, 15])
+@pytest.mark.parametrize("most", [watershed.MOST_EDGES, 50])
 def test_small_basins_as_in_one_pass(spark, most):
     r = random.Random(3)
     ids = range(1, 90)

@@ -58,8 +58,21 @@ def shift_channels(df: DataFrame, chunk: tuple[int, int, int] = CHUNK) -> DataFr
     return _with_before(df, AFFINITIES, chunk, lambda b: [np.clip(b.array(AFFINITIES[2 - i])[b.shifted(i, -1)], 0.0, 1.0) for i in range(3)])
 
 
-def keep_mask(df: DataFrame, mask: DataFrame) -> DataFrame:
-    """All affinities zero where ``mask`` (``x, y, z, keep``) has 0; voxels that it does not name are kept."""
+def checked_extent(df: DataFrame, extent: tuple[int, int, int], what: str) -> DataFrame:
+    """The rows, each checked to lie within 0..extent; one outside is an error when it is read."""
+    outside = F.lit(False)
+    for c, e in zip(KEY, extent):
+        outside = outside | (F.col(c) < 0) | (F.col(c) >= e)
+    x = F.when(outside, F.raise_error(F.lit(f"{what} is larger than the volume")).cast("int")).otherwise(F.col("x"))
+    return df.select(*[x.alias(c) if c == "x" else F.col(c) for c in df.columns])
+
+
+def keep_mask(df: DataFrame, mask: DataFrame, extent: tuple[int, int, int] | None = None) -> DataFrame:
+    """All affinities zero where ``mask`` (``x, y, z, keep``) has 0; voxels that it does not name are kept.
+
+    With ``extent`` a mask that reaches beyond the volume is an error.
+    """
+    mask = mask if extent is None else checked_extent(mask, extent, "the mask")
     rows = df.join(mask.select(*KEY, F.col("keep").alias("_keep")), KEY, "left")
     kept = F.coalesce("_keep", F.lit(1)) != 0
     return rows.select(*[F.when(kept, F.col(c)).otherwise(0.0).alias(c) if c in AFFINITIES else F.col(c) for c in df.columns])

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from volseg.config import Agglomeration, Watershed
-from volseg.operators import agglomeration, contact_surface, graph, nucleus, rag, remap, watershed
+from volseg.operators import agglomeration, contact_surface, features, graph, nucleus, rag, remap, watershed
 from volseg.plans.fixtures import CHUNK, NZ, extent, saved, side_by_side, voxels
 from volseg.plans.volume import _BITS_SQL as BITS_SQL
 from volseg.plans.volume import C, V, contacts, grid_of, nuclei, regions
@@ -115,6 +115,17 @@ def _frozen(spark: SparkSession, sf_dir: str) -> DataFrame:
     return voxels(spark, sf_dir).where("x = 0 AND sid <> 0").select("sid").distinct()
 
 
+@query(f"""{C}, ends AS (SELECT s1 AS sid FROM rag UNION SELECT s2 FROM rag)
+SELECT sid, count(DISTINCT (x // 16, y // 16, z // 8)) AS supervoxels, count(*) AS size, bool_or(x = 0) AS frozen, count(*) FILTER (WHERE sem = 3) AS n0, count(*) FILTER (WHERE sem = 2) AS n1, count(*) FILTER (WHERE sem IN (4, 5)) AS n2
+FROM voxel JOIN ends USING (sid) GROUP BY sid""")
+def agg_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What agglomeration knows of every segment that touches another; the sizes come in two parts, which add up."""
+    v = voxels(spark, sf_dir).where("sid <> 0")
+    sizes = v.groupBy("sid", F.col("z") % 2).agg(F.count(F.lit(1)).alias("size"))
+    nodes = agglomeration.nodes_of(regions(spark, sf_dir), sizes, features.supervoxel_counts(v, CHUNK), features.semantics(v), None, _frozen(spark, sf_dir))
+    return nodes.select("sid", "supervoxels", "size", "frozen", "n0", "n1", "n2")
+
+
 def _frozen_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     def make() -> DataFrame:
         e = regions(spark, sf_dir)
@@ -563,6 +574,12 @@ def flood_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nucleus.ledger(_flooded(spark, sf_dir))
 
 
+@query(f"{_UNITS_SQL} SELECT DISTINCT sid, nuc AS owner, 1152921504606846976 + CAST('0x' || substr(sha256('nucleus-owner:' || nuc), 1, 14) AS BIGINT) AS minted FROM groups WHERE members >= 2")
+def ledger_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Owners that every retired segment goes to, with their ids: all nuclei of its units."""
+    return nucleus.ledger(_flooded(spark, sf_dir)).select("sid", "owner", "minted")
+
+
 @query()
 def overlay_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The volume with territories in place of the retired segments, and the tags of their owners."""

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from volseg.operators import condition, evaluate, features, grid, rag, remap, watershed
-from volseg.plans.fixtures import CHUNK, CONTACTS_SQL, EXT_SQL, NZ, VOXELS_SQL, extent, saved, voxels
-from volseg.storage import table
+from volseg.plans.fixtures import CHUNK, CONTACTS_SQL, EXT_SQL, NZ, VOXELS_SQL, extent, saved, side_by_side, voxels
+from volseg.storage import Scratch, table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -207,7 +207,7 @@ def aff_keep_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Affinities outside a keep mask zeroed; the mask covers a part of the volume."""
     v = voxels(spark, sf_dir)
     mask = v.where("nuc < 5").select("x", "y", "z", F.when(F.col("nuc") != 3, 1).otherwise(0).alias("keep"))
-    return condition.keep_mask(v.select("x", "y", "z", "ax", "ay", "az"), mask)
+    return condition.keep_mask(v.select("x", "y", "z", "ax", "ay", "az"), mask, extent(spark, sf_dir))
 
 
 @query(f"""{V} SELECT a.x, a.y, a.z, CASE WHEN a.nuc >= 5 OR coalesce(p.nuc >= 5, false) THEN 0 ELSE a.ax END AS ax, CASE WHEN a.nuc >= 5 OR coalesce(q.nuc >= 5, false) THEN 0 ELSE a.ay END AS ay,
@@ -369,6 +369,28 @@ def border_mark(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.where("sid <> 0").select("sid").distinct().join(at, F.col("sid") == F.col("_f"), "left").select("sid", F.col("_f").isNotNull().alias("at_face"))
 
 
+@query(f"{_FACES_SQL}, {REMAP_SQL} SELECT axis, x, y, z, coalesce(a.new, sid_o) AS sid_o, coalesce(b.new, sid_i) AS sid_i, aff FROM f LEFT JOIN remap a ON a.old = sid_o LEFT JOIN remap b ON b.old = sid_i")
+def border_update(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Face planes under the ids of a stitched level."""
+    return rag.remap_ids(watershed.face_planes(voxels(spark, sf_dir), CHUNK), block_remap(spark, sf_dir), "sid_o", "sid_i")
+
+
+@query(f"{V} SELECT count(DISTINCT sid) AS n_ids, count(*) AS n_voxels, CAST(0 AS BIGINT) AS n_large_gone, CAST(0 AS BIGINT) AS n_bad_edges FROM voxel WHERE sid <> 0")
+def ws_merge_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The segments merged by size: ids and voxels carried over, segments at the border or no smaller than dust that are
+    gone, and edges that end in dust or join one segment with itself (none)."""
+    v, scratch = voxels(spark, sf_dir), Scratch(spark, "mk")
+    sizes = scratch.save(watershed.sizes_and_border(v, CHUNK, extent(spark, sf_dir)).where("sid <> 0"))
+    out = scratch.save(watershed.merge_segments(rag.scored(contacts(spark, sf_dir), "mean"), sizes, 60, 25, 0.5, scratch))
+    rows = out.where("kind = 'remap'").join(sizes, F.col("a") == F.col("sid"))
+    left = rows.where("b <> 0").select("b").distinct()
+    ends = out.where("kind = 'edge'").join(left.select(F.col("b").alias("a"), F.lit(1).alias("e1")), "a", "left").join(left.select("b", F.lit(1).alias("e2")), "b", "left")
+    return side_by_side(
+        rows.agg(F.count(F.lit(1)).alias("n_ids"), F.sum("size").alias("n_voxels")), rows.agg(F.count_if((F.col("b") == 0) & (F.col("on_border") | (F.col("size") >= 25))).alias("n_large_gone")),
+        ends.agg(F.count_if(F.col("e1").isNull() | F.col("e2").isNull() | (F.col("a") == F.col("b"))).alias("n_bad_edges")),
+    )
+
+
 @query(f"{V} SELECT x, y, z, CASE WHEN sid <> 0 THEN sid + 67108864 ELSE 0 END AS sid FROM voxel")
 def ws_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids moved by a block's offset."""
@@ -627,7 +649,6 @@ def reduce_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 def slices_by_chunk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges written by chunk and read back, counted for every chunk."""
     from volseg.sources.tables import write_by_chunk
-    from volseg.storage import Scratch
 
     path = Scratch(spark, "slices").path()
     write_by_chunk(table(spark, sf_dir, "residual_rg").select("chunk_tag", "s1", "s2", "area"), path)
@@ -652,5 +673,6 @@ def ws_border_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{V} SELECT x, y, z, nuc FROM voxel")
 def nuc_checked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nucleus tags, each checked to be an unsigned 32-bit number."""
-    return voxels(spark, sf_dir).select("x", "y", "z", condition.checked_range(F.col("nuc"), 0, (1 << 32) - 1, "nucleus id").alias("nuc"))
+    """Nucleus tags, each checked to lie in the volume and to be an unsigned 32-bit number."""
+    v = condition.checked_extent(voxels(spark, sf_dir).select("x", "y", "z", "nuc"), extent(spark, sf_dir), "the nucleus volume")
+    return v.select("x", "y", "z", condition.checked_range(F.col("nuc"), 0, (1 << 32) - 1, "nucleus id").alias("nuc"))
