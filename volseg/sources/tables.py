@@ -10,6 +10,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
+from volseg.schema import ID_LIMIT
+
 #: Record layouts, packed without padding.
 LAYOUTS: dict[str, list[tuple[str, str]]] = {
     "residual_rg": [("s1", "<u8"), ("s2", "<u8"), ("aff", "<f8"), ("area", "<u8")],
@@ -34,7 +36,7 @@ def decode(data: bytes, layout: str) -> pd.DataFrame:
     for name, form in LAYOUTS[layout]:
         col = rows[name]
         if form == "<u8":
-            if col.size and int(col.max()) >= 1 << 63:
+            if col.size and int(col.max()) >= ID_LIMIT:
                 raise ValueError(f"{name} holds a number beyond 2^63 - 1")
             col = col.astype(np.int64)
         elif form != "<f8":
