@@ -70,3 +70,32 @@ def test_kernels_see_whole_components(spark, monkeypatch):
 
     got = {r.cc: (r.n, r.top) for r in G.per_component(df, "cc", count, "cc bigint, n bigint, top bigint").collect()}
     assert got[99] == (1, (1 << 60) + 1) and got[29][0] == 30 and len(got) == 41
+
+
+def test_ranges_of_ids_tied_together(spark, monkeypatch):
+    monkeypatch.setattr(G, "FOLD_ROWS", 60)
+    edges = graph(6)
+    df = spark.createDataFrame([*edges, (None, 5), (5, None), (None, None)], "s1 bigint, s2 bigint").repartition(7)
+    assert {r.id: r.cc for r in G.component_labels(df, Scratch(spark, "t")).collect()} == {5: 5} | brute(edges)
+
+
+def test_a_graph_of_one_partition_takes_one_round(spark):
+    r = random.Random(5)
+    ids = r.sample(range(1, 9000), 600)
+    df = spark.createDataFrame(list(zip(ids, ids[1:])), "s1 bigint, s2 bigint").repartition(6)
+    scratch = Scratch(spark, "t")
+    assert {x.cc for x in G.component_labels(df, scratch).collect()} == {min(ids)} and scratch.count <= 2
+    scored = df.selectExpr("CAST(s1 % 7 AS DOUBLE) AS score", "s1", "s2")
+    scratch = Scratch(spark, "t")
+    assert G.spanning_forest(scored, scratch).count() == 599 and scratch.count <= 2
+
+
+def test_forest_of_several_partitions(spark, monkeypatch):
+    monkeypatch.setattr(G, "FOLD_ROWS", 90)
+    r = random.Random(2)
+    edges = {tuple(sorted(r.sample(range(1, 120), 2))): r.choice([0.25, -0.5, float("inf"), r.random()]) for _ in range(500)}
+    df = spark.createDataFrame([(w, b, a) for (a, b), w in edges.items()], "score double, s1 bigint, s2 bigint")
+    want = {(a, b, w) for w, a, b in K.spanning_forest([(w, a, b) for (a, b), w in edges.items()])}
+    assert {(x.s1, x.s2, x.score) for x in G.spanning_forest(df, Scratch(spark, "t")).collect()} == want
+    odd = spark.createDataFrame([(None, 1, 2), (float("nan"), 1, 3), (1.0, 2, 3), (None, 3, 4)], "score double, s1 bigint, s2 bigint")
+    assert sorted((x.s1, x.s2) for x in G.spanning_forest(odd, Scratch(spark, "t")).collect()) == [(1, 3), (2, 3), (3, 4)]

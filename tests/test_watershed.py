@@ -61,3 +61,17 @@ def test_small_basins_as_in_one_pass(spark, most):
     compact = watershed.compact_segments(out, scratch).collect()
     assert sorted({x.b for x in compact if x.kind == "remap"} - {0}) == list(range(1, len(set(new.values()) - {0}) + 1))
     assert watershed.merge_segments(graph.limit(0), sizes.limit(0), 30, 12, 0.2, scratch).collect() == []
+
+
+def test_only_draining_edges_are_put_in_order(spark):
+    r = random.Random(7)
+    edges = {tuple(sorted(r.sample(range(1, 40), 2))): r.choice([0.5, 0.75, 0.9, r.random()]) for _ in range(150)}
+    rows = sorted([(w, a, b) for (a, b), w in edges.items()], key=lambda e: (-e[0], e[1], e[2]))
+    nodes = {i: [1, False, r.choice([0.5, 0.75, max((w for w, *e in rows if i in e), default=-1.0)])] for i in range(1, 40)}
+    df = spark.createDataFrame(rows, "score double, s1 bigint, s2 bigint")
+    known = spark.createDataFrame([(i, v[2]) for i, v in nodes.items()], "sid bigint, descent double")
+    left = {(x.score, x.s1, x.s2) for x in watershed._draining(df, known, 0.9).collect()}
+    assert len(left) < len(rows)
+    copies = [{i: list(v) for i, v in nodes.items()} for _ in range(2)]
+    some = kernels.join_descents([e for e in rows if e in left], copies[0], 0.9)
+    assert some == kernels.join_descents(rows, copies[1], 0.9) and copies[0] == copies[1]
