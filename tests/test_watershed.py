@@ -75,3 +75,26 @@ def test_only_draining_edges_are_put_in_order(spark):
     copies = [{i: list(v) for i, v in nodes.items()} for _ in range(2)]
     some = kernels.join_descents([e for e in rows if e in left], copies[0], 0.9)
     assert some == kernels.join_descents(rows, copies[1], 0.9) and copies[0] == copies[1]
+
+
+def test_blocks_beyond_ten_bits_have_ids_of_their_own(spark):
+    places = [(0, 0, 4 * 1025), (0, 5, 4), (0, 5, 4 * 1025), (4 * 1024, 0, 4), (4, 0, 4), (0, 5 * 1024, 4 * 5000)]
+    rows = [(x, y, z + k, 0.0, 0.0, 0.5) for x, y, z in places for k in (0, 1)]
+    got = watershed.basins(spark.createDataFrame(rows, "x int, y int, z int, ax double, ay double, az double"), (4, 5, 4), 0.1, 0.9).collect()
+    ids = {(r.x, r.y, r.z // 4): r.sid for r in got if r.sid}
+    assert len(ids) == len(set(ids.values())) == len(places) and min(ids.values()) > 0
+    assert ids[0, 5, 1] == (1 << 36 | 1 << 26) + 1
+    with pytest.raises(ValueError):
+        watershed._first_id(4096, 0, 0)
+
+
+def test_stages_begin_with_what_a_task_may_hold(spark):
+    # a chain whose components need not be looked for at falling halves of the edges
+    r = random.Random(11)
+    rows = [(r.random(), i, i + 1) for i in range(1, 800)]
+    scratch = Scratch(spark, "t")
+    sizes = {i: r.randint(1, 9) for i in range(1, 801)}
+    new, forest, _ = kernels.merge_small(rows, sizes, dict.fromkeys(sizes, False), 30, 12, 0.0)
+    known = spark.createDataFrame([(i, n, False) for i, n in sizes.items()], "sid bigint, size bigint, on_border boolean")
+    out = watershed.merge_segments(spark.createDataFrame(rows, "score double, s1 bigint, s2 bigint"), known, 30, 12, 0.0, scratch, most=100).collect()
+    assert {x.a: x.b for x in out if x.kind == "remap"} == new and scratch.count < 60

@@ -12,7 +12,7 @@ from volseg.operators import kernels
 from volseg.operators.blocks import CHUNK, Block, per_block
 from volseg.operators.condition import AFFINITIES, AXES, KEY
 from volseg.operators.graph import component_labels, in_order, relabel, spanning_forest
-from volseg.operators.grid import IDS_PER_CHUNK
+from volseg.operators.grid import COORD_LIMIT, IDS_PER_CHUNK
 from volseg.storage import Scratch
 
 #: Edges of a component that one task may hold; wider components are taken in stages.
@@ -62,6 +62,14 @@ def halo_bits(voxels: DataFrame, extent: tuple[int, int, int], high: float) -> D
     return out
 
 
+def _first_id(cx: int, cy: int, cz: int) -> int:
+    """What a block's ids count from: its coordinates as in packed ids, and what they have beyond ten bits above those,
+    where packed ids have the layer: two bits of x and y, three of z."""
+    if max(cx, cy) >= 4 * COORD_LIMIT or cz >= 8 * COORD_LIMIT:
+        raise ValueError(f"block {cx}, {cy}, {cz} is out of range")
+    return cx // COORD_LIMIT << 61 | cy // COORD_LIMIT << 59 | cz // COORD_LIMIT << 56 | cx % COORD_LIMIT << 46 | cy % COORD_LIMIT << 36 | cz % COORD_LIMIT << 26
+
+
 def basins(voxels: DataFrame, chunk: tuple[int, int, int], low: float, high: float) -> DataFrame:
     """``x, y, z, sid, bits``: basins of every block with ids that name their block, and the direction bits.
 
@@ -84,9 +92,9 @@ def basins(voxels: DataFrame, chunk: tuple[int, int, int], low: float, high: flo
             bits[last] = np.where(there[last] & strong[last], kernels.BITS[i], 0)
         label = kernels.basins(bits, halo=True)
         at = np.nonzero(there[block.inner])
-        cx, cy, cz = (o // n for o, n in zip(block.low, block.size))
+        base = _first_id(*(o // n for o, n in zip(block.low, block.size)))
         found = label[at]
-        return {**block.coordinates(at), "sid": np.where(found > 0, found + ((cx << 46) | (cy << 36) | (cz << 26)), 0), "bits": bits[block.inner][at].astype(np.int32)}
+        return {**block.coordinates(at), "sid": np.where(found > 0, found + base, 0), "bits": bits[block.inner][at].astype(np.int32)}
 
     return per_block(voxels, chunk, AFFINITIES, run, "x int, y int, z int, sid bigint, bits int")
 

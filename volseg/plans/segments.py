@@ -264,7 +264,7 @@ def ws_basins(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _basin_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     labels = voxels(spark, sf_dir).drop("sid").join(_basins(spark, sf_dir).drop("bits"), ["x", "y", "z"])
     g = saved(spark, sf_dir, "basin-graph", lambda: rag.scored(rag.contacts(labels, chunk=CHUNK), "max"))
-    return g, saved(spark, sf_dir, "basin-sizes", lambda: watershed.sizes_and_border(labels, CHUNK, extent(spark, sf_dir)))
+    return g, saved(spark, sf_dir, "basin-sizes", lambda: watershed.sizes_and_border(_basins(spark, sf_dir), CHUNK, extent(spark, sf_dir)))
 
 
 @query()
