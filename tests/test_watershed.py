@@ -1,4 +1,5 @@
 import random
+import threading
 from dataclasses import replace
 
 import numpy as np
@@ -98,3 +99,18 @@ def test_stages_begin_with_what_a_task_may_hold(spark):
     known = spark.createDataFrame([(i, n, False) for i, n in sizes.items()], "sid bigint, size bigint, on_border boolean")
     out = watershed.merge_segments(spark.createDataFrame(rows, "score double, s1 bigint, s2 bigint"), known, 30, 12, 0.0, scratch, most=100).collect()
     assert {x.a: x.b for x in out if x.kind == "remap"} == new and scratch.count < 60
+
+
+def test_settings_run_side_by_side(spark, monkeypatch):
+    graph = spark.createDataFrame([(0.9, 1, 2), (0.6, 2, 3), (0.4, 3, 4)], "score double, s1 bigint, s2 bigint")
+    sizes = spark.createDataFrame([(i, 5, False) for i in range(1, 5)], "sid bigint, size bigint, on_border boolean")
+    settings, met, one = [(10, 2, 0.5), (20, 3, 0.3)], threading.Barrier(2, timeout=30), watershed.merge_segments
+    want = {(i, r.kind, r.a, r.b, r.score) for i, t in enumerate(settings) for r in one(graph, sizes, *t, Scratch(spark, "t")).collect()}
+
+    def waits(*args):
+        met.wait()
+        return one(*args)
+
+    monkeypatch.setattr(watershed, "merge_segments", waits)
+    got = watershed.merge_segments_at(graph, sizes, settings, Scratch(spark, "t")).collect()
+    assert {(r.setting, r.kind, r.a, r.b, r.score) for r in got} == want and len(got) == len(want)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -17,6 +19,8 @@ from volseg.storage import Scratch
 
 #: Edges of a component that one task may hold; wider components are taken in stages.
 MOST_EDGES = 1_000_000
+#: Settings that are worked on at a time.
+SIDE_BY_SIDE = 3
 
 
 def _bits(block: Block, low: float, high: float) -> np.ndarray:
@@ -255,12 +259,17 @@ def compact_segments(merged: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def merge_segments_at(graph: DataFrame, sizes: DataFrame, thresholds: list[tuple[int, int, float]], scratch: Scratch) -> DataFrame:
-    """:func:`merge_segments` for several (limit, dust, above), each from the same basins, with ``setting`` 0, 1, ..."""
-    out = None
-    for i, (limit, dust, above) in enumerate(thresholds):
-        part = merge_segments(graph, sizes, limit, dust, above, scratch).withColumn("setting", F.lit(i))
-        out = part if out is None else out.unionByName(part)
-    return out
+    """:func:`merge_segments` for several (limit, dust, above), each from the same basins, with ``setting`` 0, 1, ...
+
+    The settings do not depend on one another and run side by side, a few at a time.
+    """
+
+    def at(setting: tuple[int, tuple[int, int, float]]) -> DataFrame:
+        i, given = setting
+        return merge_segments(graph, sizes, *given, Scratch(scratch.spark, f"setting{i}")).withColumn("setting", F.lit(i))
+
+    with ThreadPoolExecutor(SIDE_BY_SIDE) as pool:
+        return reduce(DataFrame.unionByName, pool.map(at, enumerate(thresholds)))
 
 
 def compact_ids(ids: DataFrame) -> DataFrame:
